@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docflow.functions.text import _col, first_nonblank, let, norm_edges
+from docflow.runtime import explode_rows
 
 # --- fixed value: heading that starts a guideline sheet ---
 SHEET_HEADING = r"Fiche(?:\s+(?:Recommandation|arbre\s+décisionnel))?\s+0*\d{1,3}"
@@ -41,9 +42,7 @@ def heading_sections(df: DataFrame, lines: Column, is_heading) -> DataFrame:
 
     keep = df.columns
     full = F.filter(let(lines, cut), lambda s: (s["name"] != "") & (s["text"] != ""))
-    return df.select(*keep, F.posexplode(full).alias("section_no", "s")).select(
-        *keep, "section_no", "s.name", "s.text"
-    )
+    return explode_rows(df, keep, full, "section_no", "s").select(*keep, "section_no", "s.name", "s.text")
 
 
 def pdf_text_sections(df: DataFrame, text: Column | str, split_over: int = 2000) -> DataFrame:
@@ -61,16 +60,12 @@ def pdf_text_sections(df: DataFrame, text: Column | str, split_over: int = 2000)
 
     sections = F.filter(F.flatten(F.transform(F.col("blocks"), pieces)), lambda p: p != "")
     keep = df.columns
-    return (
-        df.withColumn("blocks", blocks)
-        .select(
-            *keep,
-            F.coalesce(title, F.lit("Titre non disponible")).alias("title"),
-            F.sha2(_col(text), 256).alias("sha256"),
-            F.octet_length(_col(text)).alias("n_bytes"),
-            F.posexplode(sections).alias("section_no", "text_part"),
-        )
-    )
+    head = [
+        F.coalesce(title, F.lit("Titre non disponible")).alias("title"),
+        F.sha2(_col(text), 256).alias("sha256"),
+        F.octet_length(_col(text)).alias("n_bytes"),
+    ]
+    return explode_rows(df.withColumn("blocks", blocks), [*keep, *head], sections, "section_no", "text_part")
 
 
 def split_fiches(df: DataFrame, text: Column | str, file: Column | str) -> DataFrame:
@@ -82,7 +77,7 @@ def split_fiches(df: DataFrame, text: Column | str, file: Column | str) -> DataF
     heading = F.regexp_extract("body", rf"{_SHEET}\s*[-:]?\s*(.+)", 1)
     keep = df.columns
     return (
-        df.select(*keep, _col(file).alias("source_doc"), F.posexplode(sheets).alias("idx", "raw"))
+        explode_rows(df, [*keep, _col(file).alias("source_doc")], sheets, "idx", "raw")
         .withColumn("body", norm_edges("raw"))
         .select(
             *keep, "source_doc", "idx",

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from docflow.functions import urls as ux
 from docflow.functions.text import first_nonblank, is_irrelevant_text, let, norm_edges, norm_for_eq, parse_any_date
 from docflow.functions.wordlists import MAIN_SELECTORS
+from docflow.runtime import explode_rows
 
 ELEMENTS = "array<struct<pos:int,last:int,tag:string,attrs:map<string,string>,first_text:int,n_texts:int>>"
 BLOCK_TAGS = ("h1", "h2", "h3", "h4", "p", "blockquote", "li")
@@ -250,8 +251,7 @@ def page_blocks(parsed: DataFrame, url: str = "url") -> DataFrame:
     """One row per block: the page's columns, ``selector, block_no, tag, text, links``."""
     keep = [c for c in parsed.columns if c != "dom"]
     return (
-        with_sections(parsed, url)
-        .select(*keep, "selector", F.posexplode("sections").alias("block_no", "block"))
+        explode_rows(with_sections(parsed, url), [*keep, "selector"], "sections", "block_no", "block")
         .select(*keep, "selector", "block_no", "block.tag", "block.text", "block.links")
     )
 
@@ -259,7 +259,7 @@ def page_blocks(parsed: DataFrame, url: str = "url") -> DataFrame:
 def page_records(parsed: DataFrame, url: str = "url") -> DataFrame:
     """Saved form of a page: title, ordered sections and same-site links in one row; no shuffle."""
     keep = [c for c in parsed.columns if c != "dom"]
-    return with_sections(parsed, url).where(F.size("sections") > 0).select(
+    return with_sections(parsed, url).select(
         *keep,
         stored_title(page_title(), F.lit(None).cast("string"), F.col(url)).alias("title"),
         "sections",
@@ -377,7 +377,7 @@ def _followable(url: Column) -> Column:
 
 def outlinks(parsed: DataFrame, page_id: str = "page_id", url: str = "url") -> DataFrame:
     """Distinct same-site links of a page that a crawl may follow. De-duplicated inside the row."""
-    return parsed.select(page_id, url, F.explode(_followable(F.col(url))).alias("target"))
+    return explode_rows(parsed, [page_id, url], _followable(F.col(url)), "n", "target").drop("n")
 
 
 def section_blocks(parsed: DataFrame) -> DataFrame:
@@ -427,9 +427,7 @@ def section_blocks(parsed: DataFrame) -> DataFrame:
     keep = [c for c in parsed.columns if c != "dom"]
     scoped = parsed.withColumn("scope", body).withColumn("headings", F.filter(els, lambda e: e["tag"].isin("h2", "h3")))
     sections = F.filter(F.concat(head, parts, docs), lambda s: (s["name"] != "") & (s["text"] != ""))
-    return scoped.select(*keep, F.posexplode(sections).alias("section_no", "s")).select(
-        *keep, "section_no", "s.name", "s.text"
-    )
+    return explode_rows(scoped, keep, sections, "section_no", "s").select(*keep, "section_no", "s.name", "s.text")
 
 
 def is_exam_page(url: Column | str) -> Column:

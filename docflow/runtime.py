@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,3 +34,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def has_at_most(df: DataFrame, rows: int) -> bool:
     """Size check that reads no more than ``rows + 1`` rows."""
     return df.limit(rows + 1).count() <= rows
+
+
+def explode_rows(df: DataFrame, keep: list, array: Column | str, pos: str, item: str) -> DataFrame:
+    """``keep`` columns plus position and item of a computed array.
+
+    The outer form stops Spark from repeating the whole array expression inside an inferred
+    ``size(array) > 0`` filter.
+    """
+    rows = df.select(*keep, F.posexplode_outer(array).alias(pos, item))
+    return rows.where(F.col(pos).isNotNull())
