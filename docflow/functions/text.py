@@ -165,11 +165,15 @@ def _first_timestamp(raw: Column, formats: tuple[str, ...]) -> Column:
     return F.coalesce(*[F.try_to_timestamp(raw, F.lit(f)) for f in formats])
 
 
+def iso_date(normal: Column) -> Column:
+    """``norm_date`` for a text that is already normalised; stays in the JVM."""
+    stamp = _first_timestamp(normal, ("yyyy-M-d", "yyyy-M-d H:m:s", "d/M/yyyy", "d/M/yyyy H:m"))
+    return F.when(normal == "", NOT_GIVEN).otherwise(F.coalesce(F.date_format(stamp, "yyyy-MM-dd"), normal))
+
+
 def norm_date(x: Column | str) -> Column:
     """Four accepted layouts to ISO date; any other text stays as it is."""
-    raw = norm_text(_col(x), case_mode="keep")
-    stamp = _first_timestamp(raw, ("yyyy-M-d", "yyyy-M-d H:m:s", "d/M/yyyy", "d/M/yyyy H:m"))
-    return F.when(raw == "", NOT_GIVEN).otherwise(F.coalesce(F.date_format(stamp, "yyyy-MM-dd"), raw))
+    return let(norm_text(_col(x), case_mode="keep"), iso_date)
 
 
 def norm_number(x: Column | str) -> Column:

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docflow.runtime import fill_cores
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -24,8 +26,10 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """A standard table. ``spread`` cuts a scan of few files into enough tasks for row-heavy parsing."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return fill_cores(df) if spread else df
 
 
 # Unicode spaces for RE2, whose \s is ASCII only.

@@ -44,3 +44,12 @@ def explode_rows(df: DataFrame, keep: list, array: Column | str, pos: str, item:
     """
     rows = df.select(*keep, F.posexplode_outer(array).alias(pos, item))
     return rows.where(F.col(pos).isNotNull())
+
+
+def fill_cores(scan: DataFrame) -> DataFrame:
+    """Spread a plain scan that has fewer splits than the cluster has cores.
+
+    Only small inputs are that few splits, so this never shuffles a large table.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
