@@ -33,6 +33,21 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def constant(value) -> Column:
+    """A literal array, map or scalar as one parsed expression (lists to arrays, dicts to maps)."""
+    return F.expr(_sql(value))
+
+
+def _sql(value) -> str:
+    if isinstance(value, dict):
+        return f"map({', '.join(_sql(x) for pair in value.items() for x in pair)})"
+    if isinstance(value, (list, tuple)):
+        return f"array({', '.join(_sql(x) for x in value)})"
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return f"{value!r}D" if isinstance(value, float) else repr(value)
+
+
 @lru_cache(maxsize=None)
 def _accent_pairs(form: str) -> tuple[str, str]:
     """Every BMP letter whose decomposition is one base character plus marks."""

@@ -10,11 +10,12 @@ import math
 import unicodedata
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docflow.functions.text import SPACES, is_empty_marker, let, norm_space, normalize_token, strip_accents
+from docflow.functions.text import SPACES, constant, is_empty_marker, let, norm_space, normalize_token, strip_accents
 from docflow.functions.wordlists import FEMALE_TOKENS, MALE_TOKENS, NOT_GIVEN
+from docflow.runtime import explode_rows
 
 
 @dataclass(frozen=True)
@@ -89,7 +90,7 @@ def keyed_number(salt: str, key: Column, field: str) -> Column:
 
 def _pick(options, salt: str, key: Column, field: str) -> Column:
     at = F.pmod(keyed_number(salt, key, field), F.lit(len(options))).cast("int")
-    return F.get(F.array(*[F.lit(o) for o in options]), at)
+    return F.get(constant(options), at)
 
 
 def age_distribution(mean: float = 83, sd: float = 6.5, low: int = 60, high: int = 100) -> list[tuple[int, float]]:
@@ -105,8 +106,9 @@ def age_distribution(mean: float = 83, sd: float = 6.5, low: int = 60, high: int
 def sample_dob(salt: str, key: Column, as_of_year: int) -> Column:
     """Birth date whose age follows the distribution: inverse CDF, then month and day."""
     u = keyed_number(salt, key, "age") / F.lit(2.0**32)
-    cdf = F.array(*[F.struct(F.lit(a).alias("age"), F.lit(c).alias("c")) for a, c in age_distribution()])
-    age = F.get(F.filter(cdf, lambda x: x["c"] >= u), F.lit(0))["age"]
+    table = age_distribution()
+    below = F.size(F.filter(constant([c for _, c in table]), lambda c: c < u))
+    age = F.get(constant([a for a, _ in table]), below)
     month = F.pmod(keyed_number(salt, key, "month"), F.lit(12)) + 1
     day = F.pmod(keyed_number(salt, key, "day"), F.lit(28)) + 1
     return F.date_format(F.make_date(F.lit(as_of_year) - age, month.cast("int"), day.cast("int")), "yyyy-MM-dd")
@@ -121,7 +123,7 @@ def with_persona(people: DataFrame, key: Column, gender: Column, salt: str, as_o
     number = (F.pmod(keyed_number(salt, key, "number"), F.lit(199)) + 1).cast("string")
 
     def of_town(i: int) -> Column:
-        return F.get(F.array(*[F.lit(t[i]) for t in pools.towns]), town)
+        return F.get(constant([t[i] for t in pools.towns]), town)
 
     first = (
         F.when(known == "M", _pick(pools.first_m, salt, key, "first"))
@@ -153,58 +155,77 @@ def _who() -> Column:
     )
 
 
-def personas(leaves: DataFrame, doc_id: str, salt: str, as_of_year: int, pools: Pools = Pools()) -> DataFrame:
-    """One persona per person named in a record, keyed by ``doc_id, who``."""
+def personas(leaves: DataFrame, doc_id: str, salt: str, as_of_year: int, pools: Pools = Pools(),
+             targets: Column | None = None) -> DataFrame:
+    """One persona per person named in a record, keyed by ``doc_id, who``.
+
+    ``targets`` collects a value per leaf of the person (nulls skipped) next to the persona.
+    """
 
     def field(*names: str) -> Column:
         return F.max(F.when(F.col("path").rlike(r"personnePhysique\.(" + "|".join(names) + ")$"), F.col("value")))
 
+    extra = [] if targets is None else [F.collect_list(targets).alias("targets")]
     people = (
         leaves.withColumn("who", _who())
         .where(F.col("who").isNotNull())
         .groupBy(doc_id, "who")
-        .agg(field("sexe", "Sexe").alias("sex"), field("civilite", "Civilite").alias("title"))
+        .agg(field("sexe", "Sexe").alias("sex"), field("civilite", "Civilite").alias("title"), *extra)
     )
     key = F.concat_ws("|", F.col(doc_id).cast("string"), "who")
     return with_persona(people, key, detect_gender(F.col("sex"), F.col("title")), salt, as_of_year, pools)
 
 
-def replacements(leaves: DataFrame, people: DataFrame, doc_id: str) -> DataFrame:
+def replacements(leaves: DataFrame, doc_id: str, salt: str, as_of_year: int, pools: Pools = Pools()) -> DataFrame:
     """``doc_id, path, original, alias, seq, mapped`` for every field to be replaced.
 
     Two originals never share an alias inside a document: the second distinct one gets ``#2``, the
-    next ``#3``. Blank phone, mail and family status become a default without a mapping entry.
+    next ``#3``. Blank phone, mail and family status become a default without a mapping entry. The
+    fields of one document are numbered inside its own row; the leaves are read once.
     """
-    usager = {path: (n, field) for n, (path, field) in enumerate(USAGER_FIELDS)}
-    contact = r"^contacts\[[0-9]+\]\.personnePhysique\.(civilite|prenomUtilise|nomUtilise|dateNaissance)$"
-    part = F.regexp_extract("path", contact, 1)
-    number = F.regexp_extract("path", r"^contacts\[([0-9]+)\]", 1)
-    alias, seq = F.lit(None).cast("string"), F.lit(None).cast("bigint")
-    for n, (name, field) in enumerate(CONTACT_FIELDS):
-        alias = F.when(part == name, F.col(field)).otherwise(alias)
-        seq = F.when(part == name, 1000 + number.try_cast("bigint") * 10 + n).otherwise(seq)
-    for path, (n, field) in usager.items():
-        alias = F.when(F.col("path") == path, F.col(field)).otherwise(alias)
-        seq = F.when(F.col("path") == path, n).otherwise(seq)
-    targets = (part != "") | F.col("path").isin(*usager)
+    contact = r"^contacts\[([0-9]+)\]\.personnePhysique\.(civilite|prenomUtilise|nomUtilise|dateNaissance)$"
+    usager_seq = constant({path: n for n, (path, _) in enumerate(USAGER_FIELDS)})
+    usager_field = constant({path: field for path, field in USAGER_FIELDS})
+    contact_seq = constant({name: n for n, (name, _) in enumerate(CONTACT_FIELDS)})
+    contact_field = constant({name: field for name, field in CONTACT_FIELDS})
+    part = F.nullif(F.regexp_extract("path", contact, 2), F.lit(""))
+    number = F.regexp_extract("path", contact, 1).try_cast("bigint")
+    seq = F.coalesce(usager_seq[F.col("path")].cast("bigint"), 1000 + number * 10 + contact_seq[part])
+    field = F.coalesce(usager_field[F.col("path")], contact_field[part])
     blank = F.col("path").isin(*BLANK_TO_DEFAULT) & (F.col("value").isNull() | is_empty_marker("value"))
-    rows = (
-        leaves.where(targets)
-        .withColumn("who", _who())
-        .join(people, [doc_id, "who"])
-        .select(doc_id, "path", F.col("value").alias("original"), alias.alias("base"), seq.alias("seq"), (~blank & F.col("value").isNotNull()).alias("mapped"), blank.alias("blank"))
+    target = F.struct(seq.alias("seq"), "path", F.col("value").alias("original"), field.alias("field"), blank.alias("blank"))
+
+    people = personas(leaves, doc_id, salt, as_of_year, pools, F.when(field.isNotNull(), target))
+    names = dict.fromkeys(f for _, f in (*USAGER_FIELDS, *CONTACT_FIELDS))
+    persona = F.create_map(*[x for n in names for x in (F.lit(n), F.col(n))])
+    based = F.transform(
+        "targets",
+        lambda t: F.struct(
+            t["seq"].alias("seq"), t["path"].alias("path"), t["original"].alias("original"),
+            F.col("persona")[t["field"]].alias("base"), t["blank"].alias("blank"),
+        ),
     )
-    mapped = rows.where("mapped")
-    first_use = mapped.groupBy(doc_id, "base", "original").agg(F.min("seq").alias("first_seq"))
-    rank = F.row_number().over(Window.partitionBy(doc_id, "base").orderBy("first_seq"))
-    aliased = first_use.withColumn("r", rank).select(
-        doc_id, "base", "original",
-        F.when(F.col("r") == 1, F.col("base")).otherwise(F.concat("base", F.lit("#"), F.col("r").cast("string"))).alias("alias"),
+    docs = (
+        people.withColumn("persona", persona)
+        .select(doc_id, based.alias("t"))
+        .groupBy(doc_id)
+        .agg(F.array_sort(F.flatten(F.collect_list("t"))).alias("t"))
     )
-    named = mapped.join(aliased, [doc_id, "base", "original"])
-    defaults = rows.where("blank").withColumn("alias", F.lit(NOT_GIVEN))
-    columns = [doc_id, "path", "original", "alias", "seq", "mapped"]
-    return named.select(columns).unionByName(defaults.select(columns))
+
+    def finish(t: Column) -> Column:
+        same_base = F.filter(
+            F.col("t"), lambda o: (o["base"] == t["base"]) & ~o["blank"] & o["original"].isNotNull()
+        )
+        order = F.array_distinct(F.transform(same_base, lambda o: o["original"]))
+        place = F.array_position(order, t["original"])
+        numbered = F.when(place == 1, t["base"]).otherwise(F.concat(t["base"], F.lit("#"), place.cast("string")))
+        return F.struct(
+            t["path"].alias("path"), t["original"].alias("original"),
+            F.when(t["blank"], NOT_GIVEN).otherwise(numbered).alias("alias"), t["seq"].alias("seq"), (~t["blank"]).alias("mapped"),
+        )
+
+    used = F.filter(F.col("t"), lambda t: t["blank"] | t["original"].isNotNull())
+    return explode_rows(docs, [doc_id], F.transform(used, finish), "n", "r").select(doc_id, "r.*")
 
 
 def apply_replacements(leaves: DataFrame, changes: DataFrame, doc_id: str) -> DataFrame:
@@ -235,12 +256,9 @@ def missing_defaults(leaves: DataFrame, doc_id: str) -> DataFrame:
 
 # ------------------------------------------------------------------ free text
 
-_ALPHABET = "abcdefghijklmnopqrstuvwxyz"
-
-
 def _letter_classes() -> dict[str, str]:
-    """Each plain letter to a character class of all its accented forms in the Latin blocks."""
-    forms: dict[str, str] = {c: c for c in _ALPHABET}
+    """Each plain letter to a character class of all its cases and accents in the Latin blocks."""
+    forms = {c: c + c.upper() for c in "abcdefghijklmnopqrstuvwxyz"}
     for code in range(0xC0, 0x250):
         base = unicodedata.normalize("NFD", chr(code))[0].lower()
         if base in forms:
@@ -254,13 +272,13 @@ def plain_name(x: Column) -> Column:
 
 def _loose_pattern(plain: Column) -> Column:
     """Pattern that finds a name in any case, with or without accents, over any run of spaces."""
-    classes = F.create_map(*[F.lit(x) for pair in _letter_classes().items() for x in pair])
+    classes = constant(_letter_classes())
 
     def piece(ch: Column) -> Column:
         return (
             F.when(ch.between("a", "z"), classes[ch])
             .when(ch == " ", F.lit(SPACES.removeprefix("(?U)")))
-            .otherwise(F.concat(F.lit("\\Q"), ch, F.lit("\\E")))
+            .otherwise(F.concat(F.lit("(?iu:\\Q"), ch, F.lit("\\E)")))
         )
 
     return F.array_join(F.transform(F.split(plain, ""), piece), "")
@@ -314,14 +332,24 @@ def name_rules(changes: DataFrame, doc_id: str, compat: bool = False) -> DataFra
     )
     filled = names.where("coalesce(first, '') <> '' AND coalesce(last, '') <> ''")
     aliases = filled.withColumn("aliases", name_variants(F.col("first"), F.col("last"), F.col("a_first"), F.col("a_last"), compat))
-    longest = F.array_sort(F.map_keys("aliases"), lambda a, b: F.length(b) - F.length(a))
-    pattern = F.concat(F.lit(r"(?iuU)\b(?:"), F.array_join(F.transform(longest, _loose_pattern), "|"), F.lit(r")\b"))
-    return aliases.select(doc_id, pattern.alias("pattern"), "aliases")
+    blank = F.lit(SPACES.removeprefix("(?U)"))
+    f, l = F.col("f"), F.col("l")
+    titles = F.lit("(?iu:" + "|".join(f"\\Q{t}\\E" for t in sorted(TITLES, key=len, reverse=True)) + ")")
+    single = F.when(F.length(F.col("first")) > F.length(F.col("last")), F.concat(f, F.lit("|"), l)).otherwise(F.concat(l, F.lit("|"), f))
+    pattern = F.concat(
+        F.lit(r"(?U)\b(?:"), titles, blank, F.lit("(?:"), f, blank, l, F.lit("|"), l, F.lit(")|"),
+        f, blank, l, F.lit("|"), l, blank, f, F.lit("|"), single, F.lit(r")\b"),
+    )
+    loose = aliases.withColumn("f", _loose_pattern(plain_name(F.col("first")))).withColumn("l", _loose_pattern(plain_name(F.col("last"))))
+    return loose.select(doc_id, pattern.alias("pattern"), "aliases")
+
 
+def substitute(text: Column, pattern: Column, replace, found: Column | None = None) -> Column:
+    """Replace every match in one left-to-right pass, so a replacement is never replaced again.
 
-def substitute(text: Column, pattern: Column, replace) -> Column:
-    """Replace every match in one left-to-right pass, so a replacement is never replaced again."""
-    found = F.regexp_extract_all(text, pattern, F.lit(0))
+    ``found`` may hold the matches if they are already computed.
+    """
+    found = F.regexp_extract_all(text, pattern, F.lit(0)) if found is None else found
     kept = F.split(text, pattern, -1)
     # the kept pieces number one more than the matches
     tails = F.concat(F.transform(found, replace), F.array(F.lit("")))
@@ -330,21 +358,19 @@ def substitute(text: Column, pattern: Column, replace) -> Column:
 
 def mask_names(texts: DataFrame, rules: DataFrame, doc_id: str, text: str = "value") -> DataFrame:
     """Replace the person's name in free text; adds ``seen array<struct<alias, original>>``."""
-    joined = texts.join(rules, doc_id, "left")
-    hit = F.col("pattern").isNotNull() & F.col(text).isNotNull()
+    joined = texts.join(rules, doc_id, "left").withColumn(
+        "found", F.regexp_extract_all(F.col(text), F.col("pattern"), F.lit(0))
+    )
 
     def alias(m: Column) -> Column:
         return F.col("aliases")[plain_name(m)]
 
-    masked = substitute(F.col(text), F.col("pattern"), alias)
-    seen = F.transform(
-        F.regexp_extract_all(F.col(text), F.col("pattern"), F.lit(0)),
-        lambda m: F.struct(alias(m).alias("alias"), m.alias("original")),
-    )
+    seen = F.transform(F.array_distinct("found"), lambda m: F.struct(alias(m).alias("alias"), m.alias("original")))
+    masked = substitute(F.col(text), F.col("pattern"), alias, F.col("found"))
     return (
-        joined.withColumn("seen", F.when(hit, F.array_distinct(seen)))
-        .withColumn(text, F.when(hit, masked).otherwise(F.col(text)))
-        .drop("pattern", "aliases")
+        joined.withColumn("seen", seen)
+        .withColumn(text, F.when(F.size("found") > 0, masked).otherwise(F.col(text)))
+        .drop("pattern", "aliases", "found")
     )
 
 

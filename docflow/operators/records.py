@@ -59,22 +59,16 @@ def json_leaves(records: DataFrame, doc_id: str, json: str, max_depth: int = MAX
     One ``variant_explode`` per level inside a single pipeline, so nothing is shuffled or re-read. A
     record deeper than ``max_depth`` fails loudly instead of losing data.
     """
-    spark = records.sparkSession
-    level = records.select(
-        doc_id, F.try_parse_json(F.regexp_replace(json, r"^\uFEFF", "")).alias("v"),
-        F.array().cast("array<string>").alias("keys"),
-    )
+    parsed = F.try_parse_json(F.regexp_replace(json, r"^\uFEFF", ""))
+    start = records.select(doc_id, parsed.alias("v"), F.array().cast("array<string>").alias("keys"))
+    nested = "{start}"
     for _ in range(max_depth):
-        child = spark.tvf.variant_explode_outer(F.col("v").outer()).select(
-            F.col("pos").alias("_p"), F.col("key").alias("_k"), F.col("value").alias("_v")
-        )
-        leaf = F.col("_p").isNull()
-        name = F.coalesce("_k", F.concat(F.lit("["), F.col("_p").cast("string"), F.lit("]")))
-        level = level.lateralJoin(child).select(
-            doc_id,
-            F.when(leaf, F.col("v")).otherwise(F.col("_v")).alias("v"),
-            F.when(leaf, F.col("keys")).otherwise(F.concat("keys", F.array(name))).alias("keys"),
+        nested = (
+            f"(SELECT t.`{doc_id}`, if(c.pos IS NULL, t.v, c.value) AS v, "
+            "if(c.pos IS NULL, t.keys, concat(t.keys, array(coalesce(c.key, concat('[', c.pos, ']'))))) AS keys "
+            f"FROM {nested} t, LATERAL variant_explode_outer(t.v) c)"
         )
+    level = records.sparkSession.sql(f"SELECT * FROM {nested}", start=start)
     kind = F.schema_of_variant("v")
     simple = (
         F.when(kind == "VOID", "null")

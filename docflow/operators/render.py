@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docflow.functions.text import iso_date, norm_text
+from docflow.functions.text import constant, iso_date, norm_text
 from docflow.functions.wordlists import MOMENT_SLOTS, NOT_GIVEN, SLOTS, WEEK_DAYS
 
 _N = r"(?:\[([0-9]+)\])?"
@@ -327,7 +327,7 @@ def item_lines(items: DataFrame) -> DataFrame:
 def record_text(leaves: DataFrame, doc_id: str) -> DataFrame:
     """``doc_id, text``: the whole record as sectioned text, sections in their fixed order."""
     lined = item_lines(record_items(leaves, doc_id))
-    heading = F.create_map(*[F.lit(x) for pair in _HEADINGS.items() for x in pair])
+    heading = constant(_HEADINGS)
     body = F.transform(
         F.array_sort(F.collect_list(F.struct("i", "rank", "j", "lines"))), lambda x: F.array_join(x["lines"], "\n")
     )
@@ -443,7 +443,7 @@ def schedule_entries(items: DataFrame, doc_id: str) -> DataFrame:
 
 def weekly_schedule(entries: DataFrame, doc_id: str) -> DataFrame:
     """Two weeks of 8 slots by 7 days per document; every slot is present, empty cells say so."""
-    slot_of = F.create_map(*[F.lit(x) for pair in MOMENT_SLOTS.items() for x in pair])
+    slot_of = constant(MOMENT_SLOTS)
     cells = (
         entries.select(doc_id, "week", F.explode("days").alias("day"), "moments", "actions")
         .select(doc_id, "week", "day", F.explode("moments").alias("moment"), "actions")

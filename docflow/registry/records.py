@@ -299,7 +299,7 @@ def sample_dob(spark, sf):
 
 def changes(spark, sf, rows=None):
     rows = records.clean_leaves(leaves(spark, sf)) if rows is None else rows
-    return privacy.replacements(rows, privacy.personas(rows, "doc_id", SALT, YEAR), "doc_id")
+    return privacy.replacements(rows, "doc_id", SALT, YEAR)
 
 
 _ALIAS = {
@@ -353,7 +353,7 @@ def _s_norm(e):
 MASK_SQL = rf"""WITH c AS ({CHANGES_SQL}),
  n AS (SELECT doc_id, max(original) FILTER (path = {s_quote(privacy.PERSON + '.prenomUtilise')}) AS f, max(original) FILTER (path = {s_quote(privacy.PERSON + '.nomUtilise')}) AS l,
    max(alias) FILTER (path = {s_quote(privacy.PERSON + '.prenomUtilise')}) AS af, max(alias) FILTER (path = {s_quote(privacy.PERSON + '.nomUtilise')}) AS al FROM c GROUP BY doc_id),
- t AS (SELECT d.doc_id, f, l, af, al, regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_]+') AS tok FROM documents d JOIN n ON n.doc_id = d.doc_id)
+ t AS (SELECT d.doc_id, f, l, af, al, regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_]+') AS tok FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id)
  SELECT doc_id, array_to_string(list_transform(tok, lambda w, i: CASE WHEN {_s_norm('w')} = {_s_norm('l')} THEN al WHEN {_s_norm('w')} = {_s_norm('f')} THEN af
    WHEN i > 1 AND i < len(tok) AND {s_space('w')} = '' AND {_s_norm('tok[i - 1]')} IN ({_s_norm('f')}, {_s_norm('l')}) AND {_s_norm('tok[i + 1]')} IN ({_s_norm('f')}, {_s_norm('l')})
      AND {_s_norm('tok[i - 1]')} <> {_s_norm('tok[i + 1]')} THEN ' ' ELSE w END), '') AS masked FROM t"""
@@ -361,7 +361,7 @@ MASK_SQL = rf"""WITH c AS ({CHANGES_SQL}),
 
 def masked_documents(spark, sf):
     rules = privacy.name_rules(changes(spark, sf), "doc_id")
-    return privacy.mask_names(table(spark, sf, "documents").select("doc_id", "text").join(rules.select("doc_id"), "doc_id", "left_semi"), rules, "doc_id", "text")
+    return privacy.mask_names(table(spark, sf, "documents", spread=True).select("doc_id", "text"), rules, "doc_id", "text")
 
 
 @query("mask_names_free_text", MASK_SQL)
