@@ -6,10 +6,13 @@ prompt" are aggregations joined back, not windows, so a very long session is not
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docflow.functions.text import SPACES, norm_edges, normalize_intent_text
+from docflow.functions.text import norm_edges, normalize_intent_text
 from docflow.functions.wordlists import INTENT_KEYWORDS, INTENT_PRIORITY, YES_ANSWERS
 from docflow.operators.ordered import turn_bucket, with_previous, with_row_index
 
@@ -28,12 +31,6 @@ _ASKED = {
 
 # ------------------------------------------------------------------ intents
 
-def _keyword_pattern(words: tuple[str, ...], compat: bool) -> Column:
-    quoted = F.array(*[w if compat else w for w in map(F.lit, words)])
-    plain = quoted if compat else F.transform(quoted, normalize_intent_text)
-    return F.array_join(F.transform(plain, lambda w: F.concat(F.lit("\\Q"), w, F.lit("\\E"))), "|")
-
-
 def intent_hits(text: Column, keywords: dict[str, tuple[str, ...]] = INTENT_KEYWORDS, compat: bool = False) -> Column:
     """Array of the intents whose keywords occur in the text, one pattern per intent.
 
@@ -47,8 +44,6 @@ def intent_hits(text: Column, keywords: dict[str, tuple[str, ...]] = INTENT_KEYW
 
 def _folded(words: tuple[str, ...], compat: bool) -> str:
     """Alternation of literal keywords; folding happens once, on the driver, over the fixed lists."""
-    import re
-    import unicodedata
 
     def plain(w: str) -> str:
         t = unicodedata.normalize("NFD", w.lower().replace("’", "'").replace("‘", "'").replace("`", "'"))

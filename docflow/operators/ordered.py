@@ -38,3 +38,17 @@ def with_row_index(df: DataFrame, keys: list[str], order: str, bucket: Column, i
 
 def turn_bucket(order: str, width: int = 1024) -> Column:
     return F.floor(F.col(order) / width)
+
+
+def with_last_before(
+    df: DataFrame, keys: list[str], order: str, value: Column, bucket: Column, into: str = "last"
+) -> DataFrame:
+    """Add the last non-null ``value`` among earlier rows of ``keys``, null when there is none."""
+    earlier = Window.partitionBy(*keys, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    cut = df.withColumn("_b", bucket).withColumn("_v", value)
+    near = cut.withColumn("_near", F.last("_v", ignorenulls=True).over(earlier))
+    tails = cut.groupBy(*keys, "_b").agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.col(order))).alias("_tail"))
+    buckets = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carry = tails.select(*keys, "_b", F.last("_tail", ignorenulls=True).over(buckets).alias("_far"))
+    joined = near.join(carry, [*keys, "_b"], "left")
+    return joined.withColumn(into, F.coalesce("_near", "_far")).drop("_b", "_v", "_near", "_far")

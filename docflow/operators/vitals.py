@@ -5,6 +5,7 @@ Rows are ``patient, metric, date, valeur`` with text values; blood pressure is `
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -112,8 +113,6 @@ def with_flags(values: DataFrame, ranges: dict[str, tuple[float, float]] = VITAL
 
 
 def _ascii(name: str) -> str:
-    import unicodedata
-
     return "".join(c for c in unicodedata.normalize("NFD", name.lower()) if not unicodedata.combining(c))
 
 

@@ -497,12 +497,12 @@ def generic_dump(spark, sf):
 
 @query(
     "aggir_rows",
-    """SELECT c_custkey AS doc_id, 'aggir_var' AS kind, 0 AS i, NULL::INT AS j, 'COHERENCE' AS name, CASE WHEN c_custkey % 2 = 0 THEN 'A' ELSE 'B' END AS result, '' AS comment,
+    """SELECT c_custkey AS doc_id, 'aggir_var' AS kind, 0 AS i, -1 AS j, 'COHERENCE' AS name, CASE WHEN c_custkey % 2 = 0 THEN 'A' ELSE 'B' END AS result, '' AS comment,
         'Oui' AS "S", '–' AS "T", CASE WHEN c_custkey % 2 = 0 THEN 'Non' ELSE '–' END AS "C", '–' AS "H" FROM customer
        UNION ALL SELECT c_custkey, 'aggir_sub', 0, 0, 'Communication', 'Non renseigné', 'parle peu', '–', '–', '–', '–' FROM customer""",
 )
 def aggir_rows(spark, sf):
-    return render.aggir_rows(items(spark, sf), "doc_id")
+    return render.aggir_rows(items(spark, sf), "doc_id").fillna({"j": -1})
 
 
 @query(

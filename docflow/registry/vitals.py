@@ -108,14 +108,23 @@ def values(spark, sf):
     return vt.long_values(vt.parse_dates(vitals(spark, sf)))
 
 
-@query("vitals_flags", _s_flags(False))
+def _s_told(sql):
+    return f"SELECT patient, date, metric, value, CASE WHEN abnormal THEN 'yes' WHEN NOT abnormal THEN 'no' ELSE 'unknown' END AS abnormal FROM ({sql})"
+
+
+def told(df):
+    flag = F.when(F.col("abnormal"), "yes").when(~F.col("abnormal"), "no").otherwise("unknown")
+    return _text_date(df).withColumn("abnormal", flag)
+
+
+@query("vitals_flags", _s_told(_s_flags(False)))
 def vitals_flags(spark, sf):
-    return _text_date(vt.with_flags(values(spark, sf)))
+    return told(vt.with_flags(values(spark, sf)))
 
 
-@query("vitals_flags_compat", _s_flags(True, True))
+@query("vitals_flags_compat", _s_told(_s_flags(True, True)))
 def vitals_flags_compat(spark, sf):
-    return _text_date(vt.with_flags(values(spark, sf), null_is_abnormal=True, exact_names=True))
+    return told(vt.with_flags(values(spark, sf), null_is_abnormal=True, exact_names=True))
 
 
 SUMMARY_SQL = f"""SELECT p.patient, coalesce(string_agg('🔴 ' || metric || ' : ' || n || ' valeur(s) anormale(s) détectée(s)', chr(10) ORDER BY list_position(['poids', 'temperature', 'tension_sys', 'tension_dia'], metric)) FILTER (n > 0), '✅ Aucune anomalie détectée sur les constantes.') AS summary

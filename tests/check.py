@@ -48,7 +48,7 @@ def canon(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf[sorted(pdf.columns)]
 
     def cell(v):
-        if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+        if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
             return "∅"
         if isinstance(v, float) and v == int(v) and abs(v) < 1e15:
             return str(int(v))
