@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docflow.functions import urls as ux
-from docflow.functions.text import cap_text, norm_edges, shorten_ellipsis, strip_accents
+from docflow.functions.text import cap_text, let, norm_edges, shorten_ellipsis, strip_accents
 from docflow.functions.wordlists import STOP_WORDS
 from docflow.runtime import has_at_most
 
@@ -197,43 +197,45 @@ def _terms(text: Column) -> Column:
     words = F.filter(
         F.regexp_extract_all(plain, F.lit(r"(?U)(\b\w[\w’']+\b)"), 1), lambda w: ~w.isin(*STOP_WORDS)
     )
-    pairs = F.zip_with(
-        F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))),
-        F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))),
-        lambda a, b: F.concat(a, F.lit(" "), b),
-    )
-    return F.concat(words, pairs)
+
+    def with_pairs(ws: Column) -> Column:
+        n = F.greatest(F.size(ws) - 1, F.lit(0))
+        pairs = F.zip_with(F.slice(ws, 1, n), F.slice(ws, 2, n), lambda a, b: F.concat(a, F.lit(" "), b))
+        return F.concat(ws, pairs)
+
+    return let(words, with_pairs)
 
 
 def tfidf_novelty(passages: DataFrame, max_terms: int = MAX_TERMS) -> DataFrame:
     """``query_id, doc_no, novelty`` = 1 - cosine(reference, passage) in a per-query TF-IDF space.
 
     ``passages(query_id, doc_no, text)``: number 0 is the reference text, others are candidates. A
-    query's corpus is bounded by the passage caps, so its term rows are too.
+    query's corpus is bounded by the passage caps, so the texts are hashed by query once and every
+    later aggregation, ranking and norm runs inside that partitioning without another shuffle.
     """
-    docs = passages.select("query_id", "doc_no", "text")
-    sizes = docs.groupBy("query_id").agg(F.count("*").alias("n_docs"))
-    counts = docs.select("query_id", "doc_no", F.explode(_terms(F.col("text"))).alias("term"))
-    counts = counts.groupBy("query_id", "term", "doc_no").agg(F.count("*").alias("tf"))
-    terms = counts.groupBy("query_id", "term").agg(
-        F.count("*").alias("df"), F.sum("tf").alias("total"), F.collect_list(F.struct("doc_no", "tf")).alias("docs"),
-        F.max(F.when(F.col("doc_no") == 0, F.col("tf"))).alias("ref_tf"),
+    by_query = Window.partitionBy("query_id")
+    by_term = Window.partitionBy("query_id", "term")
+    docs = passages.select("query_id", "doc_no", "text").repartition("query_id")
+    docs = docs.withColumn("n_docs", F.count("*").over(by_query))
+    counts = (
+        docs.select("query_id", "doc_no", "n_docs", F.explode_outer(_terms(F.col("text"))).alias("term"))
+        .groupBy("query_id", "n_docs", "doc_no", "term")
+        .agg(F.count("term").alias("tf"))
     )
-    frequent = Window.partitionBy("query_id").orderBy(F.desc("total"), "term")
-    kept = terms.withColumn("r", F.row_number().over(frequent)).where(F.col("r") <= max_terms)
-    idf = F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1
-    weighted = kept.join(sizes, "query_id").withColumn("idf", idf)
-    flat = weighted.select("query_id", "idf", F.coalesce("ref_tf", F.lit(0)).alias("ref_tf"), F.inline("docs"))
-    w, ref = F.col("tf") * F.col("idf"), F.col("ref_tf") * F.col("idf")
-    sums = flat.groupBy("query_id", "doc_no").agg(
-        F.sqrt(F.sum(w * w)).alias("norm"), F.sum(w * ref).alias("dot")
-    )
-    own = sums.where(F.col("doc_no") == 0).select("query_id", F.col("norm").alias("ref_norm"))
-    cos = sums.join(own, "query_id").select(
-        "query_id", "doc_no", (F.col("dot") / (F.col("norm") * F.col("ref_norm"))).alias("cos")
+    weighed = (
+        counts.withColumn("df", F.count("*").over(by_term))
+        .withColumn("total", F.sum("tf").over(by_term))
+        .withColumn("ref_tf", F.max(F.when(F.col("doc_no") == 0, F.col("tf"))).over(by_term))
+        .withColumn("place", F.dense_rank().over(by_query.orderBy(F.desc("total"), F.asc_nulls_last("term"))))
     )
-    candidates = docs.where(F.col("doc_no") > 0).select("query_id", "doc_no")
-    return candidates.join(cos, ["query_id", "doc_no"], "left").select(
+    idf = F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1
+    used = F.col("term").isNotNull() & (F.col("place") <= max_terms)
+    w = F.when(used, F.col("tf") * idf).otherwise(0.0)
+    ref = F.when(used, F.coalesce("ref_tf", F.lit(0)) * idf).otherwise(0.0)
+    sums = weighed.groupBy("query_id", "doc_no").agg(F.sqrt(F.sum(w * w)).alias("norm"), F.sum(w * ref).alias("dot"))
+    ref_norm = F.max(F.when(F.col("doc_no") == 0, F.col("norm"))).over(by_query)
+    cos = F.try_divide(F.col("dot"), F.col("norm") * ref_norm)
+    return sums.withColumn("cos", cos).where(F.col("doc_no") > 0).select(
         "query_id", "doc_no", (1 - F.coalesce("cos", F.lit(0.0))).alias("novelty")
     )
 

@@ -31,6 +31,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """Write an intermediate result once to the shared folder and read it back.
+
+    For results used by several branches: later branches read only the columns they need, and a lost
+    executor costs the re-read of a few files, not the work before them.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def has_at_most(df: DataFrame, rows: int) -> bool:
     """Size check that reads no more than ``rows + 1`` rows."""
     return df.limit(rows + 1).count() <= rows
