@@ -12,13 +12,13 @@ from pyspark.sql import functions as F
 from docflow.functions import urls as ux
 from docflow.functions.text import cap_text, let, norm_edges, shorten_ellipsis, strip_accents
 from docflow.functions.wordlists import STOP_WORDS
-from docflow.runtime import has_at_most
 
 DOCX_K, WEB_K, OVERFETCH = 5, 3, 3
 MIN_SIMILARITY, MIN_NOVELTY, MAX_NOVELTY = 0.60, 0.30, 0.75
 PASSAGE_CHARS, REFERENCE_CHARS, MAX_TERMS = 800, 12000, 12000
 NO_WEB = "Aucun lien web pertinent pour cette recherche."
 _EPS = 1e-8
+_CELLS = 4_000_000  # largest score matrix a task holds at once
 
 
 class IndexNotReady(ValueError):
@@ -59,13 +59,15 @@ class _TopK:
             if k <= 0:
                 continue
             at = np.flatnonzero(groups == group)
-            dist, sims = _score(q, v[at], self.metric)
-            for i, qid in enumerate(qids):
-                parts = (ids[at], dist[i], sims[i])
-                old = self.best.get((qid, group))
-                if old is not None:
-                    parts = tuple(np.concatenate(p) for p in zip(old, parts))
-                self.best[(qid, group)] = _best(*parts, k)
+            step = max(1, _CELLS // len(at))
+            for start in range(0, len(qids), step):
+                dist, sims = _score(q[start : start + step], v[at], self.metric)
+                for qid, d, s in zip(qids[start : start + step], dist, sims):
+                    parts = (ids[at], d, s)
+                    old = self.best.get((qid, group))
+                    if old is not None:
+                        parts = tuple(np.concatenate(p) for p in zip(old, parts))
+                    self.best[(qid, group)] = _best(*parts, k)
 
     def frame(self) -> pd.DataFrame:
         rows = [
@@ -82,7 +84,7 @@ def _stack(vectors) -> np.ndarray:
 
 def search(
     corpus: DataFrame, queries: DataFrame, ks: dict[str, int], metric: str = "l2",
-    broadcast_rows: int = 20_000, block_rows: int = 20_000,
+    broadcast_bytes: int = 64 << 20, block_bytes: int = 64 << 20,
 ) -> DataFrame:
     """Exact nearest chunks of every query in each collection.
 
@@ -99,10 +101,12 @@ def search(
         f"query_id {dict(queries.dtypes)['query_id']}, source_type string, "
         f"chunk_id {dict(corpus.dtypes)['chunk_id']}, distance double, similarity double"
     )
-    if has_at_most(queries, broadcast_rows):
+    size = queries.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("dim")).first()
+    row_bytes = 8 * (size["dim"] or 1)
+    if size["n"] * row_bytes <= broadcast_bytes:
         partial = _search_broadcast(kept, queries, ks, metric, schema)
     else:
-        partial = _search_blocks(kept, queries, ks, metric, schema, block_rows)
+        partial = _search_blocks(kept, queries, ks, metric, schema, max(1, block_bytes // row_bytes))
     best = Window.partitionBy("query_id", "source_type").orderBy("distance", "chunk_id")
     limit = F.create_map(*[x for g, k in ks.items() for x in (F.lit(g), F.lit(k))])
     ranked = partial.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= max(ks.values()))

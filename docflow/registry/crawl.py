@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from docflow.functions import urls as ux
 from docflow.operators import changes, docs, graph, pages, stats
-from docflow.registry.base import query, s_domain, s_edges, s_part, table
+from docflow.registry.base import query, s_domain, s_part, table
 from docflow.registry.structure import (
     DOCX_CHUNKS_SQL, LINKS_SQL, WEB_CHUNKS_SQL, _s_pack, chunks_docx, parsed_pages, web_chunks,
 )

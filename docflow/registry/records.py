@@ -10,6 +10,7 @@ from docflow.functions.wordlists import MOMENT_SLOTS, NOT_GIVEN, SLOTS, WEEK_DAY
 from docflow.operators import privacy, records, render
 from docflow.registry.base import query, s_list, s_quote, s_space, table
 from docflow.registry.scalars import _s_shout, _s_title
+from docflow.runtime import materialize
 
 SALT, YEAR = "test-salt", 2024
 DAY = "CASE c_custkey % 6 " + " ".join(f"WHEN {n} THEN '{d}'" for n, d in enumerate(WEEK_DAYS[:6])) + " END"
@@ -216,7 +217,8 @@ def prune_containers(spark, sf):
     f"SELECT * FROM ({_s_containers('TRUE')}) EXCEPT SELECT * FROM ({_s_containers('reason IS NULL')})",
 )
 def emptied_containers(spark, sf):
-    return records.emptied_containers(records.mark_cleaned(leaves(spark, sf)), "doc_id")
+    marked = materialize(records.mark_cleaned(leaves(spark, sf)).select("doc_id", "keys", "reason"), "marked")
+    return records.emptied_containers(marked, "doc_id")
 
 
 @query(
@@ -298,7 +300,7 @@ def sample_dob(spark, sf):
 
 
 def changes(spark, sf, rows=None):
-    rows = records.clean_leaves(leaves(spark, sf)) if rows is None else rows
+    rows = clean(spark, sf) if rows is None else rows
     return privacy.replacements(rows, "doc_id", SALT, YEAR)
 
 
@@ -338,7 +340,7 @@ def replace_and_map(spark, sf):
        UNION ALL SELECT doc_id, {s_quote(privacy.BLANK_TO_DEFAULT[3])}, 'string', 'Non renseigné' FROM (SELECT DISTINCT doc_id FROM ({LEAVES_SQL})) WHERE doc_id % 5 = 0""",
 )
 def pseudonymised_leaves(spark, sf):
-    rows = records.clean_leaves(leaves(spark, sf))
+    rows = materialize(clean(spark, sf), "leaves")
     done = privacy.apply_replacements(rows, changes(spark, sf, rows), "doc_id")
     return done.unionByName(privacy.missing_defaults(rows, "doc_id")).select("doc_id", "path", "type", "value")
 
@@ -359,8 +361,8 @@ MASK_SQL = rf"""WITH c AS ({CHANGES_SQL}),
      AND {_s_norm('tok[i - 1]')} <> {_s_norm('tok[i + 1]')} THEN ' ' ELSE w END), '') AS masked FROM t"""
 
 
-def masked_documents(spark, sf):
-    rules = privacy.name_rules(changes(spark, sf), "doc_id")
+def masked_documents(spark, sf, rules=None):
+    rules = privacy.name_rules(changes(spark, sf), "doc_id") if rules is None else rules
     return privacy.mask_names(table(spark, sf, "documents", spread=True).select("doc_id", "text"), rules, "doc_id", "text")
 
 
@@ -375,9 +377,8 @@ def mask_names_free_text(spark, sf):
 )
 def name_leaks(spark, sf):
     """Documents in which the person's name can still be found after masking (aliases aside)."""
-    ch = changes(spark, sf)
-    rules = privacy.name_rules(ch, "doc_id")
-    done = masked_documents(spark, sf).join(rules, "doc_id")
+    rules = materialize(privacy.name_rules(changes(spark, sf), "doc_id"), "rules")
+    done = masked_documents(spark, sf, rules).join(rules, "doc_id")
     # an alias may by chance equal a real name; take aliases out before looking
     aliases = F.concat(F.lit("(?:"), F.array_join(F.map_values("aliases"), "|"), F.lit(")"))
     bare = privacy.substitute(F.col("text"), aliases, lambda m: F.lit("□"))
@@ -391,7 +392,7 @@ def name_leaks(spark, sf):
     f"""SELECT doc_id, string_agg(original, ' ; ' ORDER BY seq) || ' (' || max(original) FILTER (path = {s_quote(privacy.PERSON + '.nomUtilise')}) || ').' AS restored FROM ({CHANGES_SQL}) WHERE mapped GROUP BY doc_id""",
 )
 def deanonymize(spark, sf):
-    ch = changes(spark, sf).where("mapped")
+    ch = materialize(changes(spark, sf).where("mapped"), "replacements")
     # a document has at most one mapping row per replaced field
     texts = ch.groupBy("doc_id").agg(
         F.array_sort(F.collect_list(F.struct("seq", "alias"))).alias("a"),

@@ -4,7 +4,6 @@ The query vectors are the mean vectors of every document source, so the whole em
 on both sides.
 """
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docflow.functions.wordlists import STOP_WORDS
@@ -72,7 +71,7 @@ def knn_topk_cosine(spark, sf):
 def knn_topk_blocks(spark, sf):
     """The route for query tables too large to ship to every task."""
     return _round(
-        rt.search(corpus(spark, sf), source_queries(spark, sf), {"docx": 10, "web": 10}, broadcast_rows=0, block_rows=500)
+        rt.search(corpus(spark, sf), source_queries(spark, sf), {"docx": 10, "web": 10}, broadcast_bytes=0, block_bytes=100_000)
     )
 
 
@@ -132,30 +131,19 @@ def _s_novelty(passages):
     LEFT JOIN norms ON norms.query_id = p.query_id AND norms.doc_no = p.doc_no LEFT JOIN norms z ON z.query_id = p.query_id AND z.doc_no = 0 WHERE p.doc_no > 0"""
 
 
-BENCH_PASSAGES_SQL = f"""SELECT item_id AS query_id, 0 AS doc_no, left({s_space('text')}, 12000) AS text FROM benchmark
-  UNION ALL SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY doc_id)::INT, left({s_space('d.text')}, 800) FROM benchmark b JOIN documents d
-  ON split_part(d.text, ' ', 1) = split_part(b.text, ' ', 1)"""
-
-
-@query("tfidf_novelty", f"SELECT query_id, doc_no, round(novelty, 6) AS novelty FROM ({_s_novelty(BENCH_PASSAGES_SQL)})")
-def tfidf_novelty(spark, sf):
-    """Documents that open with the same word as a benchmark item, against that item."""
-    b = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    d = table(spark, sf, "documents")
-    opening = F.split_part("text", F.lit(" "), F.lit(1))
-    pairs = b.select("query_id", opening.alias("w")).join(d.select("doc_id", opening.alias("w"), "text"), "w")
-    number = F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id"))
-    passages = b.select("query_id", F.lit(0).alias("doc_no"), rt.cap_text("text", 12000).alias("text")).unionByName(
-        pairs.select("query_id", number.alias("doc_no"), rt.cap_text("text", 800).alias("text"))
-    )
-    return rt.tfidf_novelty(passages).withColumn("novelty", F.round("novelty", 6))
-
-
 HIT_PASSAGES_SQL = f"""SELECT query_id, 0 AS doc_no, left({s_space("string_agg(text, ' ' ORDER BY rank)")}, 12000) AS text FROM ({HITS_SQL}) WHERE source_type = 'docx' GROUP BY query_id
   UNION ALL SELECT query_id, rank, left({s_space('text')}, 800) FROM ({HITS_SQL}) WHERE source_type = 'web'"""
 SCORED_SQL = f"SELECT h.*, v.novelty FROM ({HITS_SQL}) h JOIN ({_s_novelty(HIT_PASSAGES_SQL)}) v ON v.query_id = h.query_id AND v.doc_no = h.rank WHERE h.source_type = 'web'"
 
 
+@query("tfidf_novelty", f"SELECT query_id, rank, chunk_id, round(novelty, 6) AS novelty FROM ({SCORED_SQL})")
+def tfidf_novelty(spark, sf):
+    """Novelty of every web hit against the guideline hits of its query."""
+    found = hits(spark, sf)
+    scored = rt.novelty_of_hits(found).join(found.where(F.col("source_type") == "web"), ["query_id", "rank"])
+    return scored.select("query_id", "rank", "chunk_id", F.round("novelty", 6).alias("novelty"))
+
+
 def _s_gate(lo_sim, lo, hi):
     return f"""SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, rank) AS n FROM (
       SELECT *, row_number() OVER (PARTITION BY query_id, lower(rtrim(source, '/')) ORDER BY similarity DESC, rank) AS u FROM ({SCORED_SQL})

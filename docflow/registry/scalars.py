@@ -4,14 +4,14 @@ from pyspark.sql import functions as F
 
 from docflow.functions import text as tx
 from docflow.functions import urls as ux
-from docflow.functions.wordlists import PDF_HOSTS, TITLE_SMALL_WORDS, VITAL_RANGES  # noqa: F401
+from docflow.functions.wordlists import PDF_HOSTS, TITLE_SMALL_WORDS
 from docflow.registry.base import (
-    WS, query, s_domain, s_edges, s_irrelevant, s_list, s_part, s_space, table,
+    query, s_domain, s_edges, s_irrelevant, s_list, s_part, s_space, table,
 )
 
 
 def _documents(spark, sf):
-    return table(spark, sf, "documents")
+    return table(spark, sf, "documents", spread=True)
 
 
 def _lines(df):
@@ -198,7 +198,7 @@ def norm_number(spark, sf):
         .when(F.col("l_returnflag") == "A", F.translate(price, ".", ","))
         .when(F.col("l_linestatus") == "O", price)
     )
-    return table(spark, sf, "lineitem").select(
+    return table(spark, sf, "lineitem", spread=True).select(
         "l_orderkey", "l_linenumber", tx.norm_number(raw).alias("number")
     )
 
@@ -218,7 +218,7 @@ def parse_any_date(spark, sf):
         .when(kind == "click", F.date_format(ts, "MM/dd/yyyy HH:mm"))
         .otherwise(F.concat(F.date_format(ts, "yyyy-MM-dd HH:mm:ss"), F.lit("Z")))
     )
-    return table(spark, sf, "events").select("event_id", tx.parse_any_date(raw).alias("iso"))
+    return table(spark, sf, "events", spread=True).select("event_id", tx.parse_any_date(raw).alias("iso"))
 
 
 @query(

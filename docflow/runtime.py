@@ -42,11 +42,6 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def has_at_most(df: DataFrame, rows: int) -> bool:
-    """Size check that reads no more than ``rows + 1`` rows."""
-    return df.limit(rows + 1).count() <= rows
-
-
 def explode_rows(df: DataFrame, keep: list, array: Column | str, pos: str, item: str) -> DataFrame:
     """``keep`` columns plus position and item of a computed array.
 

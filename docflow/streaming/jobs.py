@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -49,7 +49,8 @@ def index_batch(batch: DataFrame, batch_id: int, journal: str, chunks: str, make
     spark = batch.sparkSession
     hashed = batch.select("name", "text", changes.content_hash("text").alias("sha256"))
     try:
-        known = current_journal(spark.read.parquet(journal).where(F.col("version") < batch_id))
+        seen = spark.read.parquet(journal).where(F.col("version") < batch_id)
+        known = current_journal(seen.join(batch.select("name"), "name", "left_semi"))
     except Exception as e:  # the first batch finds no journal yet
         if "PATH_NOT_FOUND" not in str(e):
             raise
