@@ -313,12 +313,14 @@ def jsonld_fields() -> Column:
 
     def author(o: Column) -> Column:
         several = F.try_variant_get(o, "$.author", "array<variant>")
-        names = F.transform(
-            several,
-            lambda a: F.coalesce(F.try_variant_get(a, "$.name", "string"), F.when(F.schema_of_variant(a) == "STRING", F.try_variant_get(a, "$", "string"))),
-        )
+
+        def name(a: Column) -> Column:
+            bare = F.when(F.schema_of_variant(a) == "STRING", F.try_variant_get(a, "$", "string"))
+            return F.coalesce(F.try_variant_get(a, "$.name", "string"), bare)
+
+        names = F.transform(several, name)
         plain = F.when(F.schema_of_variant(o).contains("author: STRING"), text(o, "$.author"))
-        first_listed = F.get(F.filter(names, lambda n: n.isNotNull()), F.lit(0))
+        first_listed = F.get(F.filter(names, lambda n: n.isNotNull() & (n != "")), F.lit(0))
         return F.coalesce(text(o, "$.author.name"), F.nullif(norm_edges(first_listed), F.lit("")), plain)
 
     def first_of(pick) -> Column:
