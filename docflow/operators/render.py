@@ -64,23 +64,20 @@ _HEADINGS = {
 
 def record_items(leaves: DataFrame, doc_id: str) -> DataFrame:
     """``doc_id, section, kind, i, j, fields map<field, struct<raw, auto, keep>>``, one row per item."""
-    section, kind, parts = F.lit(None).cast("string"), F.lit(None).cast("string"), None
-    i = j = field = F.lit(None).cast("string")
+    place = None
     for order, name, pattern in reversed(_KINDS):
-        hit = F.col("path").rlike(pattern)
-        section = F.when(hit, order).otherwise(section)
-        kind = F.when(hit, name).otherwise(kind)
-        i = F.when(hit, F.regexp_extract("path", pattern, 1)).otherwise(i)
-        j = F.when(hit, F.regexp_extract("path", pattern, 2)).otherwise(j)
-        field = F.when(hit, F.regexp_extract("path", pattern, 3)).otherwise(field)
+        found = F.struct(
+            F.lit(order).alias("section"), F.lit(name).alias("kind"),
+            *[F.regexp_extract("path", pattern, n).alias(c) for n, c in enumerate(("i", "j", "field"), start=1)],
+        )
+        place = found if place is None else F.when(F.col("path").rlike(pattern), found).otherwise(place)
     value = F.struct(
         F.col("value").alias("raw"), norm_text("value").alias("auto"), norm_text("value", case_mode="keep").alias("keep")
     )
-    rows = leaves.where(F.col("type") != "empty").select(
-        doc_id, section.alias("section"), kind.alias("kind"),
-        F.coalesce(F.nullif(i, F.lit("")).cast("int"), F.lit(0)).alias("i"),
-        F.coalesce(F.nullif(j, F.lit("")).cast("int"), F.lit(0)).alias("j"),
-        field.alias("field"), value.alias("value"),
+    placed = leaves.where(F.col("type") != "empty").select(doc_id, place.alias("p"), value.alias("value"))
+    rows = placed.select(
+        doc_id, "p.section", "p.kind", F.coalesce(F.col("p.i").try_cast("int"), F.lit(0)).alias("i"),
+        F.coalesce(F.col("p.j").try_cast("int"), F.lit(0)).alias("j"), "p.field", "value",
     )
     return rows.groupBy(doc_id, "section", "kind", "i", "j").agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "value")))).alias("fields")
