@@ -171,7 +171,7 @@ def gate_dedupe_topk(spark, sf):
 
 def _s_context(gate):
     text = f"trim(left({s_space('text')}, 800))"
-    return f"""WITH d AS (SELECT query_id, 0 AS part, rank AS n, '[DOCX' || rank || '] ' || coalesce(title, 'Titre inconnu') || chr(10) || 'source: ' || source || chr(10) || 'extrait: ' || {text} AS block
+    return f"""WITH d AS (SELECT query_id, 0 AS part, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS n, '[DOCX' || row_number() OVER (PARTITION BY query_id ORDER BY rank) || '] ' || coalesce(title, 'Titre inconnu') || chr(10) || 'source: ' || source || chr(10) || 'extrait: ' || {text} AS block
       FROM ({HITS_SQL}) WHERE source_type = 'docx'),
     g AS ({gate}),
     w AS (SELECT query_id, 1 AS part, n, '[WEB' || n || '] ' || coalesce(title, upper(split_part(source, '/', 4)[1]) || split_part(source, '/', 4)[2:]) || chr(10) || 'site: ' || {s_domain('source')} || chr(10)
