@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docflow.llm import exact_dedup, packing, quality, substring_dedup, suffix_dedup, toxicity
+from docflow.llm import exact_dedup, jaccard_join, packing, quality, substring_dedup, suffix_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -73,3 +73,28 @@ def op6(spark, sf_dir):
 def op8(spark, sf_dir):
     rows = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+# Words and distinct five-word shingles of every text, as rows.
+SHINGLES = f"""
+    words AS (SELECT {{key}}, list_filter(regexp_split_to_array({ASCII_LOWER.format("coalesce(text, '')")}, '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS w FROM {{table}}),
+    {{name}} AS (
+        SELECT DISTINCT {{key}}, array_to_string(w[i:i+4], ' ') AS s
+        FROM (SELECT {{key}}, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM words WHERE len(w) > 0)
+    )"""
+
+
+@query(
+    "op1_jaccard_join",
+    f"""
+    WITH RECURSIVE {SHINGLES.format(key="doc_id", table="documents", name="shingles")},
+    sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+    common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingles a JOIN shingles b USING (s) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+    links AS (SELECT a, b FROM common JOIN sizes x ON a = x.doc_id JOIN sizes y ON b = y.doc_id WHERE 100 * c >= 80 * (x.n + y.n - c)),
+    reach(id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.id, links.b FROM reach JOIN links ON reach.other = links.a)
+    SELECT d.doc_id, coalesce(n, 0) AS n_shingles, min(other) AS component_id
+    FROM documents d LEFT JOIN sizes USING (doc_id) JOIN reach ON d.doc_id = reach.id GROUP BY ALL
+    """,
+)
+def op1(spark, sf_dir):
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
