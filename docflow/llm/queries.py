@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docflow.llm import exact_dedup, jaccard_join, packing, quality, substring_dedup, suffix_dedup, toxicity
+from docflow.llm import decontamination, exact_dedup, jaccard_join, packing, quality, substring_dedup, suffix_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -98,3 +98,17 @@ SHINGLES = f"""
 )
 def op1(spark, sf_dir):
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op9_decontamination",
+    f"""
+    WITH {SHINGLES.format(key="doc_id", table="documents", name="d")},
+    {SHINGLES.format(key="item_id", table="benchmark", name="i").replace("words", "item_words")},
+    sizes AS (SELECT item_id, count(*) AS n_item FROM i GROUP BY item_id),
+    hits AS (SELECT doc_id, item_id, count(*) AS n_shared FROM d JOIN i USING (s) GROUP BY doc_id, item_id)
+    SELECT doc_id, item_id, n_item, n_shared FROM hits JOIN sizes USING (item_id) WHERE 10 * n_shared >= 8 * n_item
+    """,
+)
+def op9(spark, sf_dir):
+    return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
