@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docflow.llm import decontamination, exact_dedup, jaccard_join, packing, quality, substring_dedup, suffix_dedup, toxicity
+from docflow.llm import decontamination, exact_dedup, jaccard_join, packing, pii, quality, substring_dedup, suffix_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -112,3 +112,14 @@ def op1(spark, sf_dir):
 )
 def op9(spark, sf_dir):
     return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op4_pii")
+def op4(spark, sf_dir):
+    rows = pii.find_personal_data(table(spark, sf_dir, "documents"))
+    joined = "array_join(transform({}, s -> concat(s.kind, ':', s.start, ':', s.end)), ',')"
+    counts = [F.expr(f"cast(size(filter(base, s -> s.kind = '{k}')) as bigint)").alias(f"n_{k}") for k in pii.BASE]
+    return rows.select(
+        "doc_id", *counts, F.sha2(F.expr(joined.format("base")), 256).alias("base_sha256"),
+        F.expr(joined.format("concat(base, added)")).alias("spans"),
+    )
