@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docflow.llm import decontamination, exact_dedup, jaccard_join, packing, pii, quality, substring_dedup, suffix_dedup, toxicity
+from docflow.llm import decontamination, exact_dedup, jaccard_join, line_dedup, packing, pii, quality, substring_dedup, suffix_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -123,3 +123,37 @@ def op4(spark, sf_dir):
         "doc_id", *counts, F.sha2(F.expr(joined.format("base")), 256).alias("base_sha256"),
         F.expr(joined.format("concat(base, added)")).alias("spans"),
     )
+
+
+@query(
+    "op3_line_dedup",
+    f"""
+    WITH cut AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+    lines AS (SELECT doc_id, unnest(parts) AS content, unnest(range(len(parts))) AS line FROM cut),
+    sets AS (
+        SELECT doc_id, line, list_sort(list_distinct(list_filter(regexp_split_to_array({ASCII_LOWER.format("content")}, '[\\x20\\x09-\\x0D]+'), x -> x <> ''))) AS w
+        FROM lines
+    ),
+    nodes AS (SELECT w, min((doc_id, line)) AS at FROM sets WHERE len(w) >= 5 GROUP BY w),
+    named AS (SELECT row_number() OVER (ORDER BY at) AS node, w, at FROM nodes),
+    tokens AS (SELECT node, len(w) AS n, unnest(w) AS token FROM named),
+    counts AS (SELECT token, count(*) AS df FROM tokens GROUP BY token),
+    placed AS (SELECT node, n, token, row_number() OVER (PARTITION BY node ORDER BY df, token) AS pos FROM tokens JOIN counts USING (token)),
+    prefixes AS (SELECT * FROM placed WHERE pos <= n - (4 * n + 4) // 5 + 1),
+    pairs AS (SELECT DISTINCT a.node AS a, b.node AS b FROM prefixes a JOIN prefixes b USING (token) WHERE a.node < b.node AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)),
+    near AS (
+        SELECT DISTINCT b FROM pairs JOIN named x ON a = x.node JOIN named y ON b = y.node
+        WHERE 9 * len(list_intersect(x.w, y.w)) >= 4 * (len(x.w) + len(y.w))
+    ),
+    gone AS (
+        SELECT doc_id, line FROM sets JOIN named USING (w)
+        WHERE (doc_id, line) <> at OR node IN (SELECT b FROM near)
+    )
+    SELECT cut.doc_id, len(parts) AS n_lines, coalesce(n, 0) AS n_removed,
+        sha256(coalesce(array_to_string(list_filter(parts, (x, i) -> NOT list_contains(coalesce(out, []), i - 1)), chr(10)), '')) AS kept_sha256
+    FROM cut LEFT JOIN (SELECT doc_id, count(*) AS n, list(line) AS out FROM gone GROUP BY doc_id) USING (doc_id)
+    """,
+)
+def op3(spark, sf_dir):
+    rows = line_dedup.remove_matching_lines(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
