@@ -85,8 +85,8 @@ class _Sparse:
 
     def __init__(self, rows: list[np.ndarray], width: int):
         self.n, self.width = len(rows), width
-        self.row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-        self.col = np.concatenate(rows) if rows else np.empty(0, dtype=np.int64)
+        self.row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
+        self.col = np.concatenate(rows).astype(np.int32) if rows else np.empty(0, dtype=np.int32)
 
     def times(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, weights=w[self.col], minlength=self.n)
@@ -162,9 +162,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = M
     terms = [int(np.uint64(w).view(np.int64)) for w in swaps(how.get("terms", IDENTITY_TERMS))]
     flat = flat.join(shared.select("word", F.lit(True).alias("shared")), "word", "left")
     kept = F.when(F.col("shared") | F.col("word").isin(terms), F.col("word"))
-    table = flat.groupBy("doc_id", "y").agg(F.array_sort(F.collect_set(kept)).alias("words")).orderBy("doc_id", "y").toPandas()
-    texts = [np.sort(np.asarray(w, dtype=np.int64).view(np.uint64)) for w in table["words"]]
-    return train(texts, table["y"].to_numpy(dtype=float), **how)
+    rows = flat.groupBy("doc_id", "y").agg(F.array_sort(F.collect_set(kept)).alias("words")).orderBy("doc_id", "y").toArrow()
+    texts = []
+    for column in rows.column("words").chunks:  # flat buffers: the sample never becomes Python objects
+        values, ends = column.values.to_numpy().view(np.uint64), column.offsets.to_numpy()
+        texts += [np.sort(values[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+    return train(texts, rows.column("y").to_numpy(), **how)
 
 
 def score(docs: DataFrame, model: WordModel) -> DataFrame:
