@@ -14,18 +14,19 @@ def snapshot_diff(before: DataFrame, now: DataFrame, rebuild_kinds: tuple[str, .
     """``kind, name, status`` for two ``(kind, name, sha256)`` snapshots.
 
     Status is added, modified, deleted or unchanged. Kinds in ``rebuild_kinds`` (derived output is
-    missing) report every present source as modified.
+    missing) report every present source as modified. Presence is a row's own; a source without
+    content has a null hash and is still there.
     """
-    old = before.select("kind", "name", F.col("sha256").alias("old_hash"))
-    new = now.select("kind", "name", F.col("sha256").alias("new_hash"))
+    old = before.select("kind", "name", F.col("sha256").alias("old_hash"), F.lit(True).alias("_was"))
+    new = now.select("kind", "name", F.col("sha256").alias("new_hash"), F.lit(True).alias("_is"))
     forced = F.col("kind").isin(*rebuild_kinds) if rebuild_kinds else F.lit(False)
     status = (
-        F.when(F.col("new_hash").isNull(), "deleted")
-        .when(F.col("old_hash").isNull(), "added")
-        .when((F.col("old_hash") != F.col("new_hash")) | forced, "modified")
+        F.when(F.col("_is").isNull(), "deleted")
+        .when(F.col("_was").isNull(), "added")
+        .when(~F.col("old_hash").eqNullSafe(F.col("new_hash")) | forced, "modified")
         .otherwise("unchanged")
     )
-    return old.join(new, ["kind", "name"], "full").withColumn("status", status)
+    return old.join(new, ["kind", "name"], "full").withColumn("status", status).drop("_was", "_is")
 
 
 def latest_snapshot(journal: DataFrame) -> DataFrame:

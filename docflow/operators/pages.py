@@ -268,15 +268,15 @@ def page_records(parsed: DataFrame, url: str = "url") -> DataFrame:
     )
 
 
-def page_is_useful(parsed: DataFrame, stop_at: int = 5) -> DataFrame:
-    """``n_blocks`` (counted up to ``stop_at``) of at least eight characters, and the keep flag."""
+def page_is_useful(parsed: DataFrame) -> DataFrame:
+    """``n_blocks`` of at least eight characters, and the keep flag."""
     root = F.col("root")
 
     def good(e: Column) -> Column:
         text = _text_of(e)
         return e["tag"].isin(*BLOCK_TAGS) & _inside(e, root) & (F.length(text) >= 8) & ~is_irrelevant_text(text)
 
-    counted = with_root(parsed).withColumn("n_blocks", F.least(F.size(F.filter(F.col(_ELS), good)), F.lit(stop_at)))
+    counted = with_root(parsed).withColumn("n_blocks", F.size(F.filter(F.col(_ELS), good)))
     return counted.withColumn("useful", F.col("n_blocks") > 0).drop("root")
 
 
@@ -438,14 +438,17 @@ def is_exam_page(url: Column | str) -> Column:
 
 
 def chunks_web(blocks: DataFrame, title: Column, url: Column, file: Column) -> DataFrame:
-    """One chunk per non-blank block, with normalised title, source and original section position."""
+    """One chunk per non-blank block, with normalised title, source and original section position.
+
+    Ids come from the full URL, as pages that differ in the query share a file name.
+    """
     located = ux.url_abs_normalize(url, F.lit(None).cast("string"), file)
     text = norm_edges(F.col("text"))
     return (
         blocks.withColumn("loc", located)
         .where(text != "")
         .select(
-            F.sha2(F.concat_ws("|", file, F.col("block_no").cast("string")), 256).alias("chunk_id"),
+            F.sha2(F.concat_ws("|", url, file, F.col("block_no").cast("string")), 256).alias("chunk_id"),
             F.lit("web").alias("source_type"),
             text.alias("text"),
             norm_for_eq(first_nonblank(title, default="Sans titre")).alias("title"),

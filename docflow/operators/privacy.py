@@ -88,9 +88,28 @@ def keyed_number(salt: str, key: Column, field: str) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
 
 
-def _pick(options, salt: str, key: Column, field: str) -> Column:
-    at = F.pmod(keyed_number(salt, key, field), F.lit(len(options))).cast("int")
-    return F.get(constant(options), at)
+def _plain(text: str) -> str:
+    """``plain_name`` of a constant."""
+    folded = unicodedata.normalize("NFKD", text.lower()).lower()
+    return " ".join("".join(c for c in folded if unicodedata.category(c) != "Mn").split())
+
+
+def _pick(options, salt: str, key: Column, field: str, own: Column | None = None) -> Column:
+    """One of the options; those whose plain form is among ``own`` are left out before the pick.
+
+    If none is left, a numbered form of the first option is taken, so the real value never comes out.
+    """
+    number = keyed_number(salt, key, field)
+    if own is None:
+        return F.get(constant(options), F.pmod(number, F.lit(len(options))).cast("int"))
+    plain = constant({o: _plain(o) for o in options})
+    left = F.filter(constant(options), lambda o: ~F.array_contains(own, plain[o]))
+    return let(
+        left,
+        lambda some: F.when(
+            F.size(some) > 0, F.get(some, F.pmod(number, F.greatest(F.size(some), F.lit(1))).cast("int"))
+        ).otherwise(F.lit(f"{options[0]}#0")),
+    )
 
 
 def age_distribution(mean: float = 83, sd: float = 6.5, low: int = 60, high: int = 100) -> list[tuple[int, float]]:
@@ -114,29 +133,43 @@ def sample_dob(salt: str, key: Column, as_of_year: int) -> Column:
     return F.date_format(F.make_date(F.lit(as_of_year) - age, month.cast("int"), day.cast("int")), "yyyy-MM-dd")
 
 
-def with_persona(people: DataFrame, key: Column, gender: Column, salt: str, as_of_year: int, pools: Pools = Pools()) -> DataFrame:
-    """Add the persona columns: names, address, client id, contact placeholders, title, birth date."""
+def with_persona(people: DataFrame, key: Column, gender: Column, salt: str, as_of_year: int, pools: Pools = Pools(),
+                 own: Column | None = None) -> DataFrame:
+    """Add the persona columns: names, address, client id, contact placeholders, title, birth date.
+
+    ``own`` is an array of the person's real values in plain form; no alias is taken from it.
+    """
     if not salt:
         raise ValueError("a secret salt is required: unsalted pseudonyms can be recomputed by anyone")
     known = F.coalesce(gender, F.lit("?"))
-    town = F.pmod(keyed_number(salt, key, "town"), F.lit(len(pools.towns))).cast("int")
+    towns = {f"{code} {name}": (code, name) for code, name in pools.towns}
+    if own is None:
+        town = _pick(tuple(towns), salt, key, "town")
+    else:
+        mine = F.filter(
+            F.transform(constant(list(towns)), plain_name),
+            lambda t: F.exists(own, lambda o: (F.substring_index(t, " ", 1) == o) | (F.regexp_replace(t, "^[^ ]* ", "") == o)),
+        )
+        town = _pick(tuple(towns), salt, key, "town", mine)
     number = (F.pmod(keyed_number(salt, key, "number"), F.lit(199)) + 1).cast("string")
 
+    streets = None if own is None else F.transform(own, lambda o: F.regexp_replace(o, "^[0-9]+ ?(?:bis |ter )?,? ?", ""))
+
     def of_town(i: int) -> Column:
-        return F.get(constant([t[i] for t in pools.towns]), town)
+        return F.coalesce(constant({k: v[i] for k, v in towns.items()})[town], F.lit(f"{pools.towns[0][i]}#0"))
 
     first = (
-        F.when(known == "M", _pick(pools.first_m, salt, key, "first"))
-        .when(known == "F", _pick(pools.first_f, salt, key, "first"))
-        .otherwise(_pick(pools.first_m + pools.first_f, salt, key, "first"))
+        F.when(known == "M", _pick(pools.first_m, salt, key, "first", own))
+        .when(known == "F", _pick(pools.first_f, salt, key, "first", own))
+        .otherwise(_pick(pools.first_m + pools.first_f, salt, key, "first", own))
     )
     title = F.when(known == "M", "M.").when(known == "F", "Mme").otherwise(_pick(("M.", "Mme"), salt, key, "title"))
     digest = F.sha2(F.concat_ws("|", F.lit(salt), key, F.lit("client")), 256)
     return people.select(
         "*",
         first.alias("first_name"),
-        _pick(pools.last, salt, key, "last").alias("last_name"),
-        F.concat(number, F.lit(" "), _pick(pools.streets, salt, key, "street")).alias("address_line"),
+        _pick(pools.last, salt, key, "last", own).alias("last_name"),
+        F.concat(number, F.lit(" "), _pick(pools.streets, salt, key, "street", streets)).alias("address_line"),
         of_town(0).alias("postcode"),
         of_town(1).alias("commune"),
         F.lit("Accès : interphone").alias("commentaire"),
@@ -165,15 +198,23 @@ def personas(leaves: DataFrame, doc_id: str, salt: str, as_of_year: int, pools:
     def field(*names: str) -> Column:
         return F.max(F.when(F.col("path").rlike(r"personnePhysique\.(" + "|".join(names) + ")$"), F.col("value")))
 
+    named = F.col("path").rlike(r"personnePhysique\.(nomFamille|nomUtilise|prenomsActeNaissance|premierPrenomActeNaissance|prenomUtilise)$")
+    placed = F.col("path").isin("usager.adresse.ligne[0]", "usager.adresse.codePostal", "usager.adresse.libelleCommune")
+    # a name of several words counts as a whole and word by word
+    whole = plain_name(F.col("value"))
+    real = F.when(named, F.concat(F.array(whole), F.split(whole, " "))).when(placed, F.array(whole))
     extra = [] if targets is None else [F.collect_list(targets).alias("targets")]
     people = (
         leaves.withColumn("who", _who())
         .where(F.col("who").isNotNull())
         .groupBy(doc_id, "who")
-        .agg(field("sexe", "Sexe").alias("sex"), field("civilite", "Civilite").alias("title"), *extra)
+        .agg(
+            field("sexe", "Sexe").alias("sex"), field("civilite", "Civilite").alias("title"),
+            F.array_distinct(F.flatten(F.collect_set(real))).alias("own"), *extra,
+        )
     )
     key = F.concat_ws("|", F.col(doc_id).cast("string"), "who")
-    return with_persona(people, key, detect_gender(F.col("sex"), F.col("title")), salt, as_of_year, pools)
+    return with_persona(people, key, detect_gender(F.col("sex"), F.col("title")), salt, as_of_year, pools, F.col("own")).drop("own")
 
 
 def replacements(leaves: DataFrame, doc_id: str, salt: str, as_of_year: int, pools: Pools = Pools()) -> DataFrame:
@@ -257,17 +298,20 @@ def missing_defaults(leaves: DataFrame, doc_id: str) -> DataFrame:
 # ------------------------------------------------------------------ free text
 
 def _letter_classes() -> dict[str, str]:
-    """Each plain letter to a character class of all its cases and accents in the Latin blocks."""
+    """Each plain letter to a character class of all letters that ``plain_name`` folds to it."""
     forms = {c: c + c.upper() for c in "abcdefghijklmnopqrstuvwxyz"}
-    for code in range(0xC0, 0x250):
-        base = unicodedata.normalize("NFD", chr(code))[0].lower()
-        if base in forms:
-            forms[base] += chr(code)
+    for code in range(0xAA, 0x10000):
+        ch = chr(code)
+        if not ch.isalpha():
+            continue
+        plain = [x for x in unicodedata.normalize("NFKD", ch.lower()) if unicodedata.category(x) != "Mn"]
+        if len(plain) == 1 and plain[0].lower() in forms:
+            forms[plain[0].lower()] += ch
     return {c: f"[{v}]\\p{{Mn}}*" for c, v in forms.items()}
 
 
 def plain_name(x: Column) -> Column:
-    return norm_space(strip_accents(F.lower(x), "NFKD"))
+    return norm_space(F.lower(strip_accents(F.lower(x), "NFKD")))
 
 
 def _loose_pattern(plain: Column) -> Column:
@@ -390,9 +434,14 @@ def seen_aliases(masked: DataFrame, doc_id: str) -> DataFrame:
 
 
 def mapping_by_doc(mapping: DataFrame, doc_id: str) -> DataFrame:
-    """``doc_id, mapping map<alias, original>``; a document's mapping is as small as its record."""
-    pairs = mapping.select(doc_id, "alias", "original").distinct()
-    one = pairs.groupBy(doc_id, "alias").agg(F.max("original").alias("original"))
+    """``doc_id, mapping map<alias, original>``; a document's mapping is as small as its record.
+
+    An alias with several spellings gets the one that a record field holds (``field`` true, if there is
+    such a column), else the last one in order.
+    """
+    proper = F.coalesce(F.col("field"), F.lit(False)) if "field" in mapping.columns else F.lit(False)
+    pairs = mapping.select(doc_id, "alias", "original", proper.alias("field")).distinct()
+    one = pairs.groupBy(doc_id, "alias").agg(F.max_by("original", F.struct("field", "original")).alias("original"))
     return one.groupBy(doc_id).agg(F.map_from_entries(F.collect_list(F.struct("alias", "original"))).alias("mapping"))
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from dataclasses import dataclass
+
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,12 +13,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docflow.functions import urls as ux
-from docflow.functions.text import cap_text, let, norm_edges, shorten_ellipsis, strip_accents
+from docflow.functions.text import cap_text, let, norm_edges, norm_space, shorten_ellipsis, strip_accents
 from docflow.functions.wordlists import STOP_WORDS
 
 DOCX_K, WEB_K, OVERFETCH = 5, 3, 3
 MIN_SIMILARITY, MIN_NOVELTY, MAX_NOVELTY = 0.60, 0.30, 0.75
-PASSAGE_CHARS, REFERENCE_CHARS, MAX_TERMS = 800, 12000, 12000
+
+
+@dataclass(frozen=True)
+class Caps:
+    """Cuts of passages, of the joined reference text and of the vocabulary; None takes everything."""
+
+    passage_chars: int | None = None
+    reference_chars: int | None = None
+    terms: int | None = None
+
+
+WHOLE = Caps()
+#: Fixed values of the cutting form.
+COMPAT_CAPS = Caps(800, 12000, 12000)
 NO_WEB = "Aucun lien web pertinent pour cette recherche."
 _EPS = 1e-8
 _CELLS = 4_000_000  # largest score matrix a task holds at once
@@ -210,12 +226,13 @@ def _terms(text: Column) -> Column:
     return let(words, with_pairs)
 
 
-def tfidf_novelty(passages: DataFrame, max_terms: int = MAX_TERMS) -> DataFrame:
+def tfidf_novelty(passages: DataFrame, max_terms: int | None = None) -> DataFrame:
     """``query_id, doc_no, novelty`` = 1 - cosine(reference, passage) in a per-query TF-IDF space.
 
     ``passages(query_id, doc_no, text)``: number 0 is the reference text, others are candidates. A
-    query's corpus is bounded by the passage caps, so the texts are hashed by query once and every
-    later aggregation, ranking and norm runs inside that partitioning without another shuffle.
+    query's corpus is its top hits, so the texts are hashed by query once and every later aggregation,
+    ranking and norm runs inside that partitioning without another shuffle. All terms count unless
+    ``max_terms`` keeps the most frequent ones (``COMPAT_CAPS`` has the values that cut).
     """
     by_query = Window.partitionBy("query_id")
     by_term = Window.partitionBy("query_id", "term")
@@ -230,10 +247,13 @@ def tfidf_novelty(passages: DataFrame, max_terms: int = MAX_TERMS) -> DataFrame:
         counts.withColumn("df", F.count("*").over(by_term))
         .withColumn("total", F.sum("tf").over(by_term))
         .withColumn("ref_tf", F.max(F.when(F.col("doc_no") == 0, F.col("tf"))).over(by_term))
-        .withColumn("place", F.dense_rank().over(by_query.orderBy(F.desc("total"), F.asc_nulls_last("term"))))
     )
     idf = F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1
-    used = F.col("term").isNotNull() & (F.col("place") <= max_terms)
+    used = F.col("term").isNotNull()
+    if max_terms is not None:
+        place = F.dense_rank().over(by_query.orderBy(F.desc("total"), F.asc_nulls_last("term")))
+        weighed = weighed.withColumn("place", place)
+        used = used & (F.col("place") <= max_terms)
     w = F.when(used, F.col("tf") * idf).otherwise(0.0)
     ref = F.when(used, F.coalesce("ref_tf", F.lit(0)) * idf).otherwise(0.0)
     sums = weighed.groupBy("query_id", "doc_no").agg(F.sqrt(F.sum(w * w)).alias("norm"), F.sum(w * ref).alias("dot"))
@@ -244,7 +264,11 @@ def tfidf_novelty(passages: DataFrame, max_terms: int = MAX_TERMS) -> DataFrame:
     )
 
 
-def novelty_of_hits(hits: DataFrame) -> DataFrame:
+def _cut(text: Column, chars: int | None) -> Column:
+    return norm_space(text) if chars is None else cap_text(text, chars)
+
+
+def novelty_of_hits(hits: DataFrame, caps: Caps = WHOLE) -> DataFrame:
     """Novelty of each web hit against the joined guideline hits of its query."""
     text = norm_edges(F.coalesce("text", F.lit("")))
     # the reference holds at most the guideline top-k of one query
@@ -252,13 +276,13 @@ def novelty_of_hits(hits: DataFrame) -> DataFrame:
     reference = (
         hits.where(F.col("source_type") == "docx")
         .groupBy("query_id")
-        .agg(cap_text(F.array_join(in_order, " "), REFERENCE_CHARS).alias("text"))
+        .agg(_cut(F.array_join(in_order, " "), caps.reference_chars).alias("text"))
         .select("query_id", F.lit(0).alias("doc_no"), "text")
     )
     web = hits.where((F.col("source_type") == "web") & (text != "")).select(
-        "query_id", F.col("rank").alias("doc_no"), cap_text(text, PASSAGE_CHARS).alias("text")
+        "query_id", F.col("rank").alias("doc_no"), _cut(text, caps.passage_chars).alias("text")
     )
-    return tfidf_novelty(reference.unionByName(web)).withColumnRenamed("doc_no", "rank")
+    return tfidf_novelty(reference.unionByName(web), caps.terms).withColumnRenamed("doc_no", "rank")
 
 
 def gate_web(web: DataFrame, web_limit: int = WEB_K, min_similarity: float = MIN_SIMILARITY,
@@ -276,9 +300,13 @@ def gate_web(web: DataFrame, web_limit: int = WEB_K, min_similarity: float = MIN
 
 # ------------------------------------------------------------------ context
 
-def docx_blocks(hits: DataFrame) -> DataFrame:
+def _excerpt(text: Column, chars: int | None) -> Column:
+    return text if chars is None else shorten_ellipsis(text, chars)
+
+
+def docx_blocks(hits: DataFrame, caps: Caps = WHOLE) -> DataFrame:
     """Formatted guideline passages; blank passages take no number."""
-    text = cap_text(norm_edges(F.coalesce("text", F.lit(""))), PASSAGE_CHARS)
+    text = _cut(norm_edges(F.coalesce("text", F.lit(""))), caps.passage_chars)
     title = F.coalesce(F.nullif(F.trim("title"), F.lit("")), F.lit("Titre inconnu"))
     if "fiche_numero" in hits.columns:
         numbered = F.concat(F.lit("Fiche "), F.col("fiche_numero").cast("string"), F.lit(" — "), title)
@@ -289,13 +317,13 @@ def docx_blocks(hits: DataFrame) -> DataFrame:
     source = F.coalesce(F.nullif(F.trim("source"), F.lit("")), F.lit("Source inconnue"))
     block = F.concat(
         F.lit("[DOCX"), n.cast("string"), F.lit("] "), title, F.lit("\nsource: "), source,
-        F.lit("\nextrait: "), shorten_ellipsis(text, PASSAGE_CHARS),
+        F.lit("\nextrait: "), _excerpt(text, caps.passage_chars),
     )
     return filled.select("query_id", F.lit(0).alias("part"), n.alias("n"), block.alias("block"))
 
 
-def web_blocks(gated: DataFrame) -> DataFrame:
-    text = cap_text(norm_edges("text"), PASSAGE_CHARS)
+def web_blocks(gated: DataFrame, caps: Caps = WHOLE) -> DataFrame:
+    text = _cut(norm_edges("text"), caps.passage_chars)
     source = F.coalesce(F.trim("source"), F.lit(""))
     slug = F.nullif(ux.slug_title(source, strip_number=False), F.lit(""))
     host = F.nullif(ux.url_domain(source), F.lit(""))
@@ -307,7 +335,7 @@ def web_blocks(gated: DataFrame) -> DataFrame:
         F.lit("[WEB"), F.col("n").cast("string"), F.lit("] "), title,
         F.lit("\nsite: "), F.coalesce(host, F.lit("source_web_inconnue")),
         F.lit("\nurl: "), F.coalesce(F.nullif(source, F.lit("")), F.lit("[URL indisponible]")),
-        F.lit("\nextrait: "), shorten_ellipsis(text, PASSAGE_CHARS),
+        F.lit("\nextrait: "), _excerpt(text, caps.passage_chars),
     )
     return gated.select("query_id", F.lit(1).alias("part"), "n", block.alias("block"))
 
@@ -333,9 +361,9 @@ def format_context(queries: DataFrame, docx: DataFrame, web: DataFrame, web_limi
 
 def prompt_table(requests: DataFrame, contexts: DataFrame, template: str, system: str) -> DataFrame:
     """Ready-to-send prompts. ``template`` uses ``{user_input}``, ``{record}`` and ``{context}``."""
-    user = F.lit(template)
-    for slot in ("user_input", "record", "context"):
-        user = F.replace(user, F.lit("{" + slot + "}"), F.coalesce(slot, F.lit("")))
+    # the template is cut at its slots once, so text that looks like a slot is never filled
+    parts = re.split(r"\{(user_input|record|context)\}", template)
+    user = F.concat(*[F.coalesce(F.col(p), F.lit("")) if n % 2 else F.lit(p) for n, p in enumerate(parts)])
     joined = requests.join(contexts, "query_id", "left")
     return joined.select(
         "query_id",

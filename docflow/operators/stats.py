@@ -36,8 +36,8 @@ def index_stats(chunks: DataFrame, approx: bool = False) -> DataFrame:
     )
 
 
-def key_presence(df: DataFrame, keys: list[str], order: str, first: int | None = 200) -> DataFrame:
-    """``key, n_present`` over the first rows in id order (the whole table with ``first=None``)."""
+def key_presence(df: DataFrame, keys: list[str], order: str, first: int | None = None) -> DataFrame:
+    """``key, n_present`` over the whole table, or over the ``first`` rows in id order."""
     rows = df if first is None else df.orderBy(order).limit(first)
 
     def blank(k: str) -> Column:

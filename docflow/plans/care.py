@@ -31,8 +31,9 @@ def safe_records(source: DataFrame, doc_id: str, json: str, salt: str, as_of_yea
     changes = materialize(privacy.replacements(leaves, doc_id, salt, as_of_year, pools), "replacements")
     replaced = privacy.apply_replacements(leaves, changes, doc_id).unionByName(privacy.missing_defaults(leaves, doc_id))
     masked = materialize(privacy.mask_leaves(replaced, privacy.name_rules(changes, doc_id), doc_id), "masked")
-    pairs = changes.where("mapped").select(doc_id, "alias", "original")
-    mapping = privacy.mapping_by_doc(pairs.unionByName(privacy.seen_aliases(masked, doc_id)), doc_id)
+    pairs = changes.where("mapped").select(doc_id, "alias", "original", F.lit(True).alias("field"))
+    seen = privacy.seen_aliases(masked, doc_id).withColumn("field", F.lit(False))
+    mapping = privacy.mapping_by_doc(pairs.unionByName(seen), doc_id)
     return SafeRecords(render.record_text(masked, doc_id), mapping)
 
 

@@ -302,7 +302,7 @@ def index_stats(spark, sf):
 @query(
     "key_presence",
     f"""WITH c AS (SELECT * FROM (SELECT chunk_id, fiche_id, NULL AS url, source, title FROM ({DOCX_CHUNKS_SQL})
-        UNION ALL SELECT chunk_id, NULL, url, source, title FROM ({WEB_CHUNKS_SQL})) ORDER BY chunk_id LIMIT 200)
+        UNION ALL SELECT chunk_id, NULL, url, source, title FROM ({WEB_CHUNKS_SQL})))
        SELECT 'fiche_id' AS key, count(*) FILTER (coalesce(fiche_id, '') <> '') AS n_present FROM c UNION ALL
        SELECT 'url', count(*) FILTER (coalesce(url, '') <> '') FROM c UNION ALL SELECT 'source', count(*) FILTER (coalesce(source, '') <> '') FROM c
        UNION ALL SELECT '__empty__', 0""",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from docflow.functions.wordlists import STOP_WORDS
 from docflow.operators import retrieval as rt
+from docflow.runtime import materialize
 from docflow.registry.base import query, s_domain, s_list, s_space, table
 
 # Test vectors are nearly orthogonal; these gate values keep part of the candidates.
@@ -124,15 +125,15 @@ def _s_novelty(passages):
     terms AS (SELECT query_id, doc_no, unnest(w || list_transform(w[:-2], lambda x, i: x || ' ' || w[i + 1])) AS term FROM words),
     tf AS (SELECT query_id, doc_no, term, count(*) AS tf FROM terms GROUP BY ALL),
     dfs AS (SELECT query_id, term, count(*) AS df, row_number() OVER (PARTITION BY query_id ORDER BY sum(tf) DESC, term) AS r FROM tf GROUP BY query_id, term),
-    w AS (SELECT tf.query_id, doc_no, tf.term, tf * (ln((1 + n) / (1 + df)) + 1) AS w FROM tf JOIN dfs ON dfs.query_id = tf.query_id AND dfs.term = tf.term JOIN sizes ON sizes.query_id = tf.query_id WHERE r <= 12000),
+    w AS (SELECT tf.query_id, doc_no, tf.term, tf * (ln((1 + n) / (1 + df)) + 1) AS w FROM tf JOIN dfs ON dfs.query_id = tf.query_id AND dfs.term = tf.term JOIN sizes ON sizes.query_id = tf.query_id),
     norms AS (SELECT query_id, doc_no, sqrt(sum(w * w)) AS norm FROM w GROUP BY ALL),
     dots AS (SELECT a.query_id, a.doc_no, sum(a.w * b.w) AS dot FROM w a JOIN w b ON a.query_id = b.query_id AND a.term = b.term AND b.doc_no = 0 GROUP BY ALL)
     SELECT p.query_id, p.doc_no, 1 - coalesce(dot / (norms.norm * z.norm), 0) AS novelty FROM passages p LEFT JOIN dots ON dots.query_id = p.query_id AND dots.doc_no = p.doc_no
     LEFT JOIN norms ON norms.query_id = p.query_id AND norms.doc_no = p.doc_no LEFT JOIN norms z ON z.query_id = p.query_id AND z.doc_no = 0 WHERE p.doc_no > 0"""
 
 
-HIT_PASSAGES_SQL = f"""SELECT query_id, 0 AS doc_no, left({s_space("string_agg(text, ' ' ORDER BY rank)")}, 12000) AS text FROM ({HITS_SQL}) WHERE source_type = 'docx' GROUP BY query_id
-  UNION ALL SELECT query_id, rank, left({s_space('text')}, 800) FROM ({HITS_SQL}) WHERE source_type = 'web'"""
+HIT_PASSAGES_SQL = f"""SELECT query_id, 0 AS doc_no, {s_space("string_agg(text, ' ' ORDER BY rank)")} AS text FROM ({HITS_SQL}) WHERE source_type = 'docx' GROUP BY query_id
+  UNION ALL SELECT query_id, rank, {s_space('text')} FROM ({HITS_SQL}) WHERE source_type = 'web'"""
 SCORED_SQL = f"SELECT h.*, v.novelty FROM ({HITS_SQL}) h JOIN ({_s_novelty(HIT_PASSAGES_SQL)}) v ON v.query_id = h.query_id AND v.doc_no = h.rank WHERE h.source_type = 'web'"
 
 
@@ -170,7 +171,7 @@ def gate_dedupe_topk(spark, sf):
 
 
 def _s_context(gate):
-    text = f"trim(left({s_space('text')}, 800))"
+    text = f"trim({s_space('text')})"
     return f"""WITH d AS (SELECT query_id, 0 AS part, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS n, '[DOCX' || row_number() OVER (PARTITION BY query_id ORDER BY rank) || '] ' || coalesce(title, 'Titre inconnu') || chr(10) || 'source: ' || source || chr(10) || 'extrait: ' || {text} AS block
       FROM ({HITS_SQL}) WHERE source_type = 'docx'),
     g AS ({gate}),
@@ -184,7 +185,7 @@ CONTEXT_SQL = _s_context(GATE_SQL)
 
 
 def contexts(spark, sf, limits=(MIN_SIM, MIN_NOV, MAX_NOV)):
-    found = hits(spark, sf)
+    found = materialize(hits(spark, sf), "hits")  # read by four branches, searched once
     return rt.format_context(
         source_queries(spark, sf), rt.docx_blocks(found), rt.web_blocks(gated(spark, sf, found, limits))
     )

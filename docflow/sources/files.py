@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -44,11 +45,11 @@ def patient_records(files: DataFrame) -> DataFrame:
 
 
 def _paragraphs(content: bytes) -> list[str] | None:
-    """Non-blank body paragraphs of a DOCX file, None when it cannot be read."""
+    """Non-blank body paragraphs of a DOCX file, None when it is damaged, encrypted or packed in an unknown way."""
     try:
         with zipfile.ZipFile(io.BytesIO(content)) as z:
             body = ElementTree.fromstring(z.read("word/document.xml")).find(f"{_W}body")
-    except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
+    except (zipfile.BadZipFile, zlib.error, KeyError, EOFError, OSError, RuntimeError, ElementTree.ParseError):
         return None
     marks = {f"{_W}tab": "\t", f"{_W}br": "\n", f"{_W}cr": "\n"}
     texts = (
@@ -75,10 +76,18 @@ def docx_texts(files: DataFrame) -> DataFrame:
     return rows.select("file", F.array_join("p", "\n").alias("text"))
 
 
+def unreadable_docx(files: DataFrame) -> DataFrame:
+    """Files that ``docx_texts`` leaves out."""
+    return files.where(docx_paragraphs("content").isNull()).select("file")
+
+
 def file_inventory(spark: SparkSession, path: str, pattern: str = "*.json") -> DataFrame:
-    """``folder, n_files, n_bytes`` below a path; file contents are not read."""
+    """``folder, n_files, n_bytes`` by folder relative to ``path``, which has its own name; contents are not read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
-    folder = F.regexp_extract("path", r"([^/]*)/[^/]*$", 1)
+    parent = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
+    below = F.substring_index(F.concat(parent, F.lit("/")), path.rstrip("/") + "/", -1)
+    own = path.rstrip("/").rpartition("/")[2]
+    folder = F.coalesce(F.nullif(F.rtrim(below, F.lit("/")), F.lit("")), F.lit(own))
     return files.select(folder.alias("folder"), "length").groupBy("folder").agg(
         F.count("*").alias("n_files"), F.sum("length").alias("n_bytes")
     )

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docflow.operators.ordered import with_last_before
+from docflow.runtime import materialize
 
 FILE_NAME = r"^[A-Za-z0-9_\-\.]+\.json$"
 
@@ -15,9 +17,30 @@ def write_chunks(chunks: DataFrame, path: str) -> None:
     chunks.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source_type").parquet(path)
 
 
+def _upsert(rows: DataFrame, path: str, key: str, form: str) -> None:
+    """Replace the stored rows whose key ``rows`` holds, keep the others.
+
+    The merged table is complete in the scratch folder before the stored one is replaced.
+    """
+    spark = rows.sparkSession
+    try:
+        stored = spark.read.format(form).schema(rows.schema).load(path)
+    except AnalysisException as e:  # nothing is stored yet
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+    else:
+        rows = materialize(stored.join(rows.select(key), key, "left_anti").select(*rows.columns).unionByName(rows), "upsert")
+    rows.write.mode("overwrite").format(form).save(path)
+
+
+def upsert_chunks(chunks: DataFrame, path: str) -> None:
+    """Replace chunks by ``chunk_id``; other chunks stay, of the same collection too."""
+    _upsert(chunks, path, "chunk_id", "parquet")
+
+
 def write_pages(pages: DataFrame, path: str) -> None:
-    """Page records as JSON rows. The full URL is the key, so pages that differ in the query all stay."""
-    pages.write.mode("overwrite").json(path)
+    """Page records as JSON rows, replaced by URL. Pages that differ in the query all stay."""
+    _upsert(pages, path, "url", "json")
 
 
 def key_collisions(pages: DataFrame, key: str = "page_key") -> DataFrame:
@@ -36,7 +59,8 @@ def winning_fiches(fiches: DataFrame) -> DataFrame:
 
 
 def write_fiches(fiches: DataFrame, path: str) -> None:
-    winning_fiches(fiches).write.mode("overwrite").json(path)
+    """Winning sheets as JSON rows, replaced by id; sheets of earlier files stay."""
+    _upsert(winning_fiches(fiches), path, "fiche_id", "json")
 
 
 def append_snapshot(snapshot: DataFrame, as_of: Column, path: str) -> None:
@@ -45,9 +69,9 @@ def append_snapshot(snapshot: DataFrame, as_of: Column, path: str) -> None:
 
 
 def write_chat_exports(exports: DataFrame, day: str, path: str) -> None:
-    """Markdown exports below ``patient=.../day=...``."""
+    """Markdown exports below ``patient=.../day=...``; other patients and days stay."""
     rows = exports.select("patient", F.lit(day).alias("day"), F.col("markdown").alias("value"))
-    rows.write.mode("overwrite").partitionBy("patient", "day").text(path, lineSep="\n\n")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("patient", "day").text(path, lineSep="\n\n")
 
 
 def change_status(base: DataFrame, changes: DataFrame, bucket: Column) -> DataFrame:
@@ -63,7 +87,8 @@ def change_status(base: DataFrame, changes: DataFrame, bucket: Column) -> DataFr
     present = F.coalesce("_set", "_base", F.lit(False))
     op = F.col("op")
     status = (
-        F.when(~valid, "400 invalid name")
+        F.when(~F.coalesce(valid, F.lit(False)), "400 invalid name")
+        .when(~F.coalesce(op.isin("create", "update", "delete"), F.lit(False)), "400 invalid operation")
         .when((op == "create") & present, "409 exists")
         .when((op != "create") & ~present, "404 missing")
         .when(op == "create", "created")

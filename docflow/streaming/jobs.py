@@ -11,6 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from docflow.functions.wordlists import VITAL_RANGES
 from docflow.operators import changes, chat
+from docflow.runtime import materialize
 from docflow.operators import vitals as vt
 
 
@@ -40,14 +41,20 @@ def debounce_stream(events: DataFrame, key: str, ts: str, gap: str, delay: str)
 
 # ------------------------------------------------------------------ indexing
 
-def index_batch(batch: DataFrame, batch_id: int, journal: str, chunks: str, make_chunks: Callable[[DataFrame], DataFrame]) -> None:
+def index_batch(batch: DataFrame, batch_id: int, journal: str, chunks: str, make_chunks: Callable[[DataFrame], DataFrame],
+                order: str | None = None) -> None:
     """Index one micro-batch of document versions ``name, text`` (null text means removed).
 
+    Of several versions of a name the one with the largest ``order`` counts; without that column, the
+    one with the largest content hash, so that a repeated batch decides alike.
+
     Only documents whose content hash changed are cut into chunks. Both tables are written per batch
     version, so a repeated batch replaces its own output and nothing else.
     """
     spark = batch.sparkSession
-    hashed = batch.select("name", "text", changes.content_hash("text").alias("sha256"))
+    hashed = batch.withColumn("sha256", changes.content_hash("text"))
+    newest = F.struct("sha256") if order is None else F.struct(order, "sha256")
+    hashed = hashed.groupBy("name").agg(F.max_by(F.struct("text", "sha256"), newest).alias("v")).select("name", "v.text", "v.sha256")
     try:
         seen = spark.read.parquet(journal).where(F.col("version") < batch_id)
         known = current_journal(seen.join(batch.select("name"), "name", "left_semi"))
@@ -58,6 +65,7 @@ def index_batch(batch: DataFrame, batch_id: int, journal: str, chunks: str, make
     if known is not None:
         before = known.select("name", F.col("sha256").alias("old"))
         hashed = hashed.join(before, "name", "left").where(~F.col("sha256").eqNullSafe(F.col("old"))).drop("old")
+    hashed = materialize(hashed, "batch")  # feeds the chunks and the journal
     # the journal is written last: a batch counts only when its chunks are complete
     made = make_chunks(hashed.where(F.col("text").isNotNull()).select("name", "text"))
     version = F.lit(batch_id).alias("version")
