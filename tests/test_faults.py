@@ -135,3 +135,16 @@ def test_inventory_tells_folders_of_one_name_apart(spark, tmp_path):
         (tmp_path / "in" / folder / "f.json").write_text("{}")
     got = {(r.folder, r.n_files, r.n_bytes) for r in files.file_inventory(spark, str(tmp_path / "in")).collect()}
     assert got == {("a/x", 1, 2), ("b/x", 1, 2), ("in", 1, 2)}
+
+
+def test_scratch_data_goes_with_its_scope(spark):
+    from docflow.runtime import materialize, scratch_scope
+
+    with scratch_scope(spark):
+        rows = materialize(spark.range(3), "secret")
+        path = rows.inputFiles()[0].removeprefix("file://")
+        assert rows.count() == 3
+    kept = materialize(spark.range(2), "kept")
+    import os
+
+    assert not os.path.exists(os.path.dirname(path)) and kept.count() == 2
