@@ -53,11 +53,31 @@ def path_text(keys: Column) -> Column:
     return F.regexp_replace(joined, r"^\.", "")
 
 
+def _reject_reason(json: str, max_depth: int) -> Column:
+    """Why a record can't become leaves, else null. Each round takes away the innermost pairs of brackets."""
+    text = F.regexp_replace(json, r"^\uFEFF", "")
+    left = F.regexp_replace(F.regexp_replace(text, r'"(?:[^"\\]|\\.)*+"', ""), r"[^\[\]{}]", "")
+    for _ in range(max_depth):
+        left = F.regexp_replace(left, r"\{\}|\[\]", "")
+    return F.when(F.try_parse_json(text).isNull(), "invalid JSON").when(left != "", f"nested deeper than {max_depth}")
+
+
+def record_rejects(records: DataFrame, doc_id: str, json: str, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """``doc_id, reason`` of the records that ``accepted_records`` leaves out."""
+    return records.select(doc_id, _reject_reason(json, max_depth).alias("reason")).where(F.col("reason").isNotNull())
+
+
+def accepted_records(records: DataFrame, json: str, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """The records that ``json_leaves`` can take."""
+    return records.where(_reject_reason(json, max_depth).isNull())
+
+
 def json_leaves(records: DataFrame, doc_id: str, json: str, max_depth: int = MAX_DEPTH) -> DataFrame:
     """``doc_id, keys, path, type, value`` for every leaf; empty containers count as leaves.
 
     One ``variant_explode`` per level inside a single pipeline, so nothing is shuffled or re-read. A
-    record deeper than ``max_depth`` fails loudly instead of losing data.
+    record deeper than ``max_depth`` fails loudly instead of losing data, and one that is no JSON has no
+    leaves: take ``accepted_records`` before and ``record_rejects`` beside it.
     """
     parsed = F.try_parse_json(F.regexp_replace(json, r"^\uFEFF", ""))
     start = records.select(doc_id, parsed.alias("v"), F.array().cast("array<string>").alias("keys"))

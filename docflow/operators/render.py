@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docflow.functions.text import constant, iso_date, norm_text
+from docflow.functions.text import constant, iso_date, norm_space, norm_text, strip_accents
 from docflow.functions.wordlists import MOMENT_SLOTS, NOT_GIVEN, SLOTS, WEEK_DAYS
 
 _N = r"(?:\[([0-9]+)\])?"
@@ -438,14 +438,44 @@ def schedule_entries(items: DataFrame, doc_id: str) -> DataFrame:
     return items.where(F.col("kind") == "autonomy").select(doc_id, F.inline(weeks))
 
 
-def weekly_schedule(entries: DataFrame, doc_id: str) -> DataFrame:
-    """Two weeks of 8 slots by 7 days per document; every slot is present, empty cells say so."""
-    slot_of = constant(MOMENT_SLOTS)
-    cells = (
+def _spelling(x: Column) -> Column:
+    """Case, accents, edges and the form of apostrophes and dashes don't tell moments or days apart."""
+    same = F.regexp_replace(F.regexp_replace(x, "[‘’ʼ`´]", "'"), "[‐-―]", "-")
+    return norm_space(strip_accents(F.lower(same)))
+
+
+def _schedule_cells(entries: DataFrame, doc_id: str) -> DataFrame:
+    """One row per day, moment and action, with ``slot`` and ``on`` (the day); null where nothing matches."""
+
+    def named(names: dict[str, str], x: Column) -> Column:
+        pairs = [v for name, value in names.items() for v in (_spelling(F.lit(name)), F.lit(value))]
+        return F.create_map(*pairs)[_spelling(x)]
+
+    return (
         entries.select(doc_id, "week", F.explode("days").alias("day"), "moments", "actions")
         .select(doc_id, "week", "day", F.explode("moments").alias("moment"), "actions")
-        .select(doc_id, "week", "day", slot_of[F.col("moment")].alias("slot"), F.explode("actions").alias("action"))
-        .where(F.col("slot").isNotNull() & F.col("day").isin(*WEEK_DAYS))
+        .select(
+            doc_id, "week", "day", "moment", F.explode("actions").alias("action"),
+            named(MOMENT_SLOTS, F.col("moment")).alias("slot"), named({d: d for d in WEEK_DAYS}, F.col("day")).alias("on"),
+        )
+    )
+
+
+def schedule_rejects(entries: DataFrame, doc_id: str) -> DataFrame:
+    """``doc_id, week, day, moment, action`` of the actions whose day or moment has no place in the schedule."""
+    cells = _schedule_cells(entries, doc_id)
+    return cells.where(F.col("slot").isNull() | F.col("on").isNull()).select(doc_id, "week", "day", "moment", "action")
+
+
+def weekly_schedule(entries: DataFrame, doc_id: str) -> DataFrame:
+    """Two weeks of 8 slots by 7 days per document; every slot is present, empty cells say so.
+
+    Actions without a place are in ``schedule_rejects``.
+    """
+    cells = (
+        _schedule_cells(entries, doc_id)
+        .where(F.col("slot").isNotNull() & F.col("on").isNotNull())
+        .select(doc_id, "week", F.col("on").alias("day"), "slot", "action")
         .distinct()
     )
     filled = cells.groupBy(doc_id, "week", "slot", "day").agg(F.array_join(F.array_sort(F.collect_list("action")), ", ").alias("cell"))

@@ -173,9 +173,20 @@ def _search_blocks(corpus, queries, ks, metric, schema, block_rows):
 
 
 def search_two_collections(corpus: DataFrame, queries: DataFrame, k_docx: int = DOCX_K, k_web: int = WEB_K,
-                           metric: str = "l2") -> DataFrame:
-    """Guideline passages plus an over-fetched set of web passages; ``k_web=0`` skips the web."""
-    return search(corpus, queries, {"docx": k_docx, "web": OVERFETCH * k_web}, metric)
+                           metric: str = "l2", overfetch: int = OVERFETCH) -> DataFrame:
+    """Guideline passages plus ``overfetch`` times ``k_web`` web passages; ``k_web=0`` skips the web.
+
+    A query whose gate runs out of candidates is told by ``short_of_web``.
+    """
+    return search(corpus, queries, {"docx": k_docx, "web": overfetch * k_web}, metric)
+
+
+def short_of_web(hits: DataFrame, gated: DataFrame, k_web: int = WEB_K, overfetch: int = OVERFETCH) -> DataFrame:
+    """``query_id, n_web``: queries that used up their over-fetched passages before ``k_web`` passed the gate."""
+    fetched = hits.where(F.col("source_type") == "web").groupBy("query_id").agg(F.count("*").alias("fetched"))
+    passed = gated.groupBy("query_id").agg(F.count("*").alias("n_web"))
+    rows = fetched.where(F.col("fetched") >= overfetch * k_web).join(passed, "query_id", "left")
+    return rows.select("query_id", F.coalesce("n_web", F.lit(0)).alias("n_web")).where(F.col("n_web") < k_web)
 
 
 def cosine(a: Column, b: Column) -> Column:

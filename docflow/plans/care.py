@@ -18,6 +18,7 @@ class SafeRecords:
 
     texts: DataFrame  # doc_id, text
     mapping: DataFrame  # doc_id, mapping map<alias, original>
+    rejects: DataFrame  # doc_id, reason of the records that could not be read
 
 
 def safe_records(source: DataFrame, doc_id: str, json: str, salt: str, as_of_year: int,
@@ -25,16 +26,18 @@ def safe_records(source: DataFrame, doc_id: str, json: str, salt: str, as_of_yea
     """Clean, pseudonymise, mask free text, render.
 
     The leaf table, the replacements and the masked leaves each feed several branches, so they are
-    written once.
+    written once. Every record is in ``texts`` or in ``rejects``.
     """
-    leaves = materialize(records.clean_leaves(records.json_leaves(source, doc_id, json)), "leaves")
+    rejects = records.record_rejects(source, doc_id, json)
+    accepted = records.accepted_records(source, json)
+    leaves = materialize(records.clean_leaves(records.json_leaves(accepted, doc_id, json)), "leaves")
     changes = materialize(privacy.replacements(leaves, doc_id, salt, as_of_year, pools), "replacements")
     replaced = privacy.apply_replacements(leaves, changes, doc_id).unionByName(privacy.missing_defaults(leaves, doc_id))
     masked = materialize(privacy.mask_leaves(replaced, privacy.name_rules(changes, doc_id), doc_id), "masked")
     pairs = changes.where("mapped").select(doc_id, "alias", "original", F.lit(True).alias("field"))
     seen = privacy.seen_aliases(masked, doc_id).withColumn("field", F.lit(False))
     mapping = privacy.mapping_by_doc(pairs.unionByName(seen), doc_id)
-    return SafeRecords(render.record_text(masked, doc_id), mapping)
+    return SafeRecords(render.record_text(masked, doc_id), mapping, rejects)
 
 
 def retrieve_context(chunks: DataFrame, queries: DataFrame, k_docx: int = rt.DOCX_K, k_web: int = rt.WEB_K,

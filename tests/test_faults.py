@@ -5,7 +5,7 @@ import unicodedata
 import zipfile
 
 import pytest
-from docflow.operators import changes, pages, privacy, retrieval
+from docflow.operators import changes, pages, privacy, records, render, retrieval
 from docflow.sources import files, sinks
 from docflow.streaming import jobs
 from pyspark.sql import functions as F
@@ -148,3 +148,22 @@ def test_scratch_data_goes_with_its_scope(spark):
     import os
 
     assert not os.path.exists(os.path.dirname(path)) and kept.count() == 2
+
+
+def test_unreadable_records_are_listed(spark):
+    deep = '{"a":' * 14 + "1" + "}" * 14
+    rows = [(1, '{"a": "x[{\\"}"}'), (2, "{broken"), (3, deep), (4, '{"a.b": 1, "a": {"b": 2}}'), (5, "\ufeff[]")]
+    table = spark.createDataFrame(rows, "doc_id int, j string")
+    rejects = {r.doc_id: r.reason for r in records.record_rejects(table, "doc_id", "j").collect()}
+    assert rejects == {2: "invalid JSON", 3: "nested deeper than 12"}
+    accepted = records.accepted_records(table, "j")
+    assert {r.doc_id for r in records.json_leaves(accepted, "doc_id", "j").collect()} == {1, 4, 5}
+
+
+def test_schedule_spellings_and_rejects(spark):
+    rows = [(1, 1, ["lundi ", "MARDI"], ["après–midi", "Fin d'apres-midi"], ["a"]), (1, 2, ["Lundi", "jour"], ["matin", "demain"], ["b"])]
+    entries = spark.createDataFrame(rows, "doc_id int, week int, days array<string>, moments array<string>, actions array<string>")
+    cells = {(r.week, r.slot): (r.Lundi, r.Mardi) for r in render.weekly_schedule(entries, "doc_id").collect()}
+    assert cells[1, "14h00-15h30"] == ("a", "a") and cells[1, "16h00-17h00"] == ("a", "a") and cells[2, "10h00-11h00"][0] == "b"
+    lost = {(r.day, r.moment) for r in render.schedule_rejects(entries, "doc_id").collect()}
+    assert lost == {("Lundi", "demain"), ("jour", "matin"), ("jour", "demain")}
