@@ -46,6 +46,8 @@ SHARD = 2048
 FANOUT = 16
 #: Keys of shared shards up to this number are broadcast (at most 16 bytes each); more are joined by a shuffle.
 BROADCAST_KEYS = 2_000_000
+#: Documents (node and identity, 20 bytes) up to this number are broadcast to the texts.
+BROADCAST_NODES = 1_000_000
 
 
 def needed(a, b):
@@ -79,9 +81,9 @@ def cell_counts(docs: DataFrame) -> np.ndarray:
 
 
 def _levels(counts: np.ndarray) -> np.ndarray:
-    """0 for cells of usual size, one more for each doubling beyond twice the mean."""
+    """0 for cells of usual size, one more for each eighth of a doubling beyond the mean."""
     ratio = counts / max(counts.mean(), 1.0)
-    return np.floor(np.log2(np.maximum(ratio, 1))).astype(np.uint8)
+    return np.minimum(np.floor(8 * np.log2(np.maximum(ratio, 1))), 255).astype(np.uint8)
 
 
 def prefix(shingles: np.ndarray, level: np.ndarray) -> np.ndarray:
@@ -155,25 +157,28 @@ def _shard_pairs(shards: DataFrame, mode: str) -> DataFrame:
         over = vectors[:, GROUPS:].copy().view(np.uint32)[:, 0].astype(np.int64)
         sizes = points.sum(axis=1, dtype=np.int64) + over
         q, t = np.flatnonzero(left_of), np.flatnonzero(right_of)
-        tree = CountTree(points[t], over[t], sizes[t], component[t])
-        best = np.full(len(q), -1.0)
-        near = np.full(len(q), -1)
-        for who, at, bound in tree.search(points[q], over[q], sizes[q], component[q]):
-            if mode == "all":
-                yield q[who], t[at]
-                continue
-            share = bound / (sizes[q[who]] + sizes[t[at]])
-            order = np.lexsort((-ids[t[at]], share))
-            who, at, share = who[order], at[order], share[order]
-            best[who], near[who] = share, at  # the last one of each query is its best
-        if mode != "all":
-            has = near >= 0
-            yield q[has], t[near[has]]
-            if mode == "first":
-                hub = np.full(len(q), np.argmax(central))
-                bound = _bounds(points, over, q, points, over, hub)
-                fits = (q != hub) & (bound >= needed(sizes[q], sizes[hub]))
-                yield q[fits], hub[fits]
+        two_blocks = not left_of[t].all()
+        # nearest points are sought from either block, all pairs need one direction
+        for q, t in [(q, t), (t, q)] if two_blocks and mode != "all" else [(q, t)]:
+            tree = CountTree(points[t], over[t], sizes[t], component[t])
+            near = np.full(len(q), -1)
+            for who, at, bound in tree.search(points[q], over[q], sizes[q], component[q]):
+                if mode == "all":
+                    yield q[who], t[at]
+                    continue
+                share = bound / (sizes[q[who]] + sizes[t[at]])
+                order = np.lexsort((-ids[t[at]], share))
+                who, at = who[order], at[order]
+                near[who] = at  # the last one of each query is its best
+            if mode != "all":
+                has = near >= 0
+                yield q[has], t[near[has]]
+        if mode == "first":
+            every = np.arange(len(ids))
+            hub = np.full(len(ids), np.argmax(central))
+            bound = _bounds(points, over, every, points, over, hub)
+            fits = (every != hub) & (bound >= needed(sizes, sizes[hub]))
+            yield every[fits], hub[fits]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_groups(batches):
@@ -255,34 +260,40 @@ def _node(shingles: np.ndarray) -> int | None:
 
 
 def _measure(docs: DataFrame, level: np.ndarray) -> DataFrame:
-    """``doc_id, uid, tag, node, n_shingles, first``: identity, node of the set, its size and prefix."""
+    """``doc_id, uid, tag, node, n_shingles, first, vector``: identity, node of the set, size, prefix, point."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, sizes, firsts = [], [], []
+            nodes, sizes, firsts, vectors = [], [], [], []
             for data in byte_rows(batch.column(3)):
                 shingles = shingle_set(data)
                 nodes.append(_node(shingles))
                 sizes.append(len(shingles))
                 firsts.append(prefix(shingles, level).view(np.int64) if len(shingles) else np.empty(0, dtype=np.int64))
-            columns = [*batch.columns[:3], pa.array(nodes, type=pa.int64()), pa.array(sizes, type=pa.int64()), pa.array(firsts, type=pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "uid", "tag", "node", "n_shingles", "first"])
+                vectors.append(count_vector(shingles).tobytes())
+            columns = [*batch.columns[:3], pa.array(nodes, type=pa.int64()), pa.array(sizes, type=pa.int64()), pa.array(firsts, type=pa.list_(pa.int64())), pa.array(vectors, type=pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "uid", "tag", "node", "n_shingles", "first", "vector"])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), *identity(), "text")
-    return rows.mapInArrow(run, "doc_id bigint, uid bigint, tag int, node bigint, n_shingles bigint, first array<bigint>")
+    return rows.mapInArrow(run, "doc_id bigint, uid bigint, tag int, node bigint, n_shingles bigint, first array<bigint>, vector binary")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``node, set, vector`` of the documents ``uid, tag, node`` that stand for their set."""
+    """``node, set`` of the documents ``uid, tag, node`` that stand for their set.
+
+    Up to ``BROADCAST_NODES`` of them go to the texts; more meet them in a join of both sides.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(data) for data in byte_rows(batch.column(1))]
-            columns = [batch.column(0), pa.array([s.tobytes() for s in sets], type=pa.binary()), pa.array([count_vector(s).tobytes() for s in sets], type=pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["node", "set", "vector"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], type=pa.binary())], names=["node", "set"])
 
-    rows = docs.select(*identity(), "text").join(wanted, ["uid", "tag"]).select("node", "text")
-    return rows.mapInArrow(run, "node bigint, set binary, vector binary").dropDuplicates(["node"])
+    if wanted.count() <= BROADCAST_NODES:
+        wanted = F.broadcast(wanted)
+    # rows that repeat id and text are one document; only texts that are wanted move for that
+    rows = docs.select(*identity(), "text").join(wanted, ["uid", "tag"]).dropDuplicates(["uid", "tag"])
+    return rows.select("node", "text").mapInArrow(run, "node bigint, set binary")
 
 
 def _shards(measured: DataFrame) -> DataFrame:
@@ -308,24 +319,28 @@ def _components(docs: DataFrame) -> DataFrame:
     """``doc_id, uid, tag, node, n_shingles, component`` for every row; null nodes have no component."""
     measured = materialize(_measure(docs, _levels(cell_counts(docs))), "measured")
     shards = _shards(measured)
-    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "uid", "tag")
-    stand_in = measured.where("node is not null").groupBy("node").agg(F.min(place).alias("p")).select("node", "p.uid", "p.tag")
-    stand_in = stand_in.join(shards.select("node").distinct(), "node", "left_semi")
-    sets = materialize(_sets(docs, stand_in), "sets")
-    shards = materialize(shards.join(sets.select("node", "vector"), "node"), "shard-points")
-    links = found = None
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "uid", "tag").alias("p")
+    stand_in = measured.where("node is not null").groupBy("node").agg(F.min(F.struct(place, "vector")).alias("p"))
+    stand_in = stand_in.select("node", "p.p.uid", "p.p.tag", "p.vector").join(shards.select("node").distinct(), "node", "left_semi")
+    stand_in = materialize(stand_in, "stand-ins")
+    shards = shards.join(stand_in.select("node", "vector"), "node").withColumnRenamed("node", "id")
+    links = found = sets = None
     for mode in ("first", "next", "all"):
-        points = shards.withColumnRenamed("node", "id")
         if found is None:
-            points = points.withColumn("component", F.col("id"))
+            points = shards.withColumn("component", F.col("id"))
         else:
-            points = points.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+            points = shards.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
         pairs = materialize(_shard_pairs(points, mode), f"pairs-{mode}")
+        if sets is None:
+            # The first pass pairs every set that the bound leaves a partner; only these go on.
+            paired = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+            sets = materialize(_sets(docs, stand_in.drop("vector").join(paired, "node")), "sets")
+            shards = materialize(shards.join(paired.withColumnRenamed("node", "id"), "id", "left_semi"), "paired-shards")
         new = materialize(_verified(pairs, sets), f"links-{mode}")
         links = new if links is None else links.unionByName(new)
         found = materialize(components(links), "components")
     found = found.select(F.col("id").alias("node"), "component")
-    rows = measured.drop("first").join(found, "node", "left")
+    rows = measured.drop("first", "vector").join(found, "node", "left")
     return rows.withColumn("component", F.coalesce("component", "node"))
 
 

@@ -53,7 +53,7 @@ def near_copies(seed, n=60):
     return texts
 
 
-@pytest.mark.parametrize("shard", [2048, 5])
+@pytest.mark.parametrize("shard", [2048, 5, 2])
 def test_components_equal_brute_force(docs_of, odd_texts, monkeypatch, shard):
     monkeypatch.setattr(jaccard_join, "SHARD", shard)
     texts = odd_texts + near_copies(shard)
