@@ -77,7 +77,7 @@ def op8(spark, sf_dir):
 
 # Words and distinct five-word shingles of every text, as rows.
 SHINGLES = f"""
-    words AS (SELECT {{key}}, list_filter(regexp_split_to_array({ASCII_LOWER.format("coalesce(text, '')")}, '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS w FROM {{table}}),
+    words AS (SELECT {{key}}, list_filter(regexp_split_to_array({ASCII_LOWER.format("coalesce(text, '')")}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM {{table}}),
     {{name}} AS (
         SELECT DISTINCT {{key}}, array_to_string(w[i:i+4], ' ') AS s
         FROM (SELECT {{key}}, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM words WHERE len(w) > 0)
@@ -131,11 +131,11 @@ def op4(spark, sf_dir):
     WITH cut AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
     lines AS (SELECT doc_id, unnest(parts) AS content, unnest(range(len(parts))) AS line FROM cut),
     sets AS (
-        SELECT doc_id, line, list_sort(list_distinct(list_filter(regexp_split_to_array({ASCII_LOWER.format("content")}, '[\\x20\\x09-\\x0D]+'), x -> x <> ''))) AS w
+        SELECT doc_id, line, list_sort(list_distinct(list_filter(regexp_split_to_array({ASCII_LOWER.format("content")}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> ''))) AS w
         FROM lines
     ),
-    nodes AS (SELECT w, min((doc_id, line)) AS at FROM sets WHERE len(w) >= 5 GROUP BY w),
-    named AS (SELECT row_number() OVER (ORDER BY at) AS node, w, at FROM nodes),
+    nodes AS (SELECT w, min((doc_id, line)) AS place FROM sets WHERE len(w) >= 5 GROUP BY w),
+    named AS (SELECT row_number() OVER (ORDER BY place) AS node, w, place FROM nodes),
     tokens AS (SELECT node, len(w) AS n, unnest(w) AS token FROM named),
     counts AS (SELECT token, count(*) AS df FROM tokens GROUP BY token),
     placed AS (SELECT node, n, token, row_number() OVER (PARTITION BY node ORDER BY df, token) AS pos FROM tokens JOIN counts USING (token)),
@@ -147,10 +147,10 @@ def op4(spark, sf_dir):
     ),
     gone AS (
         SELECT doc_id, line FROM sets JOIN named USING (w)
-        WHERE (doc_id, line) <> at OR node IN (SELECT b FROM near)
+        WHERE (doc_id, line) <> place OR node IN (SELECT b FROM near)
     )
     SELECT cut.doc_id, len(parts) AS n_lines, coalesce(n, 0) AS n_removed,
-        sha256(coalesce(array_to_string(list_filter(parts, (x, i) -> NOT list_contains(coalesce(out, []), i - 1)), chr(10)), '')) AS kept_sha256
+        sha256(coalesce(array_to_string(list_filter(parts, lambda x, i: NOT list_contains(coalesce(out, []), i - 1)), chr(10)), '')) AS kept_sha256
     FROM cut LEFT JOIN (SELECT doc_id, count(*) AS n, list(line) AS out FROM gone GROUP BY doc_id) USING (doc_id)
     """,
 )
