@@ -23,7 +23,7 @@ from docflow.llm.arrays import _BYTE, _power_tables, byte_rows, mix
 from docflow.runtime import materialize, scratch_path
 
 #: Rows of a minimiser above which its windows are also dealt by their own hash.
-FREQUENT = 2_000
+FREQUENT = 50_000
 #: Values that a reducing task holds before it hands on complete groups.
 _HELD = 1 << 21
 _SPAN = 1 << 20  # positions of one text handled at a time
@@ -289,12 +289,14 @@ def removed_windows(docs: DataFrame, tokens: Tokens, width: int, levels: tuple[i
     # Every level meets the texts again by identity; bucketed once, they aren't shuffled for it.
     path = scratch_path(spark, "texts")
     name = "texts_" + path[-32:]
-    base.repartition(buckets, "uid").write.format("parquet").option("path", path).bucketBy(buckets, "uid").saveAsTable(name)
+    writer = base.repartition(buckets, "uid", "tag").write.format("parquet").option("path", path).option("compression", "zstd")
+    writer.bucketBy(buckets, "uid", "tag").saveAsTable(name)
     texts = spark.table(name)
     left = base.select("uid", "tag", "text")
     for gram in levels:
-        found = materialize(_level(left, tokens, width, gram), f"level-{gram}")
+        found = _level(left, tokens, width, gram)
         if gram == levels[-1]:
+            found = materialize(found, "candidates")  # read twice
             left = _with_ranges(texts.select("uid", "tag", "text"), _mark_often(found), "often")
         else:
             left = _with_ranges(texts.select("uid", "tag", "text"), found)
