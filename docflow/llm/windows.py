@@ -79,9 +79,12 @@ def minimisers(grams: np.ndarray, per_window: int) -> np.ndarray:
     return (packed & np.uint64((1 << 21) - 1)).astype(np.int64)
 
 
-def _runs_of(values: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First and last index of the runs of equal ``values`` at consecutive ``starts``."""
-    cut = np.flatnonzero((np.diff(values) != 0) | (np.diff(starts) != 1)) + 1
+def _runs_of(values: np.ndarray, starts: np.ndarray, single: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """First and last index of the runs of equal ``values`` at consecutive ``starts``; ``single`` ones stand alone."""
+    ends = (np.diff(values) != 0) | (np.diff(starts) != 1)
+    if single is not None:
+        ends |= single[1:]
+    cut = np.flatnonzero(ends) + 1
     return np.r_[0, cut], np.r_[cut, len(values)] - 1
 
 
@@ -97,7 +100,7 @@ def _candidates(n: int, offset: int, ranges) -> np.ndarray:
 
 
 def _dealt(data: np.ndarray, tokens: Tokens, width: int, gram: int, ranges):
-    """Parts of a text: offset, hashes, gram hash and first and last window start of each minimiser's run."""
+    """Parts of a text: offset, hashes, gram hash, first and last start of each minimiser's run, all starts."""
     values = tokens(data)
     for offset, part in spans(values, width):
         starts = _candidates(len(part) - width + 1, offset, ranges)
@@ -107,7 +110,7 @@ def _dealt(data: np.ndarray, tokens: Tokens, width: int, gram: int, ranges):
         grams = hashes.all_runs(gram)
         at = minimisers(grams, width - gram + 1)[starts]
         a, b = _runs_of(at, starts)
-        yield offset, part, hashes, grams[at[a]], starts[a], starts[b]
+        yield offset, part, hashes, grams[at[a]], starts[a], starts[b], starts
 
 
 def _ranges(column: pa.Array, i: int):
@@ -130,7 +133,7 @@ def _level(docs: DataFrame, tokens: Tokens, width: int, gram: int) -> DataFrame:
             parts = [[] for _ in range(4)]
             for i, data in enumerate(byte_rows(batch.column(2))):
                 ranges = _ranges(batch.column(3), i) if batch.num_columns > 3 else None
-                for offset, _, _, keys, a, b in _dealt(data, tokens, width, gram, ranges):
+                for offset, _, _, keys, a, b, _ in _dealt(data, tokens, width, gram, ranges):
                     for out, part in zip(parts, (keys, a + offset, b + offset, np.full(len(keys), i)), strict=True):
                         out.append(part)
             if not parts[0]:
@@ -169,6 +172,22 @@ def _mark_often(found: DataFrame) -> DataFrame:
     return found.withColumn("often", F.coalesce("often", F.lit(False)))
 
 
+def _slices(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Consecutive runs of 64-bit values as binary rows."""
+    offsets = np.zeros(len(sizes) + 1, dtype=np.int32)
+    np.cumsum(8 * sizes, out=offsets[1:])
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _bodies(parts: list, which: np.ndarray, first: np.ndarray, last: np.ndarray, width: int) -> pa.Array:
+    """The bytes that the windows from ``first`` to ``last`` cover."""
+    rows = []
+    for k, a, b in zip(which.tolist(), first.tolist(), last.tolist(), strict=True):
+        offset, part = parts[k]
+        rows.append(part[a - offset : b - offset + width].tobytes())
+    return pa.array(rows, type=pa.binary())
+
+
 def _compared(docs: DataFrame, tokens: Tokens, width: int, gram: int, settle, content: bool) -> DataFrame:
     """``uid, tag, first, last``: starts of the windows to remove among the candidates.
 
@@ -180,58 +199,43 @@ def _compared(docs: DataFrame, tokens: Tokens, width: int, gram: int, settle, co
         for batch in batches:
             uid, tag = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(2))
             texts = list(byte_rows(batch.column(2)))
-            rows, window = [], []
+            parts, cells = [], [[] for _ in range(7)]  # per run: document, part, gram, often, windows; per window: start, hash
             for i in np.lexsort((tag, uid)).tolist():
                 ranges = _ranges(batch.column(3), i)
-                for offset, part, hashes, keys, a, b in _dealt(texts[i], tokens, width, gram, ranges):
+                for offset, part, hashes, keys, a, b, starts in _dealt(texts[i], tokens, width, gram, ranges):
                     often = ranges[2][np.searchsorted(ranges[0], a + offset)]
-                    for key, lo, hi, o in zip(keys.tolist(), a.tolist(), b.tolist(), often.tolist(), strict=True):
-                        rows.append((i, offset, part, key, lo, o))
-                    window.extend(hashes.runs(np.arange(lo, hi + 1), width) for lo, hi in zip(a.tolist(), b.tolist(), strict=True))
-            if not rows:
+                    found = (np.full(len(keys), i), np.full(len(keys), len(parts)), keys, often, b - a + 1, starts + offset, hashes.runs(starts, width))
+                    for cell, values in zip(cells, found, strict=True):
+                        cell.append(values)
+                    parts.append((offset, part))
+            if not parts:
                 continue
-            sizes = np.array([len(w) for w in window])
-            window = np.concatenate(window)
-            owner = np.repeat(np.arange(len(rows)), sizes)
-            start = np.arange(len(window)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat([r[4] + r[1] for r in rows], sizes)
-            doc = np.array([r[0] for r in rows])[owner]
+            row, which_part, keys, often, sizes, start, window = (np.concatenate(x) for x in cells)
+            owner = np.repeat(np.arange(len(row)), sizes)
+            doc = row[owner]
             _, lead, which, n = np.unique(window, return_index=True, return_inverse=True, return_counts=True)
             lead = lead[which]
-            leads = lead == np.arange(len(window))
+            leads = np.flatnonzero(lead == np.arange(len(window)))
             if content:  # the first stays; rows that repeat id and text are one document
-                same = (uid[doc] == uid[doc[lead]]) & (tag[doc] == tag[doc[lead]]) & (start == start[lead])
-                removed = ~same
+                removed = (uid[doc] != uid[doc[lead]]) | (tag[doc] != tag[doc[lead]]) | (start != start[lead])
             else:
                 removed = n[which] > 1
             out = []
-            for flags, send in ((removed, False), (leads, True)):
-                at = np.flatnonzero(flags)
+            for at, send in ((np.flatnonzero(removed), False), (leads, True)):
                 if not len(at):
                     continue
-                x, y = _runs_of(owner[at], at)
-                for p, q in zip(at[x].tolist(), at[y].tolist(), strict=True):
-                    i, offset, part, key, _, often = rows[owner[p]]
-                    lo, hi = int(start[p]), int(start[q])
-                    if not send:
-                        out.append((key, hash_of(uid[i], lo), uid[i], tag[i], lo, hi, None))
-                    elif often:
-                        for k in range(p, q + 1):
-                            s = int(start[k])
-                            out.append((key, int(window[k].view(np.int64)), uid[i], tag[i], s, s, body(part, window, k, k, s - offset)))
-                    else:
-                        out.append((key, 0, uid[i], tag[i], lo, hi, body(part, window, p, q, lo - offset)))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
-            columns = list(zip(*out, strict=True))
-            columns[0] = np.array(columns[0], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True)], names=NAMES)
-
-    def body(part, window, p, q, lo):
-        if content:
-            return part[lo : lo + q - p + width].astype(np.uint8).tobytes()
-        return window[p : q + 1].tobytes()
-
-    def hash_of(uid, start):
-        return (int(uid) * 31 + start) & 0x7FFFFFFF
+                single = often[owner[at]] if send else np.zeros(len(at), dtype=bool)
+                x, y = _runs_of(owner[at], at, single)
+                p, q = at[x], at[y]
+                own = owner[p]
+                if not send:
+                    sub, bodies = (uid[row[own]] * 31 + start[p]) & 0x7FFFFFFF, pa.nulls(len(p), pa.binary())
+                else:
+                    sub = np.where(single[x], window[p].view(np.int64), 0)
+                    bodies = _bodies(parts, which_part[own], start[p], start[q], width) if content else _slices(window[at], y - x + 1)
+                columns = [keys[own].view(np.int64), sub, uid[row[own]], tag[row[own]], start[p].astype(np.int32), start[q].astype(np.int32)]
+                out.append(pa.RecordBatch.from_arrays([*map(pa.array, columns), bodies], names=NAMES))
+            yield from out
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
