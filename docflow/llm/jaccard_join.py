@@ -150,9 +150,12 @@ def _bounds(a, a_over, i, b, b_over, j) -> np.ndarray:
 
 
 def _shard_pairs(shards: DataFrame, mode: str) -> DataFrame:
-    """Distinct pairs ``a, b`` (a < b) of sets in one shard that the bound leaves; see the module text."""
+    """Distinct pairs ``a, b`` (a < b) of sets in one shard that the bound leaves; see the module text.
 
-    def pairs_of(ids, central, component, vectors, left_of, right_of) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    Before mode ``all`` a set gets one nearest and one central partner at most, the best of all its shards.
+    """
+
+    def pairs_of(ids, central, component, vectors, left_of, right_of) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
         points = vectors[:, :GROUPS]
         over = vectors[:, GROUPS:].copy().view(np.uint32)[:, 0].astype(np.int64)
         sizes = points.sum(axis=1, dtype=np.int64) + over
@@ -161,24 +164,24 @@ def _shard_pairs(shards: DataFrame, mode: str) -> DataFrame:
         # nearest points are sought from either block, all pairs need one direction
         for q, t in [(q, t), (t, q)] if two_blocks and mode != "all" else [(q, t)]:
             tree = CountTree(points[t], over[t], sizes[t], component[t])
-            near = np.full(len(q), -1)
+            near, best = np.full(len(q), -1), np.zeros(len(q))
             for who, at, bound in tree.search(points[q], over[q], sizes[q], component[q]):
                 if mode == "all":
-                    yield q[who], t[at]
+                    yield q[who], t[at], np.zeros(len(who)), 0
                     continue
                 share = bound / (sizes[q[who]] + sizes[t[at]])
                 order = np.lexsort((-ids[t[at]], share))
-                who, at = who[order], at[order]
-                near[who] = at  # the last one of each query is its best
+                who, at, share = who[order], at[order], share[order]
+                near[who], best[who] = at, share  # the last one of each query is its best
             if mode != "all":
                 has = near >= 0
-                yield q[has], t[near[has]]
+                yield q[has], t[near[has]], best[has], 0
         if mode == "first":
             every = np.arange(len(ids))
             hub = np.full(len(ids), np.argmax(central))
             bound = _bounds(points, over, every, points, over, hub)
             fits = (every != hub) & (bound >= needed(sizes, sizes[hub]))
-            yield every[fits], hub[fits]
+            yield every[fits], hub[fits], (bound / (sizes + sizes[hub]))[fits], 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_groups(batches):
@@ -186,18 +189,19 @@ def _shard_pairs(shards: DataFrame, mode: str) -> DataFrame:
             ids, central, component = (table.column(k).to_numpy() for k in (5, 6, 7))
             vectors = np.frombuffer(b"".join(table.column(8).to_pylist()), dtype=np.uint8).reshape(len(ids), GROUPS + 4)
             cut = np.flatnonzero((np.diff(key) != 0) | (np.diff(x) != 0) | (np.diff(y) != 0)) + 1
-            left, right = [], []
+            found = []
             for a, b in zip(np.r_[0, cut].tolist(), np.r_[cut, len(key)].tolist(), strict=True):
                 s = slice(a, b)
                 if component[s].min() == component[s].max():
                     continue
-                for p, q in pairs_of(ids[s], central[s], component[s], vectors[s], i[s] == 1, j[s] == 1):
-                    left.append(ids[s][p])
-                    right.append(ids[s][q])
-            if left:
-                p, q = np.concatenate(left), np.concatenate(right)
-                pairs = np.unique(np.stack([np.minimum(p, q), np.maximum(p, q)], axis=1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+                for p, q, share, kind in pairs_of(ids[s], central[s], component[s], vectors[s], i[s] == 1, j[s] == 1):
+                    found.append((ids[s][p], ids[s][q], share, np.full(len(p), kind)))
+            if found:
+                p, q, share, kind = (np.concatenate(c) for c in zip(*found, strict=True))
+                if mode == "all":
+                    p, q = np.unique(np.stack([np.minimum(p, q), np.maximum(p, q)], axis=1), axis=0).T
+                    share, kind = np.zeros(len(p)), np.zeros(len(p), dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (p, q, share, kind)], names=["a", "b", "share", "kind"])
 
     # A shard of n points has ceil(n / SHARD) blocks; each pair of blocks is one group of rows.
     last = F.ceil(F.col("n") / SHARD).cast("int") - 1
@@ -210,7 +214,10 @@ def _shard_pairs(shards: DataFrame, mode: str) -> DataFrame:
         "id", "central", "component", "vector",
     )
     rows = rows.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "id")
-    return rows.mapInArrow(run, "a bigint, b bigint").distinct()
+    pairs = rows.mapInArrow(run, "a bigint, b bigint, share double, kind bigint")
+    if mode != "all":
+        pairs = pairs.groupBy("a", "kind").agg(F.max_by("b", F.struct("share", "b")).alias("b"))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _whole_groups(batches: Iterator[pa.RecordBatch], least: int = 1 << 23) -> Iterator[pa.Table]:
