@@ -2,12 +2,13 @@
 
 A line is the set of its words (A-Z lower-cased). Words are ordered by rarity, counted over all lines in hash cells;
 two lines of Jaccard 0.8 share one of their first ``n - ceil(0.8 n) + 1`` words in that order. Lines that share a
-prefix word meet if their lengths allow 0.8 and the places of the word leave room for enough common words;
-what is left is verified. A line is removed if an earlier one (by document id, then line) matches it;
+prefix word meet if their lengths allow 0.8, the places of the word leave room for enough common words and the
+parities of 128 hash cells don't differ too often; what is left is verified. A line is removed if an earlier one (by document id, then line) matches it;
 matches are judged on the input, so a removed line still removes later ones.
 
 Equal lines are one node with its first place. As one earlier match is enough, each node of a shard is
-first compared with the shard's earliest one; only nodes that stay are compared with all earlier ones, in blocks.
+first compared with the shard's earliest one and the first that fits; only nodes that stay are compared with all
+earlier ones that fit. Shards of more than ``SHARD`` nodes are cut into blocks that meet two by two.
 
 Defined results
     null or empty text       has one empty line; nothing removed
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docflow.llm.arrays import _is, byte_rows, mix, segments, token_bounds, word_hashes
-from docflow.llm.jaccard_join import BROADCAST_KEYS, _whole_groups, needed
+from docflow.llm.jaccard_join import BROADCAST_KEYS, BROADCAST_NODES, _whole_groups, needed
 from docflow.llm.jaccard_join import _verified as verified
 from docflow.llm.windows import identity
 from docflow.runtime import materialize
@@ -89,12 +90,22 @@ def prefix(words: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return words[np.lexsort((mix(words), counts[_cell(words)]))[:size]]
 
 
+def bitmap(words: np.ndarray) -> np.ndarray:
+    """Parity of the words in each of 128 hash cells, as two numbers: sets differ in at least as many words as bits."""
+    cells = np.bincount((mix(words) & np.uint64(127)).astype(np.int64), minlength=128) & 1
+    return np.packbits(cells.astype(np.uint8)).view(np.int64)
+
+
+def differing_bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count((a ^ b).view(np.uint64)).astype(np.int64)  # of a signed number it counts the absolute value
+
+
 def _lines(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """``uid, tag, line, node, n, first``: a row per line; ``first`` (prefix) at the first of equal lines in a batch."""
+    """``uid, tag, line, node, n, first, b0, b1``: a row per line; prefix and bitmap at the first of equal lines in a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, line, node, size, first, seen = [], [], [], [], [], set()
+            row, line, node, size, first, bits, seen = [], [], [], [], [], [], set()
             for i, data in enumerate(byte_rows(batch.column(2))):
                 for number, words in line_sets(data):
                     key = int.from_bytes(hashlib.blake2b(words.tobytes(), digest_size=8).digest(), "little", signed=True)
@@ -103,70 +114,94 @@ def _lines(docs: DataFrame, counts: np.ndarray) -> DataFrame:
                     node.append(key)
                     size.append(len(words))
                     first.append(None if key in seen else prefix(words, counts).view(np.int64))
+                    bits.append((None, None) if key in seen else bitmap(words).tolist())
                     seen.add(key)
             at = pa.array(row, type=pa.int64())
             columns = [batch.column(0).take(at), batch.column(1).take(at), pa.array(line, type=pa.int32()), pa.array(node, type=pa.int64()), pa.array(size, type=pa.int32()), pa.array(first, type=pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["uid", "tag", "line", "node", "n", "first"])
+            columns += [pa.array([b[k] for b in bits], type=pa.int64()) for k in range(2)]
+            yield pa.RecordBatch.from_arrays(columns, names=["uid", "tag", "line", "node", "n", "first", "b0", "b1"])
 
     rows = docs.select(*identity(), "text")
-    return rows.mapInArrow(run, "uid bigint, tag int, line int, node bigint, n int, first array<bigint>")
+    return rows.mapInArrow(run, "uid bigint, tag int, line int, node bigint, n int, first array<bigint>, b0 bigint, b1 bigint")
 
 
-def _shards(lines: DataFrame, firsts: DataFrame) -> DataFrame:
-    """Members of each set of nodes with a common prefix word: ``key, m, node, n, pos, uid, tag, line``."""
-    keyed = lines.where("first is not null").select("node", "n", F.posexplode("first").alias("pos", "key"))
-    shared = keyed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key")
-    shared = materialize(shared, "shared-words")
+def _shards(lines: DataFrame) -> DataFrame:
+    """Nodes with a common prefix word: ``key, node, n, pos, b0, b1, f, m``; ``f`` is a node's first place.
+
+    ``m`` is the size of a shard of more than ``SHARD`` nodes, null for others.
+    """
+    keyed = lines.where("first is not null")
+    shared = keyed.select("node", F.explode("first").alias("key")).groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
+    shared = materialize(shared.where("lo <> hi").select("key"), "shared-words")
     small = shared.count() <= BROADCAST_KEYS
-    members = materialize(keyed.join(F.broadcast(shared) if small else shared, "key").distinct(), "line-members")
-    kinds = members.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("node")).alias("x"), F.min("node").alias("lo"), F.max("node").alias("hi"))
-    kinds = kinds.groupBy("m", "x", "lo", "hi").agg(F.min("key").alias("key")).select("key", "m")
-    return materialize(members.join(kinds, "key").join(firsts, "node"), "line-shards")
+    keyed = keyed.select("node", "n", "b0", "b1", F.struct("uid", "tag", "line").alias("f"), F.posexplode("first").alias("pos", "key"))
+    members = keyed.join(F.broadcast(shared) if small else shared, "key")
+    # each batch that holds a node has sent it, so the least place is the node's first one
+    members = members.groupBy("key", "node", "n", "pos", "b0", "b1").agg(F.min("f").alias("f"))
+    members = materialize(members, "line-shards")
+    large = members.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > SHARD)
+    return members.join(large, "key", "left")
 
 
 def _pairs(shards: DataFrame, mode: str) -> DataFrame:
-    """Distinct ``a, b``: nodes that may match, a earlier than b and b not removed yet."""
+    """Distinct ``a, b``: nodes that may match, a earlier than b.
 
-    def fits(n, pos, p, q) -> np.ndarray:
-        room = np.minimum(pos[p], pos[q]) + 1 + np.minimum(n[p] - pos[p], n[q] - pos[q]) - 1
-        return (5 * np.minimum(n[p], n[q]) >= 4 * np.maximum(n[p], n[q])) & (room >= needed(n[p], n[q]))
+    Mode ``some`` gives for each node the shard's earliest one if it fits, and the first fitting one on
+    either side, so every node that fits any other one is named. Mode ``all`` gives all that fit a node that stays.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_groups(batches):
-            key, x, y, left, right, node, n, pos, uid, tag, line, stays = (table.column(k).to_numpy() for k in range(12))
+            key, x, y, left, node, n, pos, b0, b1, uid, tag, line, stays = (table.column(k).to_numpy() for k in range(13))
+            n, pos = n.astype(np.int64), pos.astype(np.int64)
+
+            def fits(p, q) -> np.ndarray:
+                room = np.minimum(pos[p], pos[q]) + np.minimum(n[p] - pos[p], n[q] - pos[q])
+                apart = differing_bits(b0[p], b0[q]) + differing_bits(b1[p], b1[q])
+                least = needed(n[p], n[q])
+                enough = (room >= least) & (apart <= n[p] + n[q] - 2 * least)
+                return enough & (5 * np.minimum(n[p], n[q]) >= 4 * np.maximum(n[p], n[q])) & ((x[p] == y[p]) | (left[p] != left[q]))
+
             cut = np.flatnonzero((np.diff(key) != 0) | (np.diff(x) != 0) | (np.diff(y) != 0)) + 1
             found = []
             for a, b in zip(np.r_[0, cut].tolist(), np.r_[cut, len(key)].tolist(), strict=True):
                 order = a + np.lexsort((line[a:b], tag[a:b], uid[a:b]))
-                open_ = np.flatnonzero(stays[order])
-                for k in range(0, len(open_), 64):  # 64 nodes against all earlier ones at a time
-                    late = open_[k : k + 64]
-                    early = np.zeros(1, dtype=np.int64) if mode == "hub" else np.arange(int(late[-1]))
-                    p, q = (v.ravel() for v in np.meshgrid(early, late))
-                    earlier = p < q
-                    p, q = order[p[earlier]], order[q[earlier]]
-                    across = (x[p] == y[p]) | (left[p] != left[q]) | (right[p] != right[q])
-                    ok = across & fits(n.astype(np.int64), pos.astype(np.int64), p, q)
-                    found.append(np.stack([node[p[ok]], node[q[ok]]], axis=1))
+                later = np.flatnonzero(stays[order])
+                later = later[later > 0]
+                named = np.zeros(b - a, dtype=bool)
+                for k in range(0, len(later), 64):  # 64 nodes against all earlier ones at a time
+                    late = later[k : k + 64]
+                    early = np.arange(int(late[-1]))
+                    ok = (early[None, :] < late[:, None]) & fits(order[early][None, :], order[late][:, None])
+                    if mode == "some":
+                        rows, new = np.flatnonzero(ok.any(axis=1)), np.flatnonzero(ok.any(axis=0) & ~named[early])
+                        named[new] = True
+                        q = np.r_[rows, ok[:, new].argmax(axis=0), np.flatnonzero(ok[:, 0])]
+                        p = np.r_[ok[rows].argmax(axis=1), new, np.zeros(int(ok[:, 0].sum()), dtype=np.int64)]
+                    else:
+                        q, p = np.nonzero(ok)
+                    if len(p):
+                        found.append(np.stack([node[order[early[p]]], node[order[late[q]]]], axis=1))
             if found:
                 pairs = np.unique(np.concatenate(found), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    last = F.ceil(F.col("m") / SHARD).cast("int") - 1
+    # A shard of m nodes has ceil(m / SHARD) blocks; each pair of blocks is one group of rows.
+    last = F.coalesce(F.ceil(F.col("m") / SHARD).cast("int") - 1, F.lit(0))
     block = F.when(last == 0, F.lit(0)).otherwise(F.pmod(F.xxhash64("node"), last + 1).cast("int"))
     rows = shards.withColumn("last", last).withColumn("block", block)
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
     rows = rows.select(
         "key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"),
-        (F.col("block") <= F.col("other")).cast("int").alias("left"), (F.col("block") >= F.col("other")).cast("int").alias("right"),
-        "node", "n", "pos", "uid", "tag", "line", "stays",
+        (F.col("block") <= F.col("other")).cast("int").alias("left"),
+        "node", "n", "pos", "b0", "b1", "f.uid", "f.tag", "f.line", "stays",
     )
     rows = rows.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
     return rows.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``node, set`` of the lines ``uid, tag, line, node``."""
+    """``node, set`` of the lines ``uid, tag, line, node``. Up to ``BROADCAST_NODES`` of them go to the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,6 +216,8 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     per_doc = wanted.groupBy("uid", "tag").agg(F.collect_list(F.struct("line", "node")).alias("w"))
     per_doc = per_doc.select("uid", "tag", F.struct(F.col("w.line").alias("line"), F.col("w.node").alias("node")).alias("w"))
+    if wanted.count() <= BROADCAST_NODES:
+        per_doc = F.broadcast(per_doc)
     rows = docs.select(*identity(), "text").join(per_doc, ["uid", "tag"]).select("text", "w")
     return rows.mapInArrow(run, "node bigint, set binary").dropDuplicates(["node"])
 
@@ -189,23 +226,21 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     """``uid, tag, line`` of every line that an earlier one matches (lines count from 0)."""
     lines = materialize(_lines(docs, word_counts(docs)), "lines")
     firsts = lines.groupBy("node").agg(F.min(F.struct("uid", "tag", "line")).alias("f"))
-    firsts = materialize(firsts.select("node", "f.uid", "f.tag", "f.line"), "first-lines")
-    shards = _shards(lines, firsts)
-    sets = materialize(_sets(docs, shards.select("node", "uid", "tag", "line").distinct()), "line-sets")
-    removed = None
-    for mode in ("hub", "all"):
-        if removed is None:
-            open_ = shards.withColumn("stays", F.lit(True))
-        else:
-            gone = removed.withColumn("gone", F.lit(True))
-            open_ = shards.join(gone, "node", "left").withColumn("stays", F.col("gone").isNull()).drop("gone")
-        matches = verified(materialize(_pairs(open_, mode), f"line-pairs-{mode}"), sets)
-        found = materialize(matches.select(F.col("b").alias("node")).distinct(), f"matched-{mode}")
-        removed = found if removed is None else removed.unionByName(found)
-    firsts = firsts.select("node", F.struct("uid", "tag", "line").alias("f"))
+    shards = _shards(lines)
+    some = materialize(_pairs(shards.withColumn("stays", F.lit(True)), "some"), "line-pairs-some")
+    paired = some.select(F.col("a").alias("node")).unionByName(some.select(F.col("b").alias("node"))).distinct()
+    paired = materialize(paired, "paired-lines")
+    wanted = firsts.join(paired, "node").select("node", "f.uid", "f.tag", "f.line")
+    sets = materialize(_sets(docs, materialize(wanted, "wanted-lines")), "line-sets")
+    removed = materialize(verified(some, sets).select(F.col("b").alias("node")).distinct(), "matched-some")
+    shards = shards.join(paired, "node", "left_semi").join(removed.withColumn("gone", F.lit(True)), "node", "left")
+    rest = _pairs(shards.withColumn("stays", F.col("gone").isNull()).drop("gone"), "all")
+    rest = verified(materialize(rest, "line-pairs-all"), sets).select(F.col("b").alias("node")).distinct()
+    removed = removed.unionByName(materialize(rest, "matched-all"))
     firsts = firsts.join(removed.withColumn("gone", F.lit(True)), "node", "left")
     rows = lines.select("node", "uid", "tag", "line").join(firsts, "node")
-    return rows.where(F.col("gone").isNotNull() | (F.struct("uid", "tag", "line") != F.col("f"))).select("uid", "tag", "line").distinct()
+    rows = rows.where(F.col("gone").isNotNull() | (F.struct("uid", "tag", "line") != F.col("f")))
+    return rows.select("uid", "tag", "line").distinct()
 
 
 def remove_matching_lines(docs: DataFrame) -> DataFrame:

@@ -3,8 +3,12 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from docflow.llm import line_dedup
+from docflow.llm.jaccard_join import needed
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 
@@ -59,3 +63,30 @@ def test_null_and_repeated_ids(docs_of):
     rows = line_dedup.remove_matching_lines(docs_of([line, line, "x\n" + line + " seven", None], [4, 4, None, None])).collect()
     assert sorted((r.n_lines, r.n_removed) for r in rows) in ([(1, 0), (1, 0), (1, 0), (2, 1)], [(1, 0), (1, 1), (1, 1), (2, 0)])
     assert line_dedup.remove_matching_lines(docs_of([])).count() == 0
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.integers(5, 60), st.integers(0, 14), st.integers(0, 14), st.integers(0, 2**32))
+def test_filters_lose_no_match(common, only_a, only_b, seed):
+    rng = np.random.default_rng(seed)
+    pool = np.unique(rng.integers(0, 1 << 64, common + only_a + only_b, dtype=np.uint64))
+    rng.shuffle(pool)
+    a, b = np.sort(pool[: common + only_a]), np.sort(np.r_[pool[:common], pool[common + only_a :]])
+    apart = int(line_dedup.differing_bits(line_dedup.bitmap(a), line_dedup.bitmap(b)).sum())
+    shared = len(np.intersect1d(a, b))
+    assert apart <= len(a) + len(b) - 2 * shared
+    if shared >= needed(len(a), len(b)):
+        counts = rng.integers(1, 4, line_dedup.CELLS)
+        p, q = line_dedup.prefix(a, counts), line_dedup.prefix(b, counts)
+        both = np.intersect1d(p, q)
+        assert len(both)
+        x, y = np.flatnonzero(np.isin(p, both))[0], np.flatnonzero(np.isin(q, both))[0]
+        assert min(x, y) + min(len(a) - x, len(b) - y) >= needed(len(a), len(b))
+
+
+def test_query_equals_sql_on_a_larger_table(spark):
+    from check import differences, make_duck
+    from docflow.llm.queries import ORACLES, QUERIES
+
+    sf = "/root/testdata/sf0.01"
+    assert differences(QUERIES["op3_line_dedup"](spark, sf).toPandas(), make_duck(sf).sql(ORACLES["op3_line_dedup"]).df()) is None
