@@ -101,13 +101,15 @@ def differing_bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _lines(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """``uid, tag, line, node, n, first, b0, b1``: a row per line; prefix and bitmap at the first of equal lines in a batch."""
+    """``uid, tag, line, node, n, first, b0, b1``: a row per line; prefix and bitmap at the least place of equal lines in a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row, line, node, size, first, bits, seen = [], [], [], [], [], [], set()
-            for i, data in enumerate(byte_rows(batch.column(2))):
-                for number, words in line_sets(data):
+            texts = list(byte_rows(batch.column(2)))
+            # rows come in any order, and the first of equal lines must be the one of the least place
+            for i in np.lexsort([batch.column(k).to_numpy() for k in (1, 0)]).tolist():
+                for number, words in line_sets(texts[i]):
                     key = int.from_bytes(hashlib.blake2b(words.tobytes(), digest_size=8).digest(), "little", signed=True)
                     row.append(i)
                     line.append(number)
@@ -136,7 +138,7 @@ def _shards(lines: DataFrame) -> DataFrame:
     small = shared.count() <= BROADCAST_KEYS
     keyed = keyed.select("node", "n", "b0", "b1", F.struct("uid", "tag", "line").alias("f"), F.posexplode("first").alias("pos", "key"))
     members = keyed.join(F.broadcast(shared) if small else shared, "key")
-    # each batch that holds a node has sent it, so the least place is the node's first one
+    # each batch that holds a node has sent its least place there, so the least of them is the node's first one
     members = members.groupBy("key", "node", "n", "pos", "b0", "b1").agg(F.min("f").alias("f"))
     members = materialize(members, "line-shards")
     large = members.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > SHARD)

@@ -3,6 +3,7 @@
 import random
 import re
 
+import duckdb
 import numpy as np
 import pytest
 from docflow.llm import line_dedup
@@ -90,3 +91,27 @@ def test_query_equals_sql_on_a_larger_table(spark):
 
     sf = "/root/testdata/sf0.01"
     assert differences(QUERIES["op3_line_dedup"](spark, sf).toPandas(), make_duck(sf).sql(ORACLES["op3_line_dedup"]).df()) is None
+
+
+@pytest.mark.parametrize("order", ["descending", "random", "null ids"])
+def test_rows_of_a_batch_come_in_any_order(docs_of, order):
+    """Copies of a line in one batch, the later one read first, and a near-equal line between the two."""
+    from check import differences
+    from docflow.llm.queries import ORACLES
+
+    line = "one two three four five six seven eight nine"
+    texts = ["x", "x", "x", line, "x", line + " ten", "x", "x", "x", line, *corpus(7)]
+    ids = list(range(len(texts)))
+    by = random.Random(3).sample(ids, len(ids)) if order == "random" else ids[::-1]
+    docs = docs_of([texts[i] for i in by], [None] * len(ids) if order == "null ids" else by).coalesce(1)
+    rows = line_dedup.remove_matching_lines(docs)
+    if order == "null ids":  # these lie in the order of their texts' hashes
+        placed = [r.text for r in docs.select(*line_dedup.identity(), "text").distinct().orderBy("uid", "tag").collect()]
+        want = dict(zip(placed, brute(placed), strict=True))
+        assert sorted(tuple(r)[1:] for r in rows.collect()) == sorted(want[t] for t in texts)
+        return
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    got = rows.select("doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256")).toPandas()
+    assert differences(got, con.sql(ORACLES["op3_line_dedup"]).df()) is None
+    assert {r.doc_id: tuple(r)[1:] for r in rows.collect()} == dict(enumerate(brute(texts)))
