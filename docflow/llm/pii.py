@@ -36,7 +36,7 @@ BASE: dict[str, tuple[str, str, str]] = {
     "ip": (
         r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
         r"t rlike '[0-9][.][0-9]'",
-        r"x rlike '^(?:0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})(?:[.]|$)){4}$'",
+        r"x rlike '^(?:0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9][0-9]?|(?<=0))(?:[.]|$)){4}$'",
     ),
     "card": (
         r"[0-9](?:[ -]?[0-9])++",

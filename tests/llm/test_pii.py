@@ -57,6 +57,17 @@ def test_base_spans_equal_python(docs_of, odd_texts):
     assert spans(rows) == {i: brute(t) for i, t in enumerate(texts)}
 
 
+def test_addresses_with_zero_parts(docs_of):
+    rng = random.Random(5)
+    texts = ["10.0.0.1 127.0.0.1 192.168.0.7 0.0.0.0 00.000.1.0 0.0.0.256 00255.0256.1.0 8.8.8.0 0.0.0 10.20.30.40 100.200.0100.00"]
+    texts += [f"{'0' * 4_000}.{'0' * 4_000}7.{'0' * 4_000}.{'0' * 4_000}{last}" for last in ("", "255", "256")]
+    texts += [".".join(rng.choice(["0", "00", "0255", "256", "10", "9", "250", "0300"]) for _ in range(rng.randint(3, 5))) for _ in range(200)]
+    texts += ["".join(rng.choice("0012.. a") for _ in range(rng.randint(0, 80))) for _ in range(200)]
+    want = {i: brute(t) for i, t in enumerate(texts)}
+    assert [k for k, *_ in want[0]] == ["ip"] * 8 and [len(want[i]) for i in (1, 2, 3)] == [1, 1, 0]
+    assert spans(pii.find_personal_data(docs_of(texts)).collect()) == want
+
+
 def test_query_digests(spark):
     sf = "/root/testdata/sf0.001"
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
