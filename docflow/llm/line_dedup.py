@@ -12,7 +12,7 @@ earlier ones that fit. Shards of more than ``SHARD`` nodes are cut into blocks t
 
 Defined results
     null or empty text       has one empty line; nothing removed
-    lines of few words       fewer than ``LEAST_WORDS`` distinct words: always stay
+    lines of few words       fewer than ``least_words`` distinct words: always stay; 1 takes every line with a word
     very long text or line   is read whole, in segments of bounded size
     null doc_id              such documents are placed among the ids by a hash of their text
     repeated rows            rows that repeat id and text are one document and get the same result
@@ -36,6 +36,7 @@ from docflow.llm.jaccard_join import _verified as verified
 from docflow.llm.windows import identity
 from docflow.runtime import materialize
 
+#: Of the registered query and its SQL.
 LEAST_WORDS = 5
 CELLS = 1 << 18
 SHARD = 4096
@@ -44,7 +45,7 @@ _NEWLINE = _is(10)
 
 
 
-def line_sets(data: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+def line_sets(data: np.ndarray, least_words: int = LEAST_WORDS) -> Iterator[tuple[int, np.ndarray]]:
     """Number and sorted distinct word hashes of each line with enough words."""
     number = 0
     for a, b in segments(data, _NEWLINE):
@@ -54,9 +55,9 @@ def line_sets(data: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         line = np.searchsorted(np.flatnonzero(part == 10), starts)
         cut = np.flatnonzero(np.diff(line)) + 1
         for x, y in zip(np.r_[0, cut].tolist(), np.r_[cut, len(line)].tolist(), strict=True):
-            if y - x >= LEAST_WORDS:
+            if y - x >= least_words:
                 found = np.unique(words[x:y])
-                if len(found) >= LEAST_WORDS:
+                if len(found) >= least_words:
                     yield number + int(line[x]), found
         number += int(np.count_nonzero(part == 10))
 
@@ -65,14 +66,14 @@ def _cell(words: np.ndarray) -> np.ndarray:
     return (words >> np.uint64(64 - 18)).astype(np.int64)
 
 
-def word_counts(docs: DataFrame) -> np.ndarray:
+def word_counts(docs: DataFrame, least_words: int = LEAST_WORDS) -> np.ndarray:
     """In how many lines the words of each hash cell occur (``CELLS`` numbers)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CELLS, dtype=np.int64)
         for batch in batches:
             for data in byte_rows(batch.column(0)):
-                sets = [s for _, s in line_sets(data)]
+                sets = [s for _, s in line_sets(data, least_words)]
                 if sets:
                     total += np.bincount(_cell(np.concatenate(sets)), minlength=CELLS)
         at = np.flatnonzero(total)
@@ -100,7 +101,7 @@ def differing_bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count((a ^ b).view(np.uint64)).astype(np.int64)  # of a signed number it counts the absolute value
 
 
-def _lines(docs: DataFrame, counts: np.ndarray) -> DataFrame:
+def _lines(docs: DataFrame, counts: np.ndarray, least_words: int) -> DataFrame:
     """``uid, tag, line, node, n, first, b0, b1``: a row per line; prefix and bitmap at the least place of equal lines in a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,7 +110,7 @@ def _lines(docs: DataFrame, counts: np.ndarray) -> DataFrame:
             texts = list(byte_rows(batch.column(2)))
             # rows come in any order, and the first of equal lines must be the one of the least place
             for i in np.lexsort([batch.column(k).to_numpy() for k in (1, 0)]).tolist():
-                for number, words in line_sets(texts[i]):
+                for number, words in line_sets(texts[i], least_words):
                     key = int.from_bytes(hashlib.blake2b(words.tobytes(), digest_size=8).digest(), "little", signed=True)
                     row.append(i)
                     line.append(number)
@@ -202,7 +203,7 @@ def _pairs(shards: DataFrame, mode: str) -> DataFrame:
     return rows.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def _sets(docs: DataFrame, wanted: DataFrame, least_words: int) -> DataFrame:
     """``node, set`` of the lines ``uid, tag, line, node``. Up to ``BROADCAST_NODES`` of them go to the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,7 +211,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             node, sets = [], []
             for i, data in enumerate(byte_rows(batch.column(0))):
                 want = dict(zip(*(batch.column(1).field(k)[i].as_py() for k in range(2)), strict=True))
-                for number, words in line_sets(data):
+                for number, words in line_sets(data, least_words):
                     if number in want:
                         node.append(want[number])
                         sets.append(words.tobytes())
@@ -224,16 +225,16 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "node bigint, set binary").dropDuplicates(["node"])
 
 
-def removed_lines(docs: DataFrame) -> DataFrame:
+def removed_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """``uid, tag, line`` of every line that an earlier one matches (lines count from 0)."""
-    lines = materialize(_lines(docs, word_counts(docs)), "lines")
+    lines = materialize(_lines(docs, word_counts(docs, least_words), least_words), "lines")
     firsts = lines.groupBy("node").agg(F.min(F.struct("uid", "tag", "line")).alias("f"))
     shards = _shards(lines)
     some = materialize(_pairs(shards.withColumn("stays", F.lit(True)), "some"), "line-pairs-some")
     paired = some.select(F.col("a").alias("node")).unionByName(some.select(F.col("b").alias("node"))).distinct()
     paired = materialize(paired, "paired-lines")
     wanted = firsts.join(paired, "node").select("node", "f.uid", "f.tag", "f.line")
-    sets = materialize(_sets(docs, materialize(wanted, "wanted-lines")), "line-sets")
+    sets = materialize(_sets(docs, materialize(wanted, "wanted-lines"), least_words), "line-sets")
     removed = materialize(verified(some, sets).select(F.col("b").alias("node")).distinct(), "matched-some")
     shards = shards.join(paired, "node", "left_semi").join(removed.withColumn("gone", F.lit(True)), "node", "left")
     rest = _pairs(shards.withColumn("stays", F.col("gone").isNull()).drop("gone"), "all")
@@ -245,8 +246,13 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     return rows.select("uid", "tag", "line").distinct()
 
 
-def remove_matching_lines(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_lines, n_removed, kept`` for every row; ``kept`` joins the lines left by newlines."""
+def remove_matching_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """``doc_id, n_lines, n_removed, kept`` for every row; ``kept`` joins the lines left by newlines.
+
+    Lines of fewer than ``least_words`` distinct words stay. 1 judges every line that has a word.
+    """
+    if least_words < 1:
+        raise ValueError("a line without words matches nothing: least_words must be 1 or more")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -260,6 +266,6 @@ def remove_matching_lines(docs: DataFrame) -> DataFrame:
             columns = [batch.column(0), pa.array(total, type=pa.int64()), pa.array(gone, type=pa.int64()), pa.array(kept, type=pa.binary()).cast(pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_lines", "n_removed", "kept"])
 
-    out = removed_lines(docs).groupBy("uid", "tag").agg(F.collect_list("line").alias("out"))
+    out = removed_lines(docs, least_words).groupBy("uid", "tag").agg(F.collect_list("line").alias("out"))
     rows = docs.select(*identity(), F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(out, ["uid", "tag"], "left")
     return rows.select("doc_id", "text", "out").mapInArrow(run, "doc_id bigint, n_lines bigint, n_removed bigint, kept string")

@@ -115,3 +115,19 @@ def test_rows_of_a_batch_come_in_any_order(docs_of, order):
     got = rows.select("doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256")).toPandas()
     assert differences(got, con.sql(ORACLES["op3_line_dedup"]).df()) is None
     assert {r.doc_id: tuple(r)[1:] for r in rows.collect()} == dict(enumerate(brute(texts)))
+
+
+def test_short_lines_are_judged_on_request(docs_of, odd_texts):
+    texts = ["Share this page\na b\nx", "share THIS page\nb c\n\n", "A b\nx x", "one two three four", *corpus(11), *odd_texts[:6], "one two three four five"]
+    seen, want = [], []
+    for t in texts:
+        gone = 0
+        for line in (t or "").split("\n"):
+            s = set(re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in line)))
+            gone += any(9 * len(s & o) >= 4 * (len(s) + len(o)) for o in seen) if s else 0
+            seen += [s] if s else []
+        want.append(gone)
+    rows = line_dedup.remove_matching_lines(docs_of(texts).repartition(3), least_words=1).collect()
+    assert {r.doc_id: r.n_removed for r in rows} == dict(enumerate(want)) and want[:4] == [0, 1, 2, 0]
+    with pytest.raises(ValueError):
+        line_dedup.remove_matching_lines(docs_of(texts), least_words=0)
