@@ -34,8 +34,8 @@ def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the token sequences."""
-    return packing.pack(docs, tokenizer_path()).drop("ids")
+    """Pieces of the token sequences, with their token ids."""
+    return packing.pack(docs, tokenizer_path())
 
 
 STAGES = [

@@ -194,3 +194,14 @@ def test_swaps_take_the_score_off_identity_terms():
     plain, fair = toxicity.train(texts, y, fairness=0.0), toxicity.train(texts, y, fairness=50.0)
     assert gap(plain) > 0.2 and abs(gap(fair)) < 0.25 * gap(plain)
     assert fair.score(words("men", "insult")) > 0.5
+
+
+def test_pipeline_writes_the_token_ids(spark, docs_of, odd_texts, tmp_path):
+    import corpus_pipeline
+
+    texts = [*odd_texts, "one two three " * 900]
+    corpus_pipeline.packed(spark, docs_of(texts), "").write.parquet(f"{tmp_path}/packed")
+    pieces = {}
+    for r in spark.read.parquet(f"{tmp_path}/packed").collect():
+        pieces.setdefault(r.doc_id, []).append((r.start, np.frombuffer(r.ids, "<u4").tolist()))
+    assert [sum((p for _, p in sorted(pieces[i])), []) for i in range(len(texts))] == encode_plain(texts)
