@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docflow.llm import decontamination, exact_dedup, jaccard_join, line_dedup, packing, pii, quality, substring_dedup, suffix_dedup, toxicity
+from docflow.llm import (
+    decontamination, exact_dedup, jaccard_join, line_dedup, packing, pii, quality, spelling, substring_dedup, suffix_dedup,
+    toxicity, url_filters, whitening,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -158,3 +161,70 @@ def op4(spark, sf_dir):
 def op3(spark, sf_dir):
     rows = line_dedup.remove_matching_lines(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op11_whitening")
+def op11(spark, sf_dir):
+    rows = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return rows.withColumn("deviation", F.col("deviation").try_cast("bigint"))
+
+
+@query(
+    "op12_url_filters",
+    f"""
+    WITH rules AS (
+        SELECT * FROM (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')) t(rule_host, rule_path, verdict)
+    ),
+    rests AS (SELECT row_number() OVER () AS k, page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+    hosts AS (SELECT k, page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM rests),
+    urls AS (SELECT k, page_id, {ASCII_LOWER.format("raw")} AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM hosts),
+    fits AS (
+        SELECT k, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule, arg_max(verdict, length(rule_host || rule_path)) AS verdict
+        FROM urls JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+        GROUP BY k
+    )
+    SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM urls LEFT JOIN fits USING (k)
+    """,
+)
+def op12(spark, sf_dir):
+    return url_filters.judge_urls(table(spark, sf_dir, "pages"), url_filters.example_rules(spark))
+
+
+# One bit of a CRC-32.
+CRC_STEP = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+
+
+@query(
+    "op13_spelling_variants",
+    f"""
+    WITH RECURSIVE crc AS (
+        SELECT list_transform(range(256), lambda b: list_reduce([b] || range(8), lambda c, k: {CRC_STEP})) AS tab
+    ),
+    runs AS (SELECT doc_id, unnest(regexp_extract_all({ASCII_LOWER.format("text")}, '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+    pairs AS (SELECT doc_id, run, count(*) AS n FROM runs GROUP BY ALL),
+    bytes AS (
+        SELECT doc_id, run, n, flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [195, unicode(x)::BIGINT - 64] END)) AS b
+        FROM pairs
+    ),
+    hashed AS (SELECT run, n, xor(list_reduce([4294967295::BIGINT] || b, lambda c, x: xor(c >> 8, tab[1 + (xor(c, x) & 255)])), 4294967295) AS h FROM bytes, crc),
+    spelt AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed),
+    words AS (SELECT word, sum(n)::BIGINT AS n FROM spelt WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+    holes AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)),
+    near AS (
+        SELECT DISTINCT a.word, b.word AS near, b.n AS near_n FROM holes a JOIN holes b USING (i, rest) WHERE a.word <> b.word AND length(a.word) = length(b.word)
+        UNION SELECT h.word, w.word, w.n FROM holes h JOIN words w ON rest = w.word
+        UNION SELECT w.word, h.word, h.n FROM holes h JOIN words w ON rest = w.word
+    ),
+    ranked AS (SELECT *, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) AS r FROM near),
+    forms AS (
+        SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 2 * w.n THEN near END AS form, CASE WHEN near_n >= 2 * w.n THEN near_n END AS form_n
+        FROM words w LEFT JOIN ranked k ON w.word = k.word AND r = 1
+    ),
+    walk(word, last) AS (SELECT word, word FROM words UNION ALL SELECT walk.word, form FROM walk JOIN forms ON last = forms.word WHERE form IS NOT NULL)
+    SELECT f.word, form, last AS root, n, n_near, form_n
+    FROM forms f JOIN walk USING (word) WHERE last IN (SELECT word FROM forms WHERE form IS NULL)
+    """,
+)
+def op13(spark, sf_dir):
+    rows = spelling.group_variants(table(spark, sf_dir, "documents"))
+    return rows.select("word", "form", "root", "n", "n_near", "form_n")
