@@ -116,7 +116,7 @@ def pack_1k(parts: Column, limit: int = 1000, compat: bool = False) -> Column:
     return F.aggregate(parts, start, step, finish)
 
 
-def chunks_docx(fiches: DataFrame) -> DataFrame:
+def chunks_docx(fiches: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """One chunk per sheet with text; ids are content-derived, so a rebuild gives the same ids."""
     text = norm_edges("texte_complet")
     title = first_nonblank("titre", default="Titre inconnu")
@@ -130,6 +130,7 @@ def chunks_docx(fiches: DataFrame) -> DataFrame:
         source.alias("source"),
         F.md5(F.concat(source, F.lit("|"), title)).alias("fiche_id"),
         F.lit(0).alias("section_index"),
+        *keep,
     )
 
 

@@ -13,7 +13,7 @@ DEFAULT_MAX_DEPTH = 1
 
 
 def seed_urls(sites: DataFrame) -> DataFrame:
-    """One row per start page. Accepts ``base_url|domain`` and ``start_pages|start_urls``.
+    """One row per start page, numbered from 0 in ``seed_no``. Accepts ``base_url|domain`` and ``start_pages|start_urls``.
 
     Sites without a base URL or start pages are dropped; missing limits get the defaults.
     """
@@ -31,7 +31,7 @@ def seed_urls(sites: DataFrame) -> DataFrame:
             F.coalesce(optional("max_depth", "int"), F.lit(DEFAULT_MAX_DEPTH)).alias("max_depth"),
             optional("allow_path_regex", "string").alias("allow_path_regex"),
             optional("deny_query_regex", "string").alias("deny_query_regex"),
-            F.explode(pages).alias("seed_url"),
+            F.posexplode(pages).alias("seed_no", "seed_url"),
         )
         .where(F.coalesce(F.col("base_url"), F.lit("")) != "")
     )

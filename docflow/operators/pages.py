@@ -377,9 +377,13 @@ def _followable(url: Column) -> Column:
     return F.filter(F.array_distinct(hrefs), lambda h: ux.same_site(url, h) & ~ux.url_blocked(h))
 
 
-def outlinks(parsed: DataFrame, page_id: str = "page_id", url: str = "url") -> DataFrame:
-    """Distinct same-site links of a page that a crawl may follow. De-duplicated inside the row."""
-    return explode_rows(parsed, [page_id, url], _followable(F.col(url)), "n", "target").drop("n")
+def outlinks(parsed: DataFrame, page_id: str = "page_id", url: str = "url", place: str | None = None) -> DataFrame:
+    """Distinct same-site links of a page that a crawl may follow. De-duplicated inside the row.
+
+    ``place`` names a column for a link's position in its page.
+    """
+    links = explode_rows(parsed, [page_id, url], _followable(F.col(url)), "n", "target")
+    return links.withColumnRenamed("n", place) if place else links.drop("n")
 
 
 def section_blocks(parsed: DataFrame) -> DataFrame:
@@ -437,7 +441,7 @@ def is_exam_page(url: Column | str) -> Column:
     return (ux.url_domain(url) == "lab-cerba.com") & ux.path(url).rlike(r"^/(fr|en)/examen/")
 
 
-def chunks_web(blocks: DataFrame, title: Column, url: Column, file: Column) -> DataFrame:
+def chunks_web(blocks: DataFrame, title: Column, url: Column, file: Column, keep: tuple[Column, ...] = ()) -> DataFrame:
     """One chunk per non-blank block, with normalised title, source and original section position.
 
     Ids come from the full URL, as pages that differ in the query share a file name.
@@ -458,5 +462,6 @@ def chunks_web(blocks: DataFrame, title: Column, url: Column, file: Column) -> D
             F.nullif(F.col("loc.url"), F.lit("")).alias("url"),
             F.nullif(F.col("loc.domain"), F.lit("")).alias("domain"),
             file.alias("source_path"),
+            *keep,
         )
     )

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("scalars", "structure", "crawl", "retrieval", "records", "vitals", "chat", "files", "streams", "care")
+MODULES = ("scalars", "structure", "crawl", "retrieval", "records", "vitals", "chat", "files", "streams", "care", "frontier")
 
 
 def load():

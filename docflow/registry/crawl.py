@@ -23,7 +23,7 @@ def src_seeds(spark, sf):
         F.when(ux.scheme("url") == "https", base).alias("base_url"),
         F.array(F.col("url"), F.concat("url", F.lit("/2"))).alias("start_urls"),
     )
-    return graph.seed_urls(sites).drop("allow_path_regex", "deny_query_regex")
+    return graph.seed_urls(sites).drop("allow_path_regex", "deny_query_regex", "seed_no")
 
 
 @query("link_edges", f"SELECT url AS src, target AS dst FROM ({LINKS_SQL})")

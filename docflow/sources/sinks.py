@@ -68,6 +68,12 @@ def append_snapshot(snapshot: DataFrame, as_of: Column, path: str) -> None:
     snapshot.select("kind", "name", "sha256", as_of.cast("timestamp").alias("snapshot_ts")).write.mode("append").parquet(path)
 
 
+def append_changes(diff: DataFrame, as_of: Column, path: str) -> None:
+    """Add the changed sources ``kind, name, new_hash, status`` to the journal under one snapshot time."""
+    rows = diff.select("kind", "name", F.col("new_hash").alias("sha256"), "status", as_of.cast("timestamp").alias("snapshot_ts"))
+    rows.write.mode("append").parquet(path)
+
+
 def write_chat_exports(exports: DataFrame, day: str, path: str) -> None:
     """Markdown exports below ``patient=.../day=...``; other patients and days stay."""
     rows = exports.select("patient", F.lit(day).alias("day"), F.col("markdown").alias("value"))
