@@ -6,12 +6,20 @@ its leaves, so dropping rows prunes empty containers by itself.
 
 from __future__ import annotations
 
+import json as js
+import re
+from collections.abc import Iterator
+from json.decoder import scanstring
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docflow.functions.text import is_empty_marker
 
-MAX_DEPTH = 12
+#: Keys of leaves that one Arrow batch holds at most, but for a single leaf that lies deeper.
+BATCH_KEYS = 1 << 19
 
 # --- fixed values: nulls that stay in a cleaned record ---
 KEPT_NULL_KEYS = ("situationFamiliale",)
@@ -47,60 +55,227 @@ SENSITIVE_PATHS = (
 )
 
 
-def path_text(keys: Column) -> Column:
-    """``a.b[0].c`` from the key list ``[a, b, [0], c]``."""
-    joined = F.array_join(F.transform(keys, lambda k: F.when(k.startswith("["), k).otherwise(F.concat(F.lit("."), k))), "")
-    return F.regexp_replace(joined, r"^\.", "")
-
-
-def _reject_reason(json: str, max_depth: int) -> Column:
-    """Why a record can't become leaves, else null. Each round takes away the innermost pairs of brackets."""
-    text = F.regexp_replace(json, r"^\uFEFF", "")
-    left = F.regexp_replace(F.regexp_replace(text, r'"(?:[^"\\]|\\.)*+"', ""), r"[^\[\]{}]", "")
-    for _ in range(max_depth):
-        left = F.regexp_replace(left, r"\{\}|\[\]", "")
-    return F.when(F.try_parse_json(text).isNull(), "invalid JSON").when(left != "", f"nested deeper than {max_depth}")
+# A key that a path can't show as it is stands in brackets and quotes, so different key lists have different paths.
+_ODD_KEY = r'[.\[\]"]'
+_INDEX = r"^\[[0-9]+\]$"
 
 
-def record_rejects(records: DataFrame, doc_id: str, json: str, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """``doc_id, reason`` of the records that ``accepted_records`` leaves out."""
-    return records.select(doc_id, _reject_reason(json, max_depth).alias("reason")).where(F.col("reason").isNotNull())
+def _quoted(key: str) -> str:
+    escaped = key.replace("\\", "\\\\").replace('"', '\\"')
+    return f'["{escaped}"]'
 
 
-def accepted_records(records: DataFrame, json: str, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """The records that ``json_leaves`` can take."""
-    return records.where(_reject_reason(json, max_depth).isNull())
-
-
-def json_leaves(records: DataFrame, doc_id: str, json: str, max_depth: int = MAX_DEPTH) -> DataFrame:
+def path_text(keys: Column) -> Column:
+    """``a.b[0].c`` from the key list ``[a, b, [0], c]``; a key with dots, brackets or quotes gives ``a["b.c"]``."""
+
+    def piece(k: Column) -> Column:
+        escaped = F.replace(F.replace(k, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+        odd = F.concat(F.lit('["'), escaped, F.lit('"]'))
+        return F.when(k.rlike(_INDEX), k).when(k.rlike(r'^\["\[[0-9]+\]"\]$'), k).when(k.rlike(_ODD_KEY), odd).otherwise(F.concat(F.lit("."), k))
+
+    return F.regexp_replace(F.array_join(F.transform(keys, piece), ""), r"^\.", "")
+
+
+class _Number(str):
+    """The text of a number, told apart from a string."""
+
+    __slots__ = ()
+
+
+def _float(text: str) -> _Number:
+    value = float(text)
+    return _Number(text if value in (float("inf"), float("-inf")) else repr(value))
+
+
+def _constant(text: str) -> _Number:
+    return _Number(str(float(text)))
+
+
+_SPACE = re.compile(r"[ \t\n\r]*")
+_NUMBER = re.compile(r"-?(?:0|[1-9][0-9]*)(\.[0-9]+)?([eE][-+]?[0-9]+)?")
+_WORDS = {"null": None, "true": True, "false": False, "NaN": _constant("nan"), "Infinity": _constant("inf"), "-Infinity": _constant("-inf")}
+
+
+def _parse_nested(text: str):
+    """JSON that is nested deeper than the parser of the standard library goes: open containers are on a list."""
+    at, holders, keys = _SPACE.match(text).end(), [], []
+    while True:
+        if text[at : at + 1] in ("{", "["):
+            holders.append({} if text[at] == "{" else [])
+            at = _SPACE.match(text, at + 1).end()
+            if text[at : at + 1] != ("}" if isinstance(holders[-1], dict) else "]"):
+                if isinstance(holders[-1], dict):
+                    at = _key(text, at, keys)
+                continue
+            at, value = at + 1, holders.pop()
+        elif text[at : at + 1] == '"':
+            value, at = scanstring(text, at + 1, True)
+        elif word := next((w for w in _WORDS if text.startswith(w, at)), None):
+            value, at = _WORDS[word], at + len(word)
+        elif number := _NUMBER.match(text, at):
+            value, at = _float(number[0]) if number[1] or number[2] else _Number(number[0]), number.end()
+        else:
+            raise ValueError("no value")
+        while True:  # the value is complete: give it to its container, which may end here too
+            at = _SPACE.match(text, at).end()
+            if not holders:
+                if at != len(text):
+                    raise ValueError("more than one value")
+                return value
+            holder = holders[-1]
+            if isinstance(holder, dict):
+                holder[keys.pop()] = value
+            else:
+                holder.append(value)
+            sign = text[at : at + 1]
+            at = _SPACE.match(text, at + 1).end()
+            if sign == ",":
+                if isinstance(holder, dict):
+                    at = _key(text, at, keys)
+                break
+            if sign != ("}" if isinstance(holder, dict) else "]"):
+                raise ValueError("container not closed")
+            value = holders.pop()
+
+
+def _key(text: str, at: int, keys: list[str]) -> int:
+    if text[at : at + 1] != '"':
+        raise ValueError("no key")
+    key, at = scanstring(text, at + 1, True)
+    at = _SPACE.match(text, at).end()
+    if text[at : at + 1] != ":":
+        raise ValueError("no colon")
+    keys.append(key)
+    return _SPACE.match(text, at + 1).end()
+
+
+def _read(text: str | None):
+    """The record and None, or None and why there is none. Of a key that is repeated the last value counts."""
+    if text is None:
+        return None, "no record"
+    text = text.removeprefix("\ufeff")
+    if not text.strip():
+        return None, "empty text"
+    try:
+        return js.loads(text, parse_int=_Number, parse_float=_float, parse_constant=_constant), None
+    except RecursionError:
+        pass
+    except ValueError:
+        return None, "invalid JSON"
+    try:
+        return _parse_nested(text), None
+    except ValueError:
+        return None, "invalid JSON"
+
+
+def _leaves_of(record) -> Iterator[tuple[tuple[str, ...], str, str, str | None]]:
+    """Keys, path, type and text of every leaf in the order of the record, without recursion."""
+    waiting = [((), "", record)]
+    while waiting:
+        keys, path, value = waiting.pop()
+        if value and isinstance(value, dict):
+            children = []
+            for k, v in value.items():
+                if re.search(_ODD_KEY, k):
+                    children.append(((*keys, _quoted(k) if re.search(_INDEX, k) else k), path + _quoted(k), v))
+                else:
+                    children.append(((*keys, k), f"{path}.{k}" if keys else k, v))
+            waiting += reversed(children)
+        elif value and isinstance(value, list):
+            waiting += [((*keys, f"[{i}]"), f"{path}[{i}]", value[i]) for i in range(len(value) - 1, -1, -1)]
+        elif value is None:
+            yield keys, path, "null", None
+        elif isinstance(value, bool):
+            yield keys, path, "boolean", "true" if value else "false"
+        elif isinstance(value, _Number):
+            yield keys, path, "number", str(value)
+        elif isinstance(value, str):
+            yield keys, path, "string", value
+        else:
+            yield keys, path, "empty", "{}" if isinstance(value, dict) else "[]"
+
+
+def _depth(record) -> int:
+    depth, level = 0, [record]
+    while level := [c for v in level if isinstance(v, (dict, list)) for c in ((v.values() if isinstance(v, dict) else v) or (None,))]:
+        depth += 1
+    return depth
+
+
+def _strings(values: list) -> pa.Array:
+    """Half of a character pair alone, which JSON may hold and a table can't, becomes a question mark."""
+    try:
+        return pa.array(values, pa.string())
+    except UnicodeEncodeError:
+        return pa.array([v if v is None else v.encode("utf-16", "surrogatepass").decode("utf-16", "replace") for v in values], pa.string())
+
+
+def _walk(max_depth: int | None):
+    def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, keys, sizes, paths, types, values = [], [], [], [], [], []
+
+            def flush(ids=batch.column(0)):
+                nonlocal rows, keys, sizes, paths, types, values
+                offsets = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+                listed = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), _strings(keys))
+                out = [ids.take(pa.array(rows, pa.int64())), listed, _strings(paths), pa.array(types, pa.string()), _strings(values)]
+                rows, keys, sizes, paths, types, values = [], [], [], [], [], []
+                return pa.record_batch(out, names=["id", "keys", "path", "type", "value"])
+
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                record, reason = _read(text)
+                if reason or max_depth is not None and _depth(record) > max_depth:
+                    continue
+                for k, path, kind, value in _leaves_of(record):
+                    rows.append(i)
+                    keys += k
+                    sizes.append(len(k))
+                    paths.append(path)
+                    types.append(kind)
+                    values.append(value)
+                    if len(keys) >= BATCH_KEYS:
+                        yield flush()
+            yield flush()
+
+    return leaves
+
+
+def _refuse(max_depth: int | None):
+    def reasons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, said = [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                record, reason = _read(text)
+                if not reason and max_depth is not None and _depth(record) > max_depth:
+                    reason = f"nested deeper than {max_depth}"
+                if reason:
+                    rows.append(i)
+                    said.append(reason)
+            yield pa.record_batch([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(said, pa.string())], names=["id", "reason"])
+
+    return reasons
+
+
+def _id_field(records: DataFrame, doc_id: str) -> str:
+    return f"`{doc_id}` {records.schema[doc_id].dataType.simpleString()}"
+
+
+def record_rejects(records: DataFrame, doc_id: str, json: str, max_depth: int | None = None) -> DataFrame:
+    """``doc_id, reason`` of the records without leaves: null, blank, no JSON or, on request, too deep."""
+    return records.select(doc_id, json).mapInArrow(_refuse(max_depth), f"{_id_field(records, doc_id)}, reason string")
+
+
+def json_leaves(records: DataFrame, doc_id: str, json: str, max_depth: int | None = None) -> DataFrame:
     """``doc_id, keys, path, type, value`` for every leaf; empty containers count as leaves.
 
-    One ``variant_explode`` per level inside a single pipeline, so nothing is shuffled or re-read. A
-    record deeper than ``max_depth`` fails loudly instead of losing data, and one that is no JSON has no
-    leaves: take ``accepted_records`` before and ``record_rejects`` beside it.
+    Each record is read once, in Arrow batches without a shuffle, at any depth; of a repeated key the last value
+    counts. Leaves carry all their keys, so a record's rows are as large as its leaves times their depth.
+    ``record_rejects`` lists the records that have none. In ``keys`` a list item is ``[0]``; an object's key that
+    looks so is quoted.
     """
-    parsed = F.try_parse_json(F.regexp_replace(json, r"^\uFEFF", ""))
-    start = records.select(doc_id, parsed.alias("v"), F.array().cast("array<string>").alias("keys"))
-    nested = "{start}"
-    for _ in range(max_depth):
-        nested = (
-            f"(SELECT t.`{doc_id}`, if(c.pos IS NULL, t.v, c.value) AS v, "
-            "if(c.pos IS NULL, t.keys, concat(t.keys, array(coalesce(c.key, concat('[', c.pos, ']'))))) AS keys "
-            f"FROM {nested} t, LATERAL variant_explode_outer(t.v) c)"
-        )
-    level = records.sparkSession.sql(f"SELECT * FROM {nested}", start=start)
-    kind = F.schema_of_variant("v")
-    simple = (
-        F.when(kind == "VOID", "null")
-        .when(kind == "STRING", "string")
-        .when(kind == "BOOLEAN", "boolean")
-        .when(kind.rlike(r"^(OBJECT<>|ARRAY<VOID>)$") & F.try_variant_get("v", "$", "string").isin("{}", "[]"), "empty")
-        .when(kind.rlike("^(OBJECT|ARRAY)"), F.raise_error(F.lit(f"record nested deeper than {max_depth}")))
-        .otherwise("number")
-    )
-    return level.where(F.col("v").isNotNull()).select(
-        doc_id, "keys", path_text(F.col("keys")).alias("path"), simple.alias("type"),
-        F.try_variant_get("v", "$", "string").alias("value"),
+    return records.select(doc_id, json).mapInArrow(
+        _walk(max_depth), f"{_id_field(records, doc_id)}, keys array<string>, path string, type string, value string"
     )
 
 

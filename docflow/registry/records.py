@@ -563,3 +563,52 @@ def weekly_schedule(spark, sf):
         F.array(day).alias("days"), F.array(moment).alias("moments"), F.array("event_type").alias("actions"),
     )
     return render.weekly_schedule(entries, "doc_id")
+
+
+# Records that readers trip over, one kind after the other: nested up to 40 deep, a repeated key, keys with dots,
+# broken, missing, blank, nested lists, numbers in several forms.
+ODD_SQL = """SELECT doc_id, doc_id % 8 AS kind, (1 + doc_id % 40)::INT AS d FROM documents"""
+
+
+def _odd_records(spark, sf):
+    number, depth = F.col("doc_id").cast("string"), (1 + F.col("doc_id") % 40).cast("int")
+    kinds = (
+        F.concat(F.repeat(F.lit('{"a":'), depth), F.lit('"x'), number, F.lit('"'), F.repeat(F.lit("}"), depth)),
+        F.concat(F.lit('{"k": [1], "k": '), number, F.lit("}")),
+        F.concat(F.lit('{"a.b": "x", "a": {"b": "'), number, F.lit('", "c[0]": 1, "c": [2]}}')),
+        F.concat(F.lit('{"a": '), number), F.lit(None).cast("string"), F.lit(" "),
+        F.concat(F.repeat(F.lit("["), depth), number, F.repeat(F.lit("]"), depth)),
+        F.concat(F.lit('{"n": 1.50, "e": 1E3, "big": 1'), F.repeat(F.lit("0"), depth), F.lit(', "u": "\\u00e9é"}')),
+    )
+    text = F.lit(None).cast("string")
+    for k, made in enumerate(kinds):
+        text = F.when(F.col("doc_id") % 8 == k, made).otherwise(text)
+    return table(spark, sf, "documents", spread=True).select("doc_id", text.alias("json"))
+
+
+def _s_odd(kind: int, path: str, type_: str, value: str) -> str:
+    return f"SELECT doc_id, {path} AS path, '{type_}' AS type, {value} AS value FROM ({ODD_SQL}) WHERE kind = {kind}"
+
+
+@query(
+    "odd_record_leaves",
+    " UNION ALL ".join(
+        (
+            _s_odd(0, "'a' || repeat('.a', d - 1)", "string", "'x' || doc_id"), _s_odd(1, "'k'", "number", "doc_id::VARCHAR"),
+            _s_odd(2, "'[\"a.b\"]'", "string", "'x'"), _s_odd(2, "'a.b'", "string", "doc_id::VARCHAR"),
+            _s_odd(2, "'a[\"c[0]\"]'", "number", "'1'"), _s_odd(2, "'a.c[0]'", "number", "'2'"),
+            _s_odd(6, "repeat('[0]', d)", "number", "doc_id::VARCHAR"), _s_odd(7, "'n'", "number", "'1.5'"),
+            _s_odd(7, "'e'", "number", "'1000.0'"), _s_odd(7, "'big'", "number", "'1' || repeat('0', d)"), _s_odd(7, "'u'", "string", "'éé'"),
+        )
+    ),
+)
+def odd_record_leaves(spark, sf):
+    return records.json_leaves(_odd_records(spark, sf), "doc_id", "json").select("doc_id", "path", "type", "value")
+
+
+@query(
+    "record_rejects",
+    f"SELECT doc_id, CASE kind WHEN 3 THEN 'invalid JSON' WHEN 4 THEN 'no record' ELSE 'empty text' END AS reason FROM ({ODD_SQL}) WHERE kind IN (3, 4, 5)",
+)
+def record_rejects(spark, sf):
+    return records.record_rejects(_odd_records(spark, sf), "doc_id", "json")

@@ -152,12 +152,11 @@ def test_scratch_data_goes_with_its_scope(spark):
 
 def test_unreadable_records_are_listed(spark):
     deep = '{"a":' * 14 + "1" + "}" * 14
-    rows = [(1, '{"a": "x[{\\"}"}'), (2, "{broken"), (3, deep), (4, '{"a.b": 1, "a": {"b": 2}}'), (5, "\ufeff[]")]
+    rows = [(1, '{"a": "x[{\\"}"}'), (2, "{broken"), (3, deep), (4, '{"a.b": 1, "a": {"b": 2}}'), (5, "\ufeff[]"), (6, None), (7, " ")]
     table = spark.createDataFrame(rows, "doc_id int, j string")
     rejects = {r.doc_id: r.reason for r in records.record_rejects(table, "doc_id", "j").collect()}
-    assert rejects == {2: "invalid JSON", 3: "nested deeper than 12"}
-    accepted = records.accepted_records(table, "j")
-    assert {r.doc_id for r in records.json_leaves(accepted, "doc_id", "j").collect()} == {1, 4, 5}
+    assert rejects == {2: "invalid JSON", 6: "no record", 7: "empty text"}
+    assert {r.doc_id for r in records.json_leaves(table, "doc_id", "j").collect()} == {1, 3, 4, 5}
 
 
 def test_schedule_spellings_and_rejects(spark):

@@ -37,9 +37,11 @@ def test_leaves_cover_nesting_and_cleaning_is_idempotent(spark):
     assert "liste[0][1][1].a" in {r.container for r in records.containers(once, "doc_id").collect()}
 
 
-def test_too_deep_records_fail(spark):
-    with pytest.raises(Exception, match="nested deeper"):
-        records.json_leaves(spark.createDataFrame([(1, "[" * 5 + "1" + "]" * 5)], "doc_id int, j string"), "doc_id", "j", max_depth=3).collect()
+def test_depth_is_limited_on_request_alone(spark):
+    rows = spark.createDataFrame([(1, "[" * 5 + "1" + "]" * 5)], "doc_id int, j string")
+    assert [r.path for r in records.json_leaves(rows, "doc_id", "j").collect()] == ["[0]" * 5]
+    assert records.json_leaves(rows, "doc_id", "j", max_depth=3).count() == 0
+    assert [r.reason for r in records.record_rejects(rows, "doc_id", "j", max_depth=3).collect()] == ["nested deeper than 3"]
 
 
 def test_plan_hides_and_restores(spark):
