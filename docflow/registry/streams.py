@@ -72,5 +72,5 @@ def vitals_window_stream(spark, sf):
 def confirm_dialogue_stream(spark, sf):
     path = scratch_path(spark, "dialogue")
     turns = stream(spark, sf, "conversations").where(F.col("role") == "user")
-    jobs.run_available(jobs.dialogue_stream(requests(turns)), path, path + "-state")
+    jobs.run_available(jobs.dialogue_stream(requests(turns), idle_seconds=None), path, path + "-state")
     return spark.read.parquet(path)

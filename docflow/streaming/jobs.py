@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -106,41 +107,58 @@ def anomaly_windows(flagged: DataFrame, ts: str, window: str, delay: str) -> Dat
 
 DIALOGUE_OUT = "session bigint, turn bigint, action string, intent string, patient string, switched boolean"
 DIALOGUE_STATE = "pending boolean, intent string, name string, patient string"
+#: A session without messages for so long starts anew.
+IDLE_SECONDS = 24 * 3600
 
 
-def _dialogue(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        state.remove()
-        return
-    pending, intent, name, patient = state.get if state.exists else (False, None, None, None)
-    rows = pd.concat(list(frames)).sort_values("turn")
-    out = []
-    for r in rows.itertuples(index=False):
-        if not pending:
-            pending, intent, name = True, r.intent, None if pd.isna(r.name) else r.name
-            out.append((key[0], r.turn, "ask", intent, name, False))
-            continue
-        pending = False
-        runs = bool(r.is_yes)
-        switched = runs and name is not None and intent != chat.UNKNOWN and name != patient
-        if switched:
-            patient = name
-        out.append((key[0], r.turn, "execute" if runs else "reset", intent, name, switched))
-    state.update((pending, intent, name, patient))
-    if state._timeout_conf != "NoTimeout":
-        state.setTimeoutDuration(_IDLE_MS)
-    yield pd.DataFrame(out, columns=["session", "turn", "action", "intent", "patient", "switched"])
-
-
-_IDLE_MS = 24 * 3600 * 1000
-
-
-def dialogue_stream(requests: DataFrame, forget_idle: bool = False) -> DataFrame:
+def _steps(rows: pd.DataFrame, state: tuple) -> tuple[pd.DataFrame, tuple]:
+    """Actions for the messages of one session in order of turn, and the state after them.
+
+    Requests and answers alternate, so what a message is follows from its place and the pending request alone, and
+    the patient in charge is the last one that a confirmed request named.
+    """
+    pending, intent, name, patient = state
+    asks = (np.arange(len(rows)) % 2 == 0) != bool(pending)
+    out = pd.DataFrame({"turn": rows["turn"].to_numpy(), "asks": asks})
+    for column, before in (("intent", intent), ("name", name)):
+        asked = pd.Series([before, *rows[column].where(rows[column].notna(), None)], dtype=object)
+        places = pd.Series(np.where(asks, np.arange(1, len(rows) + 1), np.nan)).ffill().fillna(0).astype(int)
+        out[column] = asked.iloc[places].to_numpy()
+    runs = ~asks & rows["is_yes"].fillna(False).to_numpy(dtype=bool)
+    names = runs & out["name"].notna().to_numpy() & (out["intent"] != chat.UNKNOWN).to_numpy()
+    in_charge = pd.Series([patient, *out["name"].where(pd.Series(names), None)], dtype=object)
+    last = pd.Series(np.where(names, np.arange(1, len(rows) + 1), np.nan)).ffill().fillna(0).astype(int)
+    before = in_charge.iloc[[0, *last[:-1]]].to_numpy()
+    out["action"] = np.where(asks, "ask", np.where(runs, "execute", "reset"))
+    out["switched"] = names & (out["name"].to_numpy() != before)
+    end = out.iloc[-1]
+    after = (bool(end["asks"]), end["intent"], end["name"], in_charge.iloc[last.iloc[-1]])
+    return out.rename(columns={"name": "patient"}), after
+
+
+def _dialogue(idle_seconds: int | None):
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        before = state.get if state.exists else (False, None, None, None)
+        out, after = _steps(pd.concat(list(frames)).sort_values("turn", ignore_index=True), before)
+        state.update(after)
+        if idle_seconds is not None:
+            state.setTimeoutDuration(idle_seconds * 1000)
+        out["session"] = key[0]
+        yield out[["session", "turn", "action", "intent", "patient", "switched"]]
+
+    return run
+
+
+def dialogue_stream(requests: DataFrame, idle_seconds: int | None = IDLE_SECONDS) -> DataFrame:
     """Confirmation dialogue over a stream of user messages ``session, turn, text, intent, name``.
 
-    Messages of a session are ordered by turn inside a micro-batch. ``forget_idle`` drops the state of
-    a session after a day without messages.
+    Messages of a session are ordered by turn inside a micro-batch. A session's state is dropped once it had no
+    message for ``idle_seconds``. Spark then runs batches for ever to see the time pass, so a job that ends with its
+    input (``run_available``) takes None, which keeps the state.
     """
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if forget_idle else GroupStateTimeout.NoTimeout
+    timeout = GroupStateTimeout.NoTimeout if idle_seconds is None else GroupStateTimeout.ProcessingTimeTimeout
     told = requests.select("session", "turn", "intent", "name", chat.is_yes(F.col("text")).alias("is_yes"))
-    return told.groupBy("session").applyInPandasWithState(_dialogue, DIALOGUE_OUT, DIALOGUE_STATE, "append", timeout)
+    return told.groupBy("session").applyInPandasWithState(_dialogue(idle_seconds), DIALOGUE_OUT, DIALOGUE_STATE, "append", timeout)
