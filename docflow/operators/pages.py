@@ -7,6 +7,7 @@ row, so structuring a page never shuffles.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -15,12 +16,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docflow.functions import urls as ux
-from docflow.functions.text import first_nonblank, is_irrelevant_text, let, norm_edges, norm_for_eq, parse_any_date
+from docflow.functions.text import first_nonblank, is_irrelevant_text, norm_edges, norm_for_eq, parse_any_date
 from docflow.functions.wordlists import MAIN_SELECTORS
 from docflow.runtime import explode_rows
 
-ELEMENTS = "array<struct<pos:int,last:int,tag:string,attrs:map<string,string>,first_text:int,n_texts:int>>"
+ELEMENTS = "array<struct<pos:int,last:int,up:int,stop:int,tag:string,attrs:map<string,string>,first_text:int,n_texts:int>>"
 BLOCK_TAGS = ("h1", "h2", "h3", "h4", "p", "blockquote", "li")
+_SECTION_TAGS = ("h2", "h3")
 NO_TITLE = "Titre non disponible"
 
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -32,7 +34,11 @@ _ENDS_PARAGRAPH = frozenset(
 
 
 class _Outline(HTMLParser):
-    """Element list in document order; each element knows its last descendant and its text span."""
+    """Element list in document order.
+
+    Each element knows its parent ``up`` (-1 at the top), its last descendant, so that its content is the range from
+    ``pos + 1`` to ``last``, and its text span; a section heading knows the next one among its siblings, ``stop``.
+    """
 
     def __init__(self, nested_paragraphs: bool):
         super().__init__(convert_charrefs=True)
@@ -40,6 +46,8 @@ class _Outline(HTMLParser):
         self.elements: list[dict] = []
         self.texts: list[str] = []
         self.open: list[int] = []
+        self.n_open: Counter[str] = Counter()
+        self.heading_of: dict[int, int] = {}
         self.buffer: list[str] = []
 
     def _flush(self):
@@ -55,9 +63,12 @@ class _Outline(HTMLParser):
         for i in self.open[depth:]:
             self.elements[i]["last"] = len(self.elements) - 1
             self.elements[i]["n_texts"] = len(self.texts) - self.elements[i]["first_text"] + 1
+            self.n_open[self.elements[i]["tag"]] -= 1
         del self.open[depth:]
 
     def _close_nearest(self, tag: str):
+        if not self.n_open[tag]:
+            return  # nothing to look for; else what the search passes is closed, so all searches together are linear
         for depth in range(len(self.open) - 1, -1, -1):
             if self.elements[self.open[depth]]["tag"] == tag:
                 return self._close_from(depth)
@@ -66,15 +77,20 @@ class _Outline(HTMLParser):
         self._flush()
         if tag in _ENDS_PARAGRAPH and not self.nested:
             self._close_nearest("p")
-        at = len(self.elements)
+        at, up = len(self.elements), self.open[-1] if self.open else -1
         self.elements.append(
             {
-                "pos": at, "last": at, "tag": tag, "attrs": {k: v or "" for k, v in attrs},
+                "pos": at, "last": at, "up": up, "stop": None, "tag": tag, "attrs": {k: v or "" for k, v in attrs},
                 "first_text": len(self.texts) + 1, "n_texts": 0,
             }
         )
+        if tag in _SECTION_TAGS:
+            if up in self.heading_of:
+                self.elements[self.heading_of[up]]["stop"] = at
+            self.heading_of[up] = at
         if tag not in _VOID:
             self.open.append(at)
+            self.n_open[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -180,6 +196,11 @@ def _inside(el: Column, outer: Column) -> Column:
     return (el["pos"] > outer["pos"]) & (el["pos"] <= outer["last"])
 
 
+def _content(el: Column) -> Column:
+    """The elements below one, a range of the list."""
+    return F.slice(F.col(_ELS), el["pos"] + 2, el["last"] - el["pos"])
+
+
 def page_title() -> Column:
     """og:title, twitter:title, ``<title>``, then the first h1."""
     head = _first(lambda e: e["tag"] == "title")
@@ -200,9 +221,7 @@ def stored_title(title: Column, metadata_title: Column, url: Column) -> Column:
 
 def _links_in(el: Column, base: Column) -> Column:
     """Every link below an element with its absolute target and anchor text."""
-    anchors = F.filter(
-        F.col(_ELS), lambda a: (a["tag"] == "a") & _attr(a, "href").isNotNull() & _inside(a, el)
-    )
+    anchors = F.filter(_content(el), lambda a: (a["tag"] == "a") & _attr(a, "href").isNotNull())
     return F.transform(
         anchors,
         lambda a: F.struct(ux.url_join(base, _attr(a, "href")).alias("href"), _text_of(a).alias("anchor")),
@@ -211,10 +230,10 @@ def _links_in(el: Column, base: Column) -> Column:
 
 def table_text(el: Column) -> Column:
     """Cells joined by `` | ``, one line per row that holds any text."""
-    rows = F.filter(F.col(_ELS), lambda r: (r["tag"] == "tr") & _inside(r, el))
+    rows = F.filter(_content(el), lambda r: r["tag"] == "tr")
 
     def line(row: Column) -> Column:
-        cells = F.filter(F.col(_ELS), lambda c: c["tag"].isin("td", "th") & _inside(c, row))
+        cells = F.filter(_content(row), lambda c: c["tag"].isin("td", "th"))
         return F.transform(cells, _text_of)
 
     filled = F.filter(F.transform(rows, line), lambda cells: F.exists(cells, lambda c: c != ""))
@@ -398,29 +417,13 @@ def section_blocks(parsed: DataFrame) -> DataFrame:
     els = F.filter(F.col(_ELS), lambda e: _inside(e, F.col("scope")))
     content = ("p", "ul", "ol", "table", "blockquote", "div")
 
-    def parent_end(h: Column) -> Column:
-        """Last position of the closest element that encloses a heading."""
-        around = F.filter(F.col(_ELS), lambda p: (p["pos"] < h["pos"]) & (p["last"] >= h["last"]))
-        return F.coalesce(F.get(around, F.size(around) - 1)["last"], F.size(_ELS))
-
     def own_text(h: Column) -> Column:
-        def gather(stop: Column) -> Column:
-            after = F.filter(
-                els, lambda e: (e["pos"] > h["last"]) & (e["pos"] < stop)
-            )
-            siblings = F.filter(
-                after,
-                lambda e: e["tag"].isin(*content)
-                & ~F.exists(after, lambda o: (o["pos"] < e["pos"]) & (o["last"] >= e["pos"])),
-            )
-            return F.array_join(F.filter(F.transform(siblings, _text_of), lambda t: t != ""), "\n")
-
-        end = parent_end(h)
-        later = F.filter(
-            F.col("headings"),
-            lambda n: (n["pos"] > h["pos"]) & (n["pos"] <= end) & (parent_end(n) == end),
-        )
-        return let(F.coalesce(F.get(later, F.lit(0))["pos"], end + 1), gather)
+        """Siblings up to the next heading among them, or to the end of their parent."""
+        parent_end = F.coalesce(F.get(F.col(_ELS), h["up"])["last"], F.size(_ELS))
+        stop = F.coalesce(h["stop"], parent_end + 1)
+        after = F.slice(F.col(_ELS), h["last"] + 2, F.greatest(stop - h["last"] - 1, F.lit(0)))
+        siblings = F.filter(after, lambda e: e["tag"].isin(*content) & (e["up"] == h["up"]))
+        return F.array_join(F.filter(F.transform(siblings, _text_of), lambda t: t != ""), "\n")
 
     h1 = F.filter(els, lambda e: e["tag"] == "h1")
     head = F.transform(F.slice(h1, 1, 1), lambda e: F.struct(F.lit("Titre").alias("name"), _text_of(e).alias("text")))
@@ -431,7 +434,7 @@ def section_blocks(parsed: DataFrame) -> DataFrame:
     labels = F.transform(pdfs, lambda e: F.coalesce(F.nullif(_text_of(e), F.lit("")), F.trim(_attr(e, "href"))))
     docs = F.array(F.struct(F.lit("Documents").alias("name"), F.array_join(F.filter(labels, lambda t: t != ""), "\n").alias("text")))
     keep = [c for c in parsed.columns if c != "dom"]
-    scoped = parsed.withColumn("scope", body).withColumn("headings", F.filter(els, lambda e: e["tag"].isin("h2", "h3")))
+    scoped = parsed.withColumn("scope", body).withColumn("headings", F.filter(els, lambda e: e["tag"].isin(*_SECTION_TAGS)))
     sections = F.filter(F.concat(head, parts, docs), lambda s: (s["name"] != "") & (s["text"] != ""))
     return explode_rows(scoped, keep, sections, "section_no", "s").select(*keep, "section_no", "s.name", "s.text")
 

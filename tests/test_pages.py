@@ -57,3 +57,29 @@ def test_empty_and_broken_pages(spark):
     for html in ("", None, "just text", "<p", "</p></div>"):
         assert parsed(spark, html).count() == 1
         pages.page_blocks(parsed(spark, html)).collect()
+
+
+def test_large_pages_take_linear_time(spark):
+    import time
+
+    n = 12_500
+    shapes = {
+        "blocks": "<main>" + "<p>une phrase <a href='/x'>lien</a></p>" * n + "</main>",
+        "table": "<main><table>" + "<tr><td>cle</td><td>valeur</td></tr>" * n + "</table></main>",
+        "headings": "<main>" + "<h2>titre du bloc</h2><p>texte du bloc</p>" * n + "</main>",
+        "deep": "<main>" + "<div><section>" * n + "<p>texte du fond</p>",
+        "strays": "<main>" + "</p></b><div>mot</div></i>" * n + "</main>",
+    }
+    start = time.time()
+    for name, html in shapes.items():
+        page = parsed(spark, html)
+        blocks, sections = pages.page_blocks(page).collect(), pages.section_blocks(page).collect()
+        want = {"blocks": (n, 0), "table": (1, 0), "headings": (2 * n, n), "deep": (1, 0), "strays": (0, 0)}[name]
+        assert (len(blocks), len(sections)) == want, name
+    assert time.time() - start < 120
+
+
+def test_sections_end_at_true_siblings_alone(spark):
+    html = "<main><h2>A</h2><p>a1</p><div><p>in a box</p><h2>B</h2><p>b1</p></div></main>"
+    got = [(r.name, r.text) for r in pages.section_blocks(parsed(spark, html)).orderBy("section_no").collect()]
+    assert got == [("A", "a1\nin a box B b1"), ("B", "b1")]
