@@ -109,8 +109,8 @@ def search(
     distance, similarity``.
 
     A query table of checked size is shipped to every task and the corpus is never shuffled. A larger
-    one is cut into blocks that meet the corpus blocks pairwise. Both ways each task returns only its
-    own best k rows.
+    one meets the inverted lists that its bounds reach; by cosine, whose bounds don't hold for lists, it is cut
+    into blocks that meet the corpus blocks pairwise. Each task returns only its own best k rows.
     """
     kept = corpus.where(F.col("source_type").isin(*[g for g, k in ks.items() if k > 0]))
     schema = (
@@ -121,6 +121,10 @@ def search(
     row_bytes = 8 * (size["dim"] or 1)
     if size["n"] * row_bytes <= broadcast_bytes:
         partial = _search_broadcast(kept, queries, ks, metric, schema)
+    elif metric == "l2":
+        from docflow.operators import lists  # which builds on this module
+
+        return lists.search_lists(lists.build_index(kept), queries, ks)
     else:
         partial = _search_blocks(kept, queries, ks, metric, schema, max(1, block_bytes // row_bytes))
     best = Window.partitionBy("query_id", "source_type").orderBy("distance", "chunk_id")

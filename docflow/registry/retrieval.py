@@ -7,6 +7,7 @@ on both sides.
 from pyspark.sql import functions as F
 
 from docflow.functions.wordlists import STOP_WORDS
+from docflow.operators import lists
 from docflow.operators import retrieval as rt
 from docflow.runtime import materialize
 from docflow.registry.base import query, s_domain, s_list, s_space, table
@@ -76,6 +77,13 @@ def knn_topk_blocks(spark, sf):
     )
 
 
+@query("knn_topk_lists", _s_round(_s_search("rank <= 10")))
+def knn_topk_lists(spark, sf):
+    """The same over inverted lists, whose bounds leave out lists that can't hold a better chunk."""
+    index = lists.build_index(corpus(spark, sf), lists=16)
+    return _round(lists.search_lists(index, source_queries(spark, sf), {"docx": 10, "web": 10}))
+
+
 TWO_SQL = _s_search("rank <= CASE source_type WHEN 'docx' THEN 5 ELSE 9 END")
 
 
