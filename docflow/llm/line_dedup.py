@@ -12,7 +12,7 @@ earlier ones that fit. Shards of more than ``SHARD`` nodes are cut into blocks t
 
 Defined results
     null or empty text       has one empty line; nothing removed
-    lines of few words       fewer than ``least_words`` distinct words: always stay; 1 takes every line with a word
+    lines of few words       fewer than ``least_words`` distinct words: always stay; the default takes every line with a word
     very long text or line   is read whole, in segments of bounded size
     null doc_id              such documents are placed among the ids by a hash of their text
     repeated rows            rows that repeat id and text are one document and get the same result
@@ -36,8 +36,7 @@ from docflow.llm.jaccard_join import _verified as verified
 from docflow.llm.windows import identity
 from docflow.runtime import materialize
 
-#: Of the registered query and its SQL.
-LEAST_WORDS = 5
+LEAST_WORDS = 1
 CELLS = 1 << 18
 SHARD = 4096
 _NEWLINE = _is(10)

@@ -138,7 +138,7 @@ def op4(spark, sf_dir):
         SELECT doc_id, line, list_sort(list_distinct(list_filter(regexp_split_to_array({ASCII_LOWER.format("content")}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> ''))) AS w
         FROM lines
     ),
-    nodes AS (SELECT w, min((doc_id, line)) AS place FROM sets WHERE len(w) >= 5 GROUP BY w),
+    nodes AS (SELECT w, min((doc_id, line)) AS place FROM sets WHERE len(w) >= 1 GROUP BY w),
     named AS (SELECT row_number() OVER (ORDER BY place) AS node, w, place FROM nodes),
     tokens AS (SELECT node, len(w) AS n, unnest(w) AS token FROM named),
     counts AS (SELECT token, count(*) AS df FROM tokens GROUP BY token),

@@ -22,7 +22,7 @@ def brute(texts):
             fold = "".join(c.lower() if "A" <= c <= "Z" else c for c in line)
             s = frozenset(re.findall(r"[^\x20\x09-\x0D]+", fold))
             hit = False
-            if len(s) >= 5:
+            if s:
                 hit = any(9 * len(s & o) >= 4 * (len(s) + len(o)) for o in seen)
                 seen.append(s)
             gone += hit
