@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docflow.operators.ordered import with_last_before, with_previous
+
+#: Windows of a burst gap that one task orders.
+STRETCH = 1024
+
 
 def content_hash(content: Column | str) -> Column:
     return F.sha2(F.col(content) if isinstance(content, str) else content, 256)
@@ -66,18 +71,22 @@ def debounce_events(events: DataFrame, key: str, ts: str, gap_seconds: int) -> D
     """Bursts of events less than ``gap_seconds`` apart: ``key, burst_start, burst_end, n_events``.
 
     Events inside one tumbling window as wide as the gap always belong together, so they are
-    combined with a plain aggregation first; only one row per occupied window is ordered per key.
+    combined with a plain aggregation first. Occupied windows are ordered inside stretches of ``STRETCH`` of
+    them; what crosses a border, the last event and the open burst, is carried by one row per stretch, so a key with
+    most events is spread over many tasks.
     """
     t = F.unix_micros(F.col(ts).cast("timestamp"))
     gap = gap_seconds * 1_000_000
     windows = events.groupBy(key, (t - F.pmod(t, F.lit(gap))).alias("w")).agg(
         F.min(t).alias("s"), F.max(t).alias("e"), F.count("*").alias("n")
     )
-    order = Window.partitionBy(key).orderBy("w")
-    opens = F.coalesce(F.col("s") - F.lag("e").over(order) >= gap, F.lit(True))
-    marked = windows.withColumn("opens", opens.cast("int")).withColumn("burst", F.sum("opens").over(order))
+    stretch = F.floor(F.col("w") / (gap * STRETCH))
+    told = with_previous(windows, [key], "w", ["e"], stretch)
+    opens = F.coalesce(F.col("s") - F.col("prev.e") >= gap, F.lit(True))
+    told = told.withColumn("start", F.when(opens, F.col("s"))).drop("prev")
+    told = with_last_before(told, [key], "w", F.col("start"), stretch, into="open")
     return (
-        marked.groupBy(key, "burst")
-        .agg(F.min("s").alias("s"), F.max("e").alias("e"), F.sum("n").alias("n_events"))
-        .select(key, F.timestamp_micros("s").alias("burst_start"), F.timestamp_micros("e").alias("burst_end"), "n_events")
+        told.groupBy(key, F.coalesce("start", "open").alias("burst"))
+        .agg(F.max("e").alias("e"), F.sum("n").alias("n_events"))
+        .select(key, F.timestamp_micros("burst").alias("burst_start"), F.timestamp_micros("e").alias("burst_end"), "n_events")
     )

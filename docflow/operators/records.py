@@ -335,17 +335,24 @@ def emptied_containers(marked: DataFrame, doc_id: str) -> DataFrame:
 def find_records(names: DataFrame, files: DataFrame) -> DataFrame:
     """``name, file, n_matches``: first file (by name) whose stem contains the name, ignoring case.
 
-    A substring join without comparing all pairs: file stems are indexed by their short substrings and
-    a name probes with its first three characters. ``n_matches > 1`` warns of an ambiguous person.
+    A substring join without comparing all pairs: file stems are indexed by their substrings of up to three
+    characters, and a name probes with the one of its own that the fewest stems have, so names and stems that share
+    a beginning don't all meet. ``n_matches > 1`` warns of an ambiguous person.
     """
-    wanted = names.select("name").distinct().withColumn("n", F.lower("name")).withColumn("gram", F.substring("n", 1, 3))
+    size = F.least(F.length("n"), F.lit(3))
+    own = F.transform(F.sequence(F.lit(1), F.length("n") - size + 1), lambda i: F.substring(F.col("n"), i, size))
+    wanted = names.select("name", F.lower("name").alias("n")).distinct().where(F.length("n") > 0)
+    wanted = wanted.select("name", "n", F.explode(F.array_distinct(own)).alias("gram"))
     stem = F.lower(F.regexp_replace(F.regexp_extract("file", r"([^/]*)$", 1), r"(?<=.)\.[^.]+$", ""))
     starts = F.sequence(F.lit(1), F.greatest(F.length("stem"), F.lit(1)))
     grams = F.array_distinct(
         F.flatten(F.transform(starts, lambda i: F.array(*[F.substring(F.col("stem"), i, F.lit(k)) for k in (1, 2, 3)])))
     )
     indexed = files.select("file", stem.alias("stem")).select("file", "stem", F.explode(grams).alias("gram"))
-    hits = wanted.join(indexed, "gram").where(F.col("stem").contains(F.col("n")))
+    counts = indexed.groupBy("gram").agg(F.count(F.lit(1)).alias("stems"))
+    rarest = F.min(F.struct(F.coalesce("stems", F.lit(0)).alias("stems"), "gram")).alias("least")
+    probes = wanted.join(counts, "gram", "left").groupBy("name", "n").agg(rarest).select("name", "n", "least.gram")
+    hits = probes.join(indexed, "gram").where(F.col("stem").contains(F.col("n")))
     found = hits.groupBy("name").agg(F.min("file").alias("file"), F.count("*").alias("n_matches"))
     return names.select("name").distinct().join(found, "name", "left").select(
         "name", "file", F.coalesce("n_matches", F.lit(0)).alias("n_matches")
