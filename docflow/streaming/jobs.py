@@ -29,12 +29,35 @@ def run_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], che
     ).start().awaitTermination()
 
 
+def run_closed(stream: DataFrame, path: str, checkpoint: str) -> int:
+    """Append what the watermark has closed to a Parquet folder and stop; returns how many rows came too late.
+
+    Runs that share a checkpoint go on from the watermark of the one before.
+    """
+    query = (
+        stream.writeStream.format("parquet").outputMode("append").option("path", path)
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    seen = query.recentProgress
+    if seen and seen[-1]["batchId"] - seen[0]["batchId"] + 1 > len({p["batchId"] for p in seen}):
+        raise ValueError("more batches than spark.sql.streaming.numRecentProgressUpdates keeps: late rows can't be counted")
+    return sum(op["numRowsDroppedByWatermark"] for p in seen for op in p["stateOperators"])
+
+
 # ------------------------------------------------------------------ debounce
 
-def debounce_stream(events: DataFrame, key: str, ts: str, gap: str, delay: str) -> DataFrame:
-    """Bursts of events closer than ``gap``; the watermark ``delay`` bounds the open sessions kept."""
+def debounce_stream(events: DataFrame, key: str, ts: str, gap: str, delay: str, event_id: str | None = None) -> DataFrame:
+    """Bursts of events closer than ``gap``; the watermark ``delay`` bounds the open sessions kept.
+
+    In append mode each burst comes out once, when nothing on time can join it any more; later rows are dropped and
+    counted by ``run_closed``. With ``event_id`` an event that is delivered again within ``delay`` counts once.
+    """
     w = F.session_window("_t", gap)
-    bursts = events.withColumn("_t", F.col(ts).cast("timestamp")).withWatermark("_t", delay).groupBy(key, w.alias("w")).agg(
+    timed = events.withColumn("_t", F.col(ts).cast("timestamp")).withWatermark("_t", delay)
+    if event_id is not None:
+        timed = timed.dropDuplicatesWithinWatermark([event_id])
+    bursts = timed.groupBy(key, w.alias("w")).agg(
         F.min("_t").alias("burst_start"), F.max("_t").alias("burst_end"), F.count("*").alias("n_events")
     )
     return bursts.select(key, "burst_start", "burst_end", "n_events")
@@ -99,8 +122,8 @@ def vitals_stream(vitals: DataFrame, ranges: dict = VITAL_RANGES) -> DataFrame:
 
 def anomaly_windows(flagged: DataFrame, ts: str, window: str, delay: str) -> DataFrame:
     """Abnormal values per metric and tumbling window; late rows beyond ``delay`` are not waited for."""
-    w = F.window(F.col(ts).cast("timestamp"), window)
-    return flagged.withWatermark(ts, delay).groupBy("metric", w.alias("w")).agg(F.count_if("abnormal").alias("n_abnormal"))
+    timed = flagged.withColumn("_t", F.col(ts).cast("timestamp")).withWatermark("_t", delay)
+    return timed.groupBy("metric", F.window("_t", window).alias("w")).agg(F.count_if("abnormal").alias("n_abnormal"))
 
 
 # ------------------------------------------------------------------ dialogue
