@@ -114,12 +114,13 @@ def drop_copies(docs: DataFrame, buckets: int = 64, index_path: str | None = Non
     """The documents themselves, one row of each group of equal texts, with all their columns."""
     winner = F.col("doc_id").eqNullSafe(F.col("keep_id")) & ~F.col("known")
     winners = _indexed(docs, buckets, index_path).where(winner)
-    winners = materialize(winners.select(F.col("digest").alias("__w"), F.col("doc_id").alias("__id"), "copies"), "kept-digests")
-    hashed = docs.withColumn("__digest", F.sha2(normalised(), 256))
+    winners = materialize(winners.select(F.col("digest").alias("winner"), F.col("doc_id").alias("keep_id"), "copies"), "kept-digests")
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")  # apart from the columns used here
+    hashed = docs.select(row, F.col("doc_id").alias("id"), F.sha2(normalised(), 256).alias("digest"))
 
     def rows_of(some: DataFrame) -> DataFrame:
-        same = (F.col("__digest") == F.col("__w")) & F.col("doc_id").eqNullSafe(F.col("__id"))
+        same = (F.col("digest") == F.col("winner")) & F.col("id").eqNullSafe(F.col("keep_id"))
         return hashed.join(some, same, "left_semi")
 
     once, often = rows_of(winners.where("copies = 1")), rows_of(winners.where("copies > 1"))
-    return once.unionByName(often.dropDuplicates(["__digest"])).select(*docs.columns)
+    return once.unionByName(often.dropDuplicates(["digest"])).select("row.*")

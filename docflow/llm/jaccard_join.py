@@ -376,10 +376,9 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     copies = rows.join(winners.withColumnRenamed("component", "c"), ["uid", "tag"]).where("component = c")
     copies = copies.groupBy("uid", "tag").agg(F.count(F.lit(1)).alias("copies"))
     empty = rows.where("component is null").select("uid", "tag", F.lit(1).cast("bigint").alias("copies")).distinct()
-    stay = materialize(copies.unionByName(empty), "stay").select(F.col("uid").alias("__u"), F.col("tag").alias("__t"), "copies")
-    uid, tag = identity()
-    named = docs.withColumns({"__uid": uid, "__tag": tag})
-    same = (F.col("__uid") == F.col("__u")) & (F.col("__tag") == F.col("__t"))
-    once = named.join(stay.where("copies = 1"), same, "left_semi")
-    often = named.join(stay.where("copies > 1"), same, "left_semi").dropDuplicates(["__uid", "__tag"])
-    return once.unionByName(often).select(*docs.columns)
+    stay = materialize(copies.unionByName(empty), "stay")
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")  # apart from the columns used here
+    named, place = docs.select(row, *identity()), ["uid", "tag"]
+    once = named.join(stay.where("copies = 1"), place, "left_semi")
+    often = named.join(stay.where("copies > 1"), place, "left_semi").dropDuplicates(place)
+    return once.unionByName(often).select("row.*")

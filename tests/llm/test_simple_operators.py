@@ -5,7 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
-from docflow.llm import exact_dedup, packing, quality, toxicity
+from docflow.llm import exact_dedup, jaccard_join, packing, quality, toxicity
 from docflow.llm.queries import tokenizer_path
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -53,6 +53,19 @@ def test_exact_index_side_is_not_shuffled(spark, docs_of, tmp_path):
     assert "Exchange" not in plan
 
 
+@pytest.mark.parametrize("drop", [exact_dedup.drop_copies, jaccard_join.drop_near_copies])
+def test_clashing_columns_come_back_as_they_were(docs_of, drop):
+    names = ["__uid", "__tag", "__u", "__t", "__w", "__id", "__digest", "uid", "tag", "row", "id", "digest", "winner", "keep_id", "copies", "a.b"]
+    docs = docs_of(["a b", "A b", "c d e f g h", None, "c d e f g h"], [1, 1, 2, 3, 2])
+    for k, c in enumerate(names):
+        docs = docs.withColumn(c, F.concat(F.lit(f"{k}-"), F.col("doc_id").cast("string")))
+    out = drop(docs)
+    assert out.columns == docs.columns
+    rows = out.collect()
+    assert sorted(r.doc_id for r in rows) == [1, 2, 3]
+    assert all(r[c] == f"{k}-{r.doc_id}" for r in rows for k, c in enumerate(names))
+
+
 def test_extra_columns_are_kept(docs_of):
     docs = docs_of(["a", "A"]).withColumn("digest", F.lit("x")).withColumn("copies", F.lit(1)).withColumn("keep_id", F.lit(3))
     out = exact_dedup.drop_copies(docs, 2)
