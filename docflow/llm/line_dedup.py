@@ -37,13 +37,13 @@ from docflow.llm.windows import identity
 from docflow.runtime import materialize
 
 LEAST_WORDS = 1
-CELLS = 1 << 18
+#: Hash cells in which words are counted; a task holds a byte for each.
+CELL_BITS = 23
+CELLS = 1 << CELL_BITS
 SHARD = 4096
 _NEWLINE = _is(10)
 
 
-
-
 def line_sets(data: np.ndarray, least_words: int = LEAST_WORDS) -> Iterator[tuple[int, np.ndarray]]:
     """Number and sorted distinct word hashes of each line with enough words."""
     number = 0
@@ -62,26 +62,28 @@ def line_sets(data: np.ndarray, least_words: int = LEAST_WORDS) -> Iterator[tupl
 
 
 def _cell(words: np.ndarray) -> np.ndarray:
-    return (words >> np.uint64(64 - 18)).astype(np.int64)
+    return (words >> np.uint64(64 - CELL_BITS)).astype(np.int64)
 
 
 def word_counts(docs: DataFrame, least_words: int = LEAST_WORDS) -> np.ndarray:
-    """In how many lines the words of each hash cell occur (``CELLS`` numbers)."""
+    """In how many lines the words of each hash cell occur, as levels (``CELLS`` bytes).
+
+    Level 1 is a single line, so its word can't be shared; above, a level is an eighth of a doubling.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CELLS, dtype=np.int64)
         for batch in batches:
-            for data in byte_rows(batch.column(0)):
-                sets = [s for _, s in line_sets(data, least_words)]
-                if sets:
-                    total += np.bincount(_cell(np.concatenate(sets)), minlength=CELLS)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["cell", "n"])
+            sets = [s for data in byte_rows(batch.column(0)) for _, s in line_sets(data, least_words)]
+            if sets:
+                cells, n = np.unique(_cell(np.concatenate(sets)).astype(np.int32), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(n)], names=["cell", "n"])
 
-    table = docs.select("text").mapInArrow(run, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(CELLS, dtype=np.int64)
-    counts[table["cell"].to_numpy(dtype=np.int64)] = table["n"]
-    return counts
+    table = docs.select("text").mapInArrow(run, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
+    level = F.when(F.col("n") == 1, 1).otherwise(F.least(F.lit(127), 2 + F.floor(8 * F.log2("n")))).cast("tinyint")
+    table = table.select("cell", level.alias("level")).toArrow()  # at most CELLS rows of five bytes
+    levels = np.zeros(CELLS, dtype=np.uint8)
+    levels[table["cell"].to_numpy()] = table["level"].to_numpy()
+    return levels
 
 
 def prefix(words: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -90,6 +92,13 @@ def prefix(words: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return words[np.lexsort((mix(words), counts[_cell(words)]))[:size]]
 
 
+def shared_prefix(words: np.ndarray, levels: np.ndarray) -> tuple[int, np.ndarray]:
+    """The prefix without its leading words that no other line has, and how many those are."""
+    found = prefix(words, levels)
+    alone = int(np.count_nonzero(levels[_cell(found)] == 1))
+    return alone, found[alone:]
+
+
 def bitmap(words: np.ndarray) -> np.ndarray:
     """Parity of the words in each of 128 hash cells, as two numbers: sets differ in at least as many words as bits."""
     cells = np.bincount((mix(words) & np.uint64(127)).astype(np.int64), minlength=128) & 1
@@ -101,11 +110,14 @@ def differing_bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _lines(docs: DataFrame, counts: np.ndarray, least_words: int) -> DataFrame:
-    """``uid, tag, line, node, n, first, b0, b1``: a row per line; prefix and bitmap at the least place of equal lines in a batch."""
+    """``uid, tag, line, node, n, alone, first, b0, b1``: a row per line.
+
+    Shared prefix words, how many come before them and the bitmap stand at the least place of equal lines in a batch.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, line, node, size, first, bits, seen = [], [], [], [], [], [], set()
+            row, line, node, size, alone, first, bits, seen = [], [], [], [], [], [], [], set()
             texts = list(byte_rows(batch.column(2)))
             # rows come in any order, and the first of equal lines must be the one of the least place
             for i in np.lexsort([batch.column(k).to_numpy() for k in (1, 0)]).tolist():
@@ -115,16 +127,18 @@ def _lines(docs: DataFrame, counts: np.ndarray, least_words: int) -> DataFrame:
                     line.append(number)
                     node.append(key)
                     size.append(len(words))
-                    first.append(None if key in seen else prefix(words, counts).view(np.int64))
+                    before, found = (None, None) if key in seen else shared_prefix(words, counts)
+                    alone.append(before)
+                    first.append(None if key in seen else found.view(np.int64))
                     bits.append((None, None) if key in seen else bitmap(words).tolist())
                     seen.add(key)
             at = pa.array(row, type=pa.int64())
-            columns = [batch.column(0).take(at), batch.column(1).take(at), pa.array(line, type=pa.int32()), pa.array(node, type=pa.int64()), pa.array(size, type=pa.int32()), pa.array(first, type=pa.list_(pa.int64()))]
+            columns = [batch.column(0).take(at), batch.column(1).take(at), pa.array(line, type=pa.int32()), pa.array(node, type=pa.int64()), pa.array(size, type=pa.int32()), pa.array(alone, type=pa.int32()), pa.array(first, type=pa.list_(pa.int64()))]
             columns += [pa.array([b[k] for b in bits], type=pa.int64()) for k in range(2)]
-            yield pa.RecordBatch.from_arrays(columns, names=["uid", "tag", "line", "node", "n", "first", "b0", "b1"])
+            yield pa.RecordBatch.from_arrays(columns, names=["uid", "tag", "line", "node", "n", "alone", "first", "b0", "b1"])
 
     rows = docs.select(*identity(), "text")
-    return rows.mapInArrow(run, "uid bigint, tag int, line int, node bigint, n int, first array<bigint>, b0 bigint, b1 bigint")
+    return rows.mapInArrow(run, "uid bigint, tag int, line int, node bigint, n int, alone int, first array<bigint>, b0 bigint, b1 bigint")
 
 
 def _shards(lines: DataFrame) -> DataFrame:
@@ -132,12 +146,12 @@ def _shards(lines: DataFrame) -> DataFrame:
 
     ``m`` is the size of a shard of more than ``SHARD`` nodes, null for others.
     """
-    keyed = lines.where("first is not null")
+    keyed = lines.where("size(first) > 0")
     shared = keyed.select("node", F.explode("first").alias("key")).groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
     shared = materialize(shared.where("lo <> hi").select("key"), "shared-words")
     small = shared.count() <= BROADCAST_KEYS
-    keyed = keyed.select("node", "n", "b0", "b1", F.struct("uid", "tag", "line").alias("f"), F.posexplode("first").alias("pos", "key"))
-    members = keyed.join(F.broadcast(shared) if small else shared, "key")
+    keyed = keyed.select("node", "n", "alone", "b0", "b1", F.struct("uid", "tag", "line").alias("f"), F.posexplode("first").alias("pos", "key"))
+    members = keyed.join(F.broadcast(shared) if small else shared, "key").withColumn("pos", F.col("pos") + F.col("alone"))
     # each batch that holds a node has sent its least place there, so the least of them is the node's first one
     members = members.groupBy("key", "node", "n", "pos", "b0", "b1").agg(F.min("f").alias("f"))
     members = materialize(members, "line-shards")
