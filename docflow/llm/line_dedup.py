@@ -146,14 +146,18 @@ def _shards(lines: DataFrame) -> DataFrame:
 
     ``m`` is the size of a shard of more than ``SHARD`` nodes, null for others.
     """
-    keyed = lines.where("size(first) > 0")
-    shared = keyed.select("node", F.explode("first").alias("key")).groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
-    shared = materialize(shared.where("lo <> hi").select("key"), "shared-words")
-    small = shared.count() <= BROADCAST_KEYS
-    keyed = keyed.select("node", "n", "alone", "b0", "b1", F.struct("uid", "tag", "line").alias("f"), F.posexplode("first").alias("pos", "key"))
-    members = keyed.join(F.broadcast(shared) if small else shared, "key").withColumn("pos", F.col("pos") + F.col("alone"))
+    place = F.struct("uid", "tag", "line")
     # each batch that holds a node has sent its least place there, so the least of them is the node's first one
-    members = members.groupBy("key", "node", "n", "pos", "b0", "b1").agg(F.min("f").alias("f"))
+    nodes = lines.where("first is not null").groupBy("node").agg(
+        F.min(place).alias("f"), F.any_value(F.struct("n", "alone", "first", "b0", "b1")).alias("r")
+    )
+    nodes = materialize(nodes.select("node", "f", "r.*").where("size(first) > 0"), "line-nodes")
+    shared = nodes.select(F.explode("first").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("nodes"))
+    shared = materialize(shared.where("nodes > 1").select("key"), "shared-words")
+    small = shared.count() <= BROADCAST_KEYS
+    keyed = nodes.select("node", "n", "alone", "b0", "b1", "f", F.posexplode("first").alias("pos", "key"))
+    members = keyed.join(F.broadcast(shared) if small else shared, "key")
+    members = members.select("key", "node", "n", (F.col("pos") + F.col("alone")).alias("pos"), "b0", "b1", "f")
     members = materialize(members, "line-shards")
     large = members.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > SHARD)
     return members.join(large, "key", "left")
