@@ -90,6 +90,16 @@ def byte_rows(column: pa.Array) -> Iterator[np.ndarray]:
         yield content[at[i] : at[i + 1]] if present[i] else content[:0]
 
 
+def fixed_rows(column: pa.Array, width: int) -> np.ndarray:
+    """Byte strings of one length without nulls as rows of a matrix, a view of the column's own bytes."""
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, dtype=np.int64 if pa.types.is_large_binary(column.type) else np.int32)
+    if not len(column):
+        return np.empty((0, width), dtype=np.uint8)
+    first, last = at[column.offset], at[column.offset + len(column)]
+    return np.frombuffer(data, dtype=np.uint8)[first:last].reshape(len(column), width)
+
+
 def token_bounds(data: np.ndarray, separators: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the maximal runs without separators."""
     inside = np.zeros(len(data) + 2, dtype=np.int8)

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docflow.llm.arrays import byte_rows, mix, shingle_set
+from docflow.llm.arrays import byte_rows, fixed_rows, mix, shingle_set
 from docflow.llm.components import components
 from docflow.llm.windows import identity
 from docflow.runtime import materialize
@@ -187,7 +187,7 @@ def _shard_pairs(shards: DataFrame, mode: str) -> DataFrame:
         for table in _whole_groups(batches):
             key, x, y, i, j = (table.column(k).to_numpy() for k in range(5))
             ids, central, component = (table.column(k).to_numpy() for k in (5, 6, 7))
-            vectors = np.frombuffer(b"".join(table.column(8).to_pylist()), dtype=np.uint8).reshape(len(ids), GROUPS + 4)
+            vectors = fixed_rows(table.column(8).combine_chunks(), GROUPS + 4)
             cut = np.flatnonzero((np.diff(key) != 0) | (np.diff(x) != 0) | (np.diff(y) != 0)) + 1
             found = []
             for a, b in zip(np.r_[0, cut].tolist(), np.r_[cut, len(key)].tolist(), strict=True):

@@ -37,8 +37,8 @@ POOL = 16_384
 GAP = 1 / 64
 #: Texts of more words than this hand their tokens on in parts.
 _WORDS_AT_ONCE = 50_000
-#: Runs of a generation.
-_CACHE = 600_000
+#: Entries of a generation of each cache; an entry takes some 200 bytes, and a task has four generations at most.
+_CACHE = 150_000
 
 SCHEMA = (
     "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, "
@@ -50,27 +50,57 @@ _W = "\t-\r \x85\xa0  -     　"
 _RUN = re.compile(f"[{_W}]*[^{_W}]+|[{_W}]+")
 
 
-class _Runs(dict):
-    """Little-endian 32-bit ids of each run seen lately; runs of the generation before are kept once more."""
+# The pre-tokeniser's own pieces inside a run, for characters whose classes are settled: up to U+024F.
+_L, _N, _S = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be", "\t-\r \x85\xa0"
+_PIECE = re.compile(f"'(?:[stmd]|re|ve|ll)| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
+_PLAIN = re.compile("[\x00-\u024f]*")
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
 
-        self._encode = Tokenizer.from_file(path).encode
-        self._before: dict[str, bytes] = {}
+class _Cache(dict):
+    """Little-endian 32-bit ids of each text seen lately; those of the generation before are kept once more."""
 
-    def __missing__(self, run: str) -> bytes:
+    def __init__(self, make):
+        self._make, self._before = make, {}
+
+    def __missing__(self, text: str) -> bytes:
         if len(self) >= _CACHE:
             self._before = dict(self)
             self.clear()
-        found = self._before.get(run)
+        found = self._before.get(text)
         if found is None:
-            found = np.asarray(self._encode(run, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if len(run) < 64:
-            self[run] = found
+            found = self._make(text)
+        if len(text) < 64:
+            self[text] = found
         return found
 
 
+class _Runs(_Cache):
+    """Ids of runs. A run is put together from its pieces where these are sure: words with and without a comma share one."""
+
+    def __init__(self, path: str):
+        import json
+
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(path)
+        told = json.loads(tokenizer.to_str())
+        before = told["pre_tokenizer"] or {}
+        sure = told["normalizer"] is None and before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space")
+        added = [t["content"] for t in told["added_tokens"]]
+
+        def encode(text: str) -> bytes:
+            return np.asarray(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+        pieces = _Cache(encode)
+
+        def run_ids(run: str) -> bytes:
+            if sure and _PLAIN.fullmatch(run) and not any(t in run for t in added):
+                return b"".join(map(pieces.__getitem__, _PIECE.findall(run)))
+            return encode(run)
+
+        super().__init__(run_ids)
+
+
 _tokenisers: dict[str, _Runs] = {}
 
 
