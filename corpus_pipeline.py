@@ -2,6 +2,15 @@
 
 Quality classifier, exact dedup, near-copy dedup, benchmark decontamination, packing. Each stage works on what the
 one before has kept, written as Parquet and read again; all but the last keep the columns of documents.
+
+Defined results
+    null or empty text   is judged like any other text: equal to the other empty ones, near and leaking nothing; packed
+                         as the separator token alone
+    very long text       is read whole by every stage
+    null doc_id          is never learned from and sorts below every id where one row of a group stays
+    repeated rows        are copies of each other, one stays
+    empty table          no rows
+    other columns        come through the first four stages as they are, whatever their names
 """
 
 from __future__ import annotations

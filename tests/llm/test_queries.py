@@ -53,3 +53,28 @@ def test_pipeline_stages(spark):
     packed = stages["packing"](spark, clean, SF)
     assert sorted({r.doc_id for r in packed.collect()}) == ids(clean)
     assert ids(corpus_pipeline.run(spark, SF)) == ids(packed)
+
+
+def test_pipeline_on_odd_rows(spark, docs_of, odd_texts):
+    """Null, empty, long and repeated texts, null ids and clashing columns; an empty table goes through all stages."""
+    from pyspark.sql import functions as F
+
+    ids = [None, 10**9, *range(10**9, 10**9 + len(odd_texts) - 2)]
+    docs = table(spark, SF, "documents").unionByName(docs_of(odd_texts, ids))
+    for c in ("uid", "tag", "digest", "row", "node", "n_item", "score"):
+        docs = docs.withColumn(c, F.concat_ws("-", F.lit(c), "doc_id"))
+    columns, before = docs.columns, docs.count()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+        rows = docs.collect()
+        assert docs.columns == columns and 0 < len(rows) <= before, name
+        assert all(r.node == ("node" if r.doc_id is None else f"node-{r.doc_id}") for r in rows)
+        before = len(rows)
+    texts = [fold for r in rows for fold in [(r.text or "").lower()]]
+    assert len(set(texts)) == len(texts)
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    assert {r.doc_id for r in packed.select("doc_id").collect()} == {r.doc_id for r in rows}
+    none = table(spark, SF, "documents").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        none = stage(spark, none, SF)
+    assert none.count() == 0
