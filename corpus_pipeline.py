@@ -21,6 +21,9 @@ from docflow.llm import decontamination, exact_dedup, jaccard_join, packing, qua
 from docflow.llm.queries import table, tokenizer_path
 from docflow.runtime import materialize
 
+#: Runs that packing remembers here: the stages share the memory of their Python workers.
+REMEMBERED = 300_000
+
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't reject."""
@@ -44,7 +47,7 @@ def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the token sequences, with their token ids."""
-    return packing.pack(docs, tokenizer_path())
+    return packing.pack(docs, tokenizer_path(), remembered=REMEMBERED)
 
 
 STAGES = [

@@ -37,8 +37,8 @@ POOL = 16_384
 GAP = 1 / 64
 #: Texts of more words than this hand their tokens on in parts.
 _WORDS_AT_ONCE = 50_000
-#: Entries of a generation of each cache; an entry takes some 200 bytes, and a task has four generations at most.
-_CACHE = 150_000
+#: Runs whose ids a task remembers, and as many of the time before; some 200 bytes each.
+REMEMBERED = 800_000
 
 SCHEMA = (
     "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, "
@@ -50,65 +50,36 @@ _W = "\t-\r \x85\xa0  -     　"
 _RUN = re.compile(f"[{_W}]*[^{_W}]+|[{_W}]+")
 
 
-# The pre-tokeniser's own pieces inside a run, for characters whose classes are settled: up to U+024F.
-_L, _N, _S = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be", "\t-\r \x85\xa0"
-_PIECE = re.compile(f"'(?:[stmd]|re|ve|ll)| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
-_PLAIN = re.compile("[\x00-\u024f]*")
+class _Runs(dict):
+    """Little-endian 32-bit ids of each run seen lately; runs of the generation before are kept once more."""
 
+    def __init__(self, path: str, most: int):
+        from tokenizers import Tokenizer
 
-class _Cache(dict):
-    """Little-endian 32-bit ids of each text seen lately; those of the generation before are kept once more."""
-
-    def __init__(self, make):
-        self._make, self._before = make, {}
+        self._most = most
+        self._encode = Tokenizer.from_file(path).encode
+        self._before: dict[str, bytes] = {}
 
-    def __missing__(self, text: str) -> bytes:
-        if len(self) >= _CACHE:
+    def __missing__(self, run: str) -> bytes:
+        if len(self) >= self._most:
             self._before = dict(self)
             self.clear()
-        found = self._before.get(text)
+        found = self._before.get(run)
         if found is None:
-            found = self._make(text)
-        if len(text) < 64:
-            self[text] = found
+            found = np.asarray(self._encode(run, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        if len(run) < 64:
+            self[run] = found
         return found
 
 
-class _Runs(_Cache):
-    """Ids of runs. A run is put together from its pieces where these are sure: words with and without a comma share one."""
-
-    def __init__(self, path: str):
-        import json
-
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-        told = json.loads(tokenizer.to_str())
-        before = told["pre_tokenizer"] or {}
-        sure = told["normalizer"] is None and before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space")
-        added = [t["content"] for t in told["added_tokens"]]
-
-        def encode(text: str) -> bytes:
-            return np.asarray(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+_tokenisers: dict[tuple[str, int], _Runs] = {}
 
-        pieces = _Cache(encode)
 
-        def run_ids(run: str) -> bytes:
-            if sure and _PLAIN.fullmatch(run) and not any(t in run for t in added):
-                return b"".join(map(pieces.__getitem__, _PIECE.findall(run)))
-            return encode(run)
-
-        super().__init__(run_ids)
-
-
-_tokenisers: dict[str, _Runs] = {}
-
-
-def token_bytes(text: str, path: str) -> bytes:
+def token_bytes(text: str, path: str, remembered: int = REMEMBERED) -> bytes:
     """The ids of a text as little-endian 32-bit numbers."""
-    runs = _tokenisers.get(path)
+    runs = _tokenisers.get((path, remembered))
     if runs is None:
-        runs = _tokenisers[path] = _Runs(path)
+        runs = _tokenisers[path, remembered] = _Runs(path, remembered)
     found = iter(_RUN.finditer(text)) if len(text) > 1_000_000 else None
     if found is None:
         return b"".join(map(runs.__getitem__, _RUN.findall(text)))
@@ -207,8 +178,14 @@ def level(sequences: list[list[Piece]], size: int, gap: int) -> list[list[Piece]
     return done
 
 
-def pack(docs: DataFrame, tokenizer: str, size: int = SEQUENCE, separator: int = SEPARATOR, pool: int = POOL) -> DataFrame:
-    """One row per piece: where it lies in its document and in its sequence, and its ids (32-bit, little-endian)."""
+def pack(
+    docs: DataFrame, tokenizer: str, size: int = SEQUENCE, separator: int = SEPARATOR, pool: int = POOL,
+    remembered: int = REMEMBERED,
+) -> DataFrame:
+    """One row per piece: where it lies in its document and in its sequence, and its ids (32-bit, little-endian).
+
+    ``remembered`` bounds the memory that reused Python workers keep, at the price of encoding more runs again.
+    """
     end = np.asarray([separator], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,7 +225,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = SEQUENCE, separator: int =
         for batch in batches:
             for i in range(batch.num_rows):
                 doc, text = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-                content = (token_bytes(text, tokenizer) if text else b"") + end
+                content = (token_bytes(text, tokenizer, remembered) if text else b"") + end
                 whole = len(content) // 4
                 for k in range(whole // size):
                     row(doc, k * size, content[4 * k * size : 4 * (k + 1) * size], whole, sequence, 0)
