@@ -12,8 +12,12 @@ from docflow.streaming import jobs
 
 
 def stream(spark, sf, name):
+    """A standard table as a stream, whether it is one file or a folder of part files.
+
+    A pattern for the path makes Spark take both; a plain path to a file is refused as a base path.
+    """
     schema = table(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    return spark.readStream.schema(schema).parquet(f"{sf}/{name}.parque[t]")
 
 
 @query("debounce_events_stream", S_DEBOUNCE.format(gap=7200))
@@ -135,4 +139,4 @@ def confirm_dialogue_stream(spark, sf):
     path = scratch_path(spark, "dialogue")
     turns = stream(spark, sf, "conversations").where(F.col("role") == "user")
     jobs.run_available(jobs.dialogue_stream(requests(turns), idle_seconds=None), path, path + "-state")
-    return spark.read.parquet(path)
+    return spark.read.schema(jobs.DIALOGUE_OUT).parquet(path)
