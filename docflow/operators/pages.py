@@ -24,6 +24,8 @@ ELEMENTS = "array<struct<pos:int,last:int,up:int,stop:int,tag:string,attrs:map<s
 BLOCK_TAGS = ("h1", "h2", "h3", "h4", "p", "blockquote", "li")
 _SECTION_TAGS = ("h2", "h3")
 NO_TITLE = "Titre non disponible"
+#: Elements and texts that a task holds as Python objects at most, but for a single page that has more.
+SLICE_ITEMS = 20_000
 
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _HIDDEN = frozenset(("script", "style", "template"))
@@ -113,24 +115,33 @@ class _Outline(HTMLParser):
         self._close_from(0)
 
 
-def parse_pages(pages: DataFrame, html: str = "html", nested_paragraphs: bool = False) -> DataFrame:
-    """Replace the HTML column by ``dom struct<elements, texts>``.
-
-    ``nested_paragraphs=False`` ends an open ``<p>`` at the next block element, as browsers do, so
-    no text appears twice. ``True`` keeps unclosed paragraphs open and repeats inner text.
-    """
+def _outlines(nested_paragraphs: bool):
+    """Parsed pages in slices of bounded size, whatever the size of a batch of pages."""
 
     def outline(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
+            rows, items = [], 0
             for source in batch:
                 parser = _Outline(nested_paragraphs)
                 parser.feed(source or "")
                 parser.close()
                 rows.append((parser.elements, parser.texts))
+                items += len(parser.elements) + len(parser.texts)
+                if items >= SLICE_ITEMS:
+                    yield pd.DataFrame(rows, columns=["elements", "texts"])
+                    rows, items = [], 0
             yield pd.DataFrame(rows, columns=["elements", "texts"])
 
-    parse = F.pandas_udf(outline, f"struct<elements:{ELEMENTS},texts:array<string>>")
+    return outline
+
+
+def parse_pages(pages: DataFrame, html: str = "html", nested_paragraphs: bool = False) -> DataFrame:
+    """Replace the HTML column by ``dom struct<elements, texts>``.
+
+    ``nested_paragraphs=False`` ends an open ``<p>`` at the next block element, as browsers do, so
+    no text appears twice. ``True`` keeps unclosed paragraphs open and repeats inner text.
+    """
+    parse = F.pandas_udf(_outlines(nested_paragraphs), f"struct<elements:{ELEMENTS},texts:array<string>>")
     rest = [c for c in pages.columns if c != html]
     return pages.select(*rest, parse(F.col(html)).alias("dom"))
 

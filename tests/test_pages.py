@@ -83,3 +83,17 @@ def test_sections_end_at_true_siblings_alone(spark):
     html = "<main><h2>A</h2><p>a1</p><div><p>in a box</p><h2>B</h2><p>b1</p></div></main>"
     got = [(r.name, r.text) for r in pages.section_blocks(parsed(spark, html)).orderBy("section_no").collect()]
     assert got == [("A", "a1\nin a box B b1"), ("B", "b1")]
+
+
+def test_parsed_pages_leave_a_batch_in_bounded_slices(spark, monkeypatch):
+    import pandas as pd
+
+    monkeypatch.setattr(pages, "SLICE_ITEMS", 8)
+    html = [f"<main><h1>t{n}</h1>" + "<p>x</p>" * (n % 5) + "</main>" for n in range(50)] + [None, ""]
+    made = list(pages._outlines(False)(iter([pd.Series(html)])))
+    sizes = [[len(e) + len(t) for e, t in zip(m["elements"], m["texts"])] for m in made]
+    assert len(made) > 10 and sum(map(len, made)) == len(html)
+    assert all(sum(s[:-1]) < 8 for s in sizes)
+    rows = spark.createDataFrame(list(enumerate(html)), "page_id int, html string").coalesce(1)
+    got = {r.page_id: r.n for r in pages.parse_pages(rows).selectExpr("page_id", "size(dom.elements) AS n").collect()}
+    assert got == {n: 2 + n % 5 for n in range(50)} | {50: 0, 51: 0}
