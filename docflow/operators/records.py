@@ -17,9 +17,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docflow.functions.text import is_empty_marker
+from docflow.runtime import materialize
 
 #: Keys of leaves that one Arrow batch holds at most, but for a single leaf that lies deeper.
 BATCH_KEYS = 1 << 19
+#: Names that every task of a name lookup gets at most; more are dealt out by their substrings.
+FEW_NAMES = 50_000
 
 # --- fixed values: nulls that stay in a cleaned record ---
 KEPT_NULL_KEYS = ("situationFamiliale",)
@@ -352,7 +355,9 @@ def find_records(names: DataFrame, files: DataFrame) -> DataFrame:
     counts = indexed.groupBy("gram").agg(F.count(F.lit(1)).alias("stems"))
     rarest = F.min(F.struct(F.coalesce("stems", F.lit(0)).alias("stems"), "gram")).alias("least")
     probes = wanted.join(counts, "gram", "left").groupBy("name", "n").agg(rarest).select("name", "n", "least.gram")
-    hits = probes.join(indexed, "gram").where(F.col("stem").contains(F.col("n")))
+    probes = materialize(probes, "probes")  # one row per name; few of them go to the stems, which then aren't shuffled
+    few = probes.limit(FEW_NAMES + 1).count() <= FEW_NAMES
+    hits = indexed.join(F.broadcast(probes) if few else probes, "gram").where(F.col("stem").contains(F.col("n")))
     found = hits.groupBy("name").agg(F.min("file").alias("file"), F.count("*").alias("n_matches"))
     return names.select("name").distinct().join(found, "name", "left").select(
         "name", "file", F.coalesce("n_matches", F.lit(0)).alias("n_matches")

@@ -426,7 +426,7 @@ def set_session_mapping(spark, sf):
        SELECT name, min(file) AS file, count(file) AS n_matches FROM w LEFT JOIN f ON contains(lower(stem), lower(name)) GROUP BY name""",
 )
 def find_record_by_name(spark, sf):
-    part = table(spark, sf, "part")
+    part = table(spark, sf, "part", spread=True)
     names = part.select(F.explode(F.concat(F.split(F.upper("p_name"), " "), F.array(F.lit("zz"), F.col("p_brand")))).alias("name"))
     names = names.select(F.when(F.col("name").startswith("Brand") | (F.col("name") == "zz"), F.col("name")).otherwise(F.lower("name")).alias("name"))
     files = part.select(F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("_"), F.col("p_partkey").cast("string"), F.lit(".json")).alias("file"))
