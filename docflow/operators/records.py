@@ -21,6 +21,8 @@ from docflow.runtime import materialize
 
 #: Keys of leaves that one Arrow batch holds at most, but for a single leaf that lies deeper.
 BATCH_KEYS = 1 << 19
+#: Places of leaves that a task remembers between records.
+PLACES = 20_000
 #: Names that every task of a name lookup gets at most; more are dealt out by their substrings.
 FEW_NAMES = 50_000
 
@@ -152,6 +154,9 @@ def _key(text: str, at: int, keys: list[str]) -> int:
     return _SPACE.match(text, at + 1).end()
 
 
+_DECODER = js.JSONDecoder(parse_int=_Number, parse_float=_float, parse_constant=_constant)
+
+
 def _read(text: str | None):
     """The record and None, or None and why there is none. Of a key that is repeated the last value counts."""
     if text is None:
@@ -160,7 +165,7 @@ def _read(text: str | None):
     if not text.strip():
         return None, "empty text"
     try:
-        return js.loads(text, parse_int=_Number, parse_float=_float, parse_constant=_constant), None
+        return _DECODER.decode(text), None
     except RecursionError:
         pass
     except ValueError:
@@ -171,31 +176,53 @@ def _read(text: str | None):
         return None, "invalid JSON"
 
 
-def _leaves_of(record) -> Iterator[tuple[tuple[str, ...], str, str, str | None]]:
-    """Keys, path, type and text of every leaf in the order of the record, without recursion."""
-    waiting = [((), "", record)]
+class _Place:
+    """A key below another place. Records of one form share their places, so a key's text is made once."""
+
+    __slots__ = ("up", "key", "step", "below")
+
+    def __init__(self, up: _Place | None, key: str, step: str):
+        self.up, self.key, self.step, self.below = up, key, step, {}
+
+    def under(self, key: str | int) -> _Place:
+        if isinstance(key, int):
+            name = step = f"[{key}]"
+        elif re.search(_ODD_KEY, key):
+            step = _quoted(key)
+            name = step if re.search(_INDEX, key) else key
+        else:
+            name, step = key, key if self.up is None else f".{key}"
+        place = self.below[key] = _Place(self, name, step)
+        return place
+
+    def keys_and_path(self) -> tuple[list[str], str]:
+        keys, steps, place = [], [], self
+        while place.up is not None:
+            keys.append(place.key)
+            steps.append(place.step)
+            place = place.up
+        return keys[::-1], "".join(reversed(steps))
+
+
+def _leaves_of(record, top: _Place) -> Iterator[tuple[_Place, str, str | None]]:
+    """Place, type and text of every leaf in the order of the record, without recursion."""
+    waiting = [(top, record)]
     while waiting:
-        keys, path, value = waiting.pop()
-        if value and isinstance(value, dict):
-            children = []
-            for k, v in value.items():
-                if re.search(_ODD_KEY, k):
-                    children.append(((*keys, _quoted(k) if re.search(_INDEX, k) else k), path + _quoted(k), v))
-                else:
-                    children.append(((*keys, k), f"{path}.{k}" if keys else k, v))
-            waiting += reversed(children)
-        elif value and isinstance(value, list):
-            waiting += [((*keys, f"[{i}]"), f"{path}[{i}]", value[i]) for i in range(len(value) - 1, -1, -1)]
-        elif value is None:
-            yield keys, path, "null", None
-        elif isinstance(value, bool):
-            yield keys, path, "boolean", "true" if value else "false"
+        place, value = waiting.pop()
+        if value is None:
+            yield place, "null", None
         elif isinstance(value, _Number):
-            yield keys, path, "number", str(value)
+            yield place, "number", str(value)
         elif isinstance(value, str):
-            yield keys, path, "string", value
+            yield place, "string", value
+        elif isinstance(value, bool):
+            yield place, "boolean", "true" if value else "false"
+        elif not value:
+            yield place, "empty", "{}" if isinstance(value, dict) else "[]"
         else:
-            yield keys, path, "empty", "{}" if isinstance(value, dict) else "[]"
+            below = place.below
+            children = value.items() if isinstance(value, dict) else enumerate(value)
+            waiting += [(below.get(k) or place.under(k), v) for k, v in children][::-1]
 
 
 def _depth(record) -> int:
@@ -215,31 +242,44 @@ def _strings(values: list) -> pa.Array:
 
 def _walk(max_depth: int | None):
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top = _Place(None, "", "")
         for batch in batches:
-            rows, keys, sizes, paths, types, values = [], [], [], [], [], []
+            rows, at, types, values, n_keys = [], [], [], [], 0
+            places: dict[_Place, tuple[int, int]] = {}  # number in this output batch and count of keys
+            texts: list[tuple[list[str], str]] = []
 
             def flush(ids=batch.column(0)):
-                nonlocal rows, keys, sizes, paths, types, values
-                offsets = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
-                listed = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), _strings(keys))
-                out = [ids.take(pa.array(rows, pa.int64())), listed, _strings(paths), pa.array(types, pa.string()), _strings(values)]
-                rows, keys, sizes, paths, types, values = [], [], [], [], [], []
+                nonlocal rows, at, types, values, n_keys, places, texts
+                offsets = np.concatenate([[0], np.cumsum([len(k) for k, _ in texts], dtype=np.int64)])
+                listed = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), _strings([k for keys, _ in texts for k in keys]))
+                place = pa.array(at, pa.int64())
+                out = [
+                    ids.take(pa.array(rows, pa.int64())), listed.take(place), _strings([p for _, p in texts]).take(place),
+                    pa.array(types, pa.string()), _strings(values),
+                ]
+                rows, at, types, values, n_keys, places, texts = [], [], [], [], 0, {}, []
                 return pa.record_batch(out, names=["id", "keys", "path", "type", "value"])
 
             for i, text in enumerate(batch.column(1).to_pylist()):
                 record, reason = _read(text)
                 if reason or max_depth is not None and _depth(record) > max_depth:
                     continue
-                for k, path, kind, value in _leaves_of(record):
+                for place, kind, value in _leaves_of(record, top):
+                    if (known := places.get(place)) is None:
+                        texts.append(place.keys_and_path())
+                        known = places[place] = len(places), len(texts[-1][0])
                     rows.append(i)
-                    keys += k
-                    sizes.append(len(k))
-                    paths.append(path)
+                    at.append(known[0])
                     types.append(kind)
                     values.append(value)
-                    if len(keys) >= BATCH_KEYS:
+                    n_keys += known[1]
+                    if n_keys >= BATCH_KEYS:
                         yield flush()
+                if len(places) > PLACES:  # records of many forms: remembered places would fill the memory
+                    yield flush()
+                    top = _Place(None, "", "")
             yield flush()
+            top = _Place(None, "", "")
 
     return leaves
 
@@ -287,8 +327,8 @@ def string_leaves(leaves: DataFrame) -> DataFrame:
 
 
 def _under_any(rules: tuple[str, ...]) -> Column:
-    wild = F.regexp_replace("path", r"\[[0-9]+\]", "[*]")
-    return wild.rlike("^(" + "|".join(f"\\Q{r}\\E" for r in rules) + r")($|[.\[])")
+    any_index = r"\E\[[0-9]+\]\Q"
+    return F.col("path").rlike("^(" + "|".join(f"\\Q{r.replace('[*]', any_index)}\\E" for r in rules) + r")($|[.\[])")
 
 
 def clean_reason() -> Column:
