@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from docflow.functions.text import SPACES, constant, is_empty_marker, let, norm_space, normalize_token, strip_accents
 from docflow.functions.wordlists import FEMALE_TOKENS, MALE_TOKENS, NOT_GIVEN
-from docflow.runtime import explode_rows
+from docflow.runtime import explode_rows, grows
 
 
 @dataclass(frozen=True)
@@ -275,7 +275,7 @@ def apply_replacements(leaves: DataFrame, changes: DataFrame, doc_id: str) -> Da
     """Leaves with replaced values."""
     new = changes.select(doc_id, "path", "alias")
     return (
-        leaves.join(new, [doc_id, "path"], "left")
+        leaves.join(grows(new), [doc_id, "path"], "left")
         .withColumn("type", F.when(F.col("alias").isNotNull(), "string").otherwise(F.col("type")))
         .withColumn("value", F.coalesce("alias", "value"))
         .drop("alias")
@@ -404,7 +404,7 @@ def substitute(text: Column, pattern: Column, replace, found: Column | None = No
 
 def mask_names(texts: DataFrame, rules: DataFrame, doc_id: str, text: str = "value") -> DataFrame:
     """Replace the person's name in free text; adds ``seen array<struct<alias, original>>``."""
-    joined = texts.join(rules, doc_id, "left").withColumn(
+    joined = texts.join(grows(rules), doc_id, "left").withColumn(
         "found", F.regexp_extract_all(F.col(text), F.col("pattern"), F.lit(0))
     )
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docflow.operators import privacy, records, render
 from docflow.operators import retrieval as rt
-from docflow.runtime import materialize
+from docflow.runtime import grows, materialize
 
 
 @dataclass(frozen=True)
@@ -44,14 +44,15 @@ def retrieve_context(chunks: DataFrame, queries: DataFrame, k_docx: int = rt.DOC
     """``query_id, context`` for ``queries(query_id, vector)`` over
     ``chunks(chunk_id, source_type, vector, text, title, source)``."""
     found = rt.search_two_collections(chunks.select("chunk_id", "source_type", "vector"), queries, k_docx, k_web)
-    hits = materialize(found.join(chunks.select("chunk_id", "text", "title", "source"), "chunk_id"), "hits")
-    web = hits.where(F.col("source_type") == "web").join(rt.novelty_of_hits(hits), ["query_id", "rank"])
+    hits = materialize(found.join(grows(chunks.select("chunk_id", "text", "title", "source")), "chunk_id"), "hits")
+    web = grows(hits.where(F.col("source_type") == "web")).join(rt.novelty_of_hits(hits), ["query_id", "rank"])
     return rt.format_context(queries, rt.docx_blocks(hits), rt.web_blocks(rt.gate_web(web, k_web, *gate)), k_web)
 
 
 def prompts(safe: SafeRecords, doc_id: str, requests: DataFrame, contexts: DataFrame | None, template: str, system: str) -> DataFrame:
     """Prompts of ``requests(query_id, user_input)``; without contexts this is the personal plan."""
-    rows = requests.join(safe.texts.select(F.col(doc_id).alias("query_id"), F.col("text").alias("record")), "query_id")
+    texts = safe.texts.select(F.col(doc_id).alias("query_id"), F.col("text").alias("record"))
+    rows = requests.join(grows(texts), "query_id")
     empty = requests.select("query_id", F.lit("").alias("context"))
     return rt.prompt_table(rows, empty if contexts is None else contexts, template, system)
 
@@ -59,6 +60,6 @@ def prompts(safe: SafeRecords, doc_id: str, requests: DataFrame, contexts: DataF
 def restore_answers(answers: DataFrame, safe: SafeRecords, doc_id: str) -> DataFrame:
     """Complete answers ``query_id, answer, context`` with their sources and put the real names back."""
     full = answers.withColumn("answer", rt.sources_footer(F.col("answer"), F.col("context")))
-    mapped = full.join(safe.mapping.withColumnRenamed(doc_id, "query_id"), "query_id", "left")
+    mapped = full.join(grows(safe.mapping.withColumnRenamed(doc_id, "query_id")), "query_id", "left")
     real = F.when(F.col("mapping").isNull(), F.col("answer")).otherwise(privacy.deanonymize(F.col("answer"), F.col("mapping")))
     return mapped.withColumn("answer", real).drop("mapping")

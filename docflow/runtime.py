@@ -69,6 +69,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def grows(df: DataFrame) -> DataFrame:
+    """A side of a join that has rows for every document: it is shuffled, never broadcast.
+
+    Spark takes a table for as small as its compressed files. Pseudonyms, patterns and copied texts are many times
+    larger in memory, so a broadcast that Spark chose by itself filled the driver.
+    """
+    return df.hint("merge")
+
+
 def explode_rows(df: DataFrame, keep: list, array: Column | str, pos: str, item: str) -> DataFrame:
     """``keep`` columns plus position and item of a computed array.
 
