@@ -1,6 +1,7 @@
 """Joins whose sides grow with the records are shuffled, however small Spark takes their files for."""
 
 from docflow.operators import privacy
+from docflow.operators import retrieval as rt
 from docflow.plans import care
 
 
@@ -20,3 +21,12 @@ def test_replacements_rules_and_mappings_are_not_broadcast(spark):
     answers = spark.createDataFrame([(1, "Luc va.", ""), (2, "Luc", "")], "query_id int, answer string, context string")
     done = care.restore_answers(answers, care.SafeRecords(leaves, mapping, leaves), "doc_id")
     assert "Broadcast" not in plan(done) and sorted(map(tuple, done.select("query_id", "answer").collect())) == [(1, "Jean va."), (2, "Luc")]
+
+
+def test_records_and_contexts_are_not_broadcast(spark):
+    texts = spark.createDataFrame([(1, "dossier")], "doc_id int, text string")
+    requests = spark.createDataFrame([(1, "plan")], "query_id int, user_input string")
+    blocks = spark.createDataFrame([(1, 0, 1, "[DOCX1] t")], "query_id int, part int, n int, block string")
+    contexts = rt.format_context(requests, blocks, blocks.limit(0), 0)
+    made = care.prompts(care.SafeRecords(texts, texts, texts), "doc_id", requests, contexts, "{user_input}/{record}/{context}", "s")
+    assert "Broadcast" not in plan(made) and [r.user for r in made.collect()] == ["plan/dossier/[DOCX1] t"]
