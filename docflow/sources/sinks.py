@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docflow.operators.ordered import with_last_before
 from docflow.runtime import materialize
+from docflow.sources.buckets import BucketTable
 
 FILE_NAME = r"^[A-Za-z0-9_\-\.]+\.json$"
 
@@ -74,12 +75,33 @@ def append_changes(diff: DataFrame, as_of: Column, path: str) -> None:
     rows.write.mode("append").parquet(path)
 
 
-def write_chat_exports(exports: DataFrame, day: str, path: str) -> None:
-    """Markdown exports below ``patient=.../day=...``; other patients and days stay."""
+def _export_table(spark: SparkSession, path: str, buckets: int) -> BucketTable:
+    return BucketTable(spark, path, "day string, patient string, nameless boolean, markdown string", "patient", buckets, ("day",))
+
+
+def write_chat_exports(exports: DataFrame, day: str, path: str, buckets: int | None = None) -> None:
+    """Markdown exports below ``patient=.../day=...``; other patients and days stay.
+
+    A folder and a file per patient are too many for large tables: with ``buckets`` the exports are rows below
+    ``day=.../bucket=...`` instead, replaced by patient and read by ``read_chat_exports``.
+    """
+    if buckets is not None:
+        named = exports.select(
+            F.lit(day).alias("day"), F.coalesce("patient", F.lit("")).alias("patient"), F.col("patient").isNull().alias("nameless"), "markdown"
+        )
+        named = materialize(named, "exports")
+        _export_table(exports.sparkSession, path, buckets).merge(named.select("day", "patient"), named)
+        return
     rows = exports.select("patient", F.lit(day).alias("day"), F.col("markdown").alias("value"))
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("patient", "day").text(path, lineSep="\n\n")
 
 
+def read_chat_exports(spark: SparkSession, path: str, buckets: int) -> DataFrame:
+    """``day, patient, markdown`` of exports that were written in buckets."""
+    rows = _export_table(spark, path, buckets).rows()
+    return rows.select("day", F.when(~F.col("nameless"), F.col("patient")).alias("patient"), "markdown")
+
+
 def change_status(base: DataFrame, changes: DataFrame, bucket: Column) -> DataFrame:
     """Outcome of every change ``seq, name, op, content`` against ``base(name, content)``.
 
