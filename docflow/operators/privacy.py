@@ -232,7 +232,7 @@ def replacements(leaves: DataFrame, doc_id: str, salt: str, as_of_year: int, poo
     contact_seq = constant({name: n for n, (name, _) in enumerate(CONTACT_FIELDS)})
     contact_field = constant({name: field for name, field in CONTACT_FIELDS})
     part = F.nullif(F.regexp_extract("path", contact, 2), F.lit(""))
-    number = F.regexp_extract("path", contact, 1).try_cast("bigint")
+    number = F.nullif(F.regexp_extract("path", contact, 1), F.lit("")).try_cast("bigint")
     seq = F.coalesce(usager_seq[F.col("path")].cast("bigint"), 1000 + number * 10 + contact_seq[part])
     field = F.coalesce(usager_field[F.col("path")], contact_field[part])
     blank = F.col("path").isin(*BLANK_TO_DEFAULT) & (F.col("value").isNull() | is_empty_marker("value"))
@@ -309,15 +309,16 @@ def _letter_classes() -> dict[str, str]:
         plain = [x for x in unicodedata.normalize("NFKD", ch.lower()) if unicodedata.category(x) != "Mn"]
         if len(plain) == 1 and plain[0].lower() in forms:
             forms[plain[0].lower()] += ch
-    return {c: f"[{v}]\\p{{Mn}}*" for c, v in forms.items()}
+    # most characters of a text are plain ASCII and fail on the first two letters, without a look at all the others
+    return {c: f"[{v[:2]}[[^\\x00-\\x7F]&&[{v[2:]}]]]\\p{{Mn}}*" for c, v in forms.items()}
 
 
 def plain_name(x: Column) -> Column:
     return norm_space(F.lower(strip_accents(F.lower(x), "NFKD")))
 
 
-def _loose_pattern(plain: Column) -> Column:
-    """Pattern that finds a name in any case, with or without accents, over any run of spaces."""
+def _loose_pieces(plain: Column) -> Column:
+    """Pieces of a pattern that finds a name in any case, with or without accents, over any run of spaces."""
     classes = constant(_letter_classes())
 
     def piece(ch: Column) -> Column:
@@ -327,7 +328,7 @@ def _loose_pattern(plain: Column) -> Column:
             .otherwise(F.concat(F.lit("(?iu:\\Q"), ch, F.lit("\\E)")))
         )
 
-    return F.array_join(F.transform(F.split(plain, ""), piece), "")
+    return F.transform(F.split(plain, ""), piece)
 
 
 TITLES = ("M.", "M", "Monsieur", "Mons", "Mme", "Madame")
@@ -382,11 +383,16 @@ def name_rules(changes: DataFrame, doc_id: str, compat: bool = False) -> DataFra
     f, l = F.col("f"), F.col("l")
     titles = F.lit("(?iu:" + "|".join(f"\\Q{t}\\E" for t in sorted(TITLES, key=len, reverse=True)) + ")")
     single = F.when(F.length(F.col("first")) > F.length(F.col("last")), F.concat(f, F.lit("|"), l)).otherwise(F.concat(l, F.lit("|"), f))
+    # a match begins with a title or a name; other places are passed by before their word bounds are looked at
+    ahead = F.concat(F.lit("(?=(?iu:M)|"), F.col("f1"), F.lit("|"), F.col("l1"), F.lit(")"))
     pattern = F.concat(
-        F.lit(r"(?U)\b(?:"), titles, blank, F.lit("(?:"), f, blank, l, F.lit("|"), l, F.lit(")|"),
+        F.lit("(?U)"), ahead, F.lit(r"\b(?:"), titles, blank, F.lit("(?:"), f, blank, l, F.lit("|"), l, F.lit(")|"),
         f, blank, l, F.lit("|"), l, blank, f, F.lit("|"), single, F.lit(r")\b"),
     )
-    loose = aliases.withColumn("f", _loose_pattern(plain_name(F.col("first")))).withColumn("l", _loose_pattern(plain_name(F.col("last"))))
+    pieces = aliases.withColumns({p: _loose_pieces(plain_name(F.col(c))) for p, c in (("fs", "first"), ("ls", "last"))})
+    loose = pieces.select(
+        "*", F.array_join("fs", "").alias("f"), F.array_join("ls", "").alias("l"), F.get("fs", F.lit(0)).alias("f1"), F.get("ls", F.lit(0)).alias("l1")
+    )
     return loose.select(doc_id, pattern.alias("pattern"), "aliases")
 
 
