@@ -20,7 +20,8 @@ from docflow.functions.wordlists import (
 
 # Java's Unicode \s lacks the four ASCII separators that Python's split() removes.
 SPACES = r"(?U)[\s\x1c-\x1f]+"
-_NON_ASCII = r"[^\x00-\x7F]"
+# Anything but single blanks between printable ASCII: the rest is normal text already.
+_ODD_TEXT = r"[^ -~]|^ | $"
 _NUMBER = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 
@@ -73,15 +74,32 @@ def strip_accents(x: Column | str, form: str = "NFD") -> Column:
     return F.regexp_replace(F.translate(_col(x), source, target), r"\p{Mn}+", "")
 
 
+@lru_cache(maxsize=None)
+def _maybe_not_nfkc() -> str:
+    """Pattern of characters that NFKC may change. All others, Latin letters above all, stay as they are in any text."""
+    def inert(ch: str) -> bool:
+        return unicodedata.is_normalized("NFKC", ch) and not unicodedata.combining(ch)
+
+    ranges = [[0, 0x7F]]
+    # none of these composes with a character before it, as combining marks and Hangul letters do
+    for code in [c for c in (*range(0x80, 0x250), *range(0x2010, 0x2070), 0x20AC) if inert(chr(c))]:
+        if code == ranges[-1][1] + 1:
+            ranges[-1][1] = code
+        else:
+            ranges.append([code, code])
+    # ASCII is passed by at once, without a look at all the ranges
+    return r"(?![\x00-\x7F])[^" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in ranges) + "]"
+
+
 @F.pandas_udf(T.StringType())
 def _nfkc_batch(texts: pd.Series) -> pd.Series:
     return texts.map(lambda s: unicodedata.normalize("NFKC", s), na_action="ignore")
 
 
-def nfkc(x: Column | str) -> Column:
-    """NFKC. Only non-ASCII values travel to the Arrow worker; ASCII text is already normal."""
+def nfkc(x: Column | str, whole: Column | None = None) -> Column:
+    """NFKC. Only values that it may change travel to the Arrow worker; ``whole`` may hold what x is a part of."""
     x = _col(x)
-    needs = x.rlike(_NON_ASCII)
+    needs = (x if whole is None else whole).rlike(_maybe_not_nfkc())
     return F.when(needs, _nfkc_batch(F.when(needs, x))).otherwise(x)
 
 
@@ -120,9 +138,10 @@ def norm_name_key(x: Column | str) -> Column:
 def looks_shouting(x: Column | str) -> Column:
     """At least three letters, 80 % of them upper case."""
     x = _col(x)
+    adjacent = x.rlike(r"\p{Lu}\P{L}*+\p{Lu}")  # always there then, and seldom in other text
     letters = F.length(F.regexp_replace(x, r"\P{L}+", ""))
     upper = F.length(F.regexp_replace(x, r"\P{Lu}+", ""))
-    return (letters >= 3) & (upper >= 0.8 * letters)
+    return adjacent & (letters >= 3) & (upper >= 0.8 * letters)
 
 
 def _capital_first(w: Column) -> Column:
@@ -148,9 +167,12 @@ def smart_title_fr(x: Column | str) -> Column:
 
 def norm_text(x: Column | str, case_mode: str = "auto", fold_spaces: bool = True) -> Column:
     """Normalised display text; ``auto`` re-titles only shouted text, null becomes ''."""
-    t = nfkc(norm_edges(F.coalesce(_col(x).cast("string"), F.lit(""))))
+    raw = F.coalesce(_col(x).cast("string"), F.lit(""))
+    full = nfkc(norm_edges(raw), raw)
+    odd = raw.rlike(_ODD_TEXT)
     if fold_spaces:
-        t = norm_space(t)
+        full, odd = norm_space(full), raw.rlike(_ODD_TEXT + "|  ")
+    t = F.when(odd, full).otherwise(raw)
     if case_mode == "lower":
         return F.lower(t)
     if case_mode == "upper":
@@ -158,10 +180,15 @@ def norm_text(x: Column | str, case_mode: str = "auto", fold_spaces: bool = True
     if case_mode == "title":
         return smart_title_fr(t)
     if case_mode == "auto":
-        return F.when(looks_shouting(t), smart_title_fr(t)).otherwise(t)
+        return let(t, auto_case)
     return t
 
 
+def auto_case(t: Column) -> Column:
+    """``norm_text`` in its ``auto`` form for a text that is normalised with ``keep``."""
+    return F.when(looks_shouting(t), smart_title_fr(t)).otherwise(t)
+
+
 def _or_default(x: Column, default: str = NOT_GIVEN) -> Column:
     return F.coalesce(F.nullif(x, F.lit("")), F.lit(default))
 
@@ -270,7 +297,9 @@ def is_irrelevant_text(x: Column | str) -> Column:
 
 
 def is_empty_marker(x: Column | str) -> Column:
-    return F.lower(norm_edges(_col(x))).isin(*EMPTY_MARKERS)
+    t = norm_edges(_col(x))
+    # no marker is that long, and lower case of long texts takes its time
+    return F.when(F.length(t) > 64, F.lit(False)).otherwise(F.lower(t).isin(*EMPTY_MARKERS))
 
 
 def validate_patient_name(x: Column | str) -> Column:
