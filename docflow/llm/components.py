@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docflow.runtime import materialize
+from docflow.runtime import forget, materialize
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -23,10 +23,12 @@ def components(links: DataFrame) -> DataFrame:
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
         large = materialize(large, "large-star")
+        forget(edges)
         low = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(low, "b")
         small = small.select(F.col("m").alias("a"), F.col("a").alias("b")).unionByName(low.select(F.col("m").alias("a"), "b"))
         edges = materialize(small.where("a <> b").distinct(), "small-star")
+        forget(large)
         now = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("h")).first()
         if now == state:
             break

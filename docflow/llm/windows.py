@@ -20,13 +20,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docflow.llm.arrays import _BYTE, _power_tables, byte_rows, mix
-from docflow.runtime import materialize, scratch_path
+from docflow.runtime import CLEAN, forget, materialize, scratch_path, settings
 
 #: Rows of a minimiser above which its windows are also dealt by their own hash.
 FREQUENT = 50_000
 #: Values that a reducing task holds before it hands on complete groups.
 _HELD = 1 << 21
 _SPAN = 1 << 20  # positions of one text handled at a time
+_PIECE = 1 << 21  # windows of one batch that are compared at a time
 
 #: Token values of a text, one per token.
 Tokens = Callable[[np.ndarray], np.ndarray]
@@ -114,9 +115,18 @@ def _dealt(data: np.ndarray, tokens: Tokens, width: int, gram: int, ranges):
 
 
 def _ranges(column: pa.Array, i: int):
+    """First and last starts of the ranges of a row and their flags, from the numbers of ``_packed``."""
     if not column[i].is_valid:
         return None
-    return tuple(column.field(k)[i].values.to_numpy(zero_copy_only=False) for k in range(column.type.num_fields))
+    packed = column[i].values.to_numpy(zero_copy_only=False)
+    return packed >> 32, (packed >> 1) & 0x7FFFFFFF, (packed & 1).astype(bool)
+
+
+def _packed(found: DataFrame, flag: Column | None = None) -> DataFrame:
+    """``uid, tag, ranges``: the distinct ranges of a document in order, each one number of first, last and flag."""
+    flag = F.lit(0) if flag is None else flag.cast("bigint")
+    one = F.shiftleft(F.col("first").cast("bigint"), 32) + F.shiftleft(F.col("last").cast("bigint"), 1) + flag
+    return found.groupBy("uid", "tag").agg(F.sort_array(F.collect_set(one)).alias("ranges"))
 
 
 def _level(docs: DataFrame, tokens: Tokens, width: int, gram: int) -> DataFrame:
@@ -157,18 +167,16 @@ def _level(docs: DataFrame, tokens: Tokens, width: int, gram: int) -> DataFrame:
     return rows.withColumn("n", total).where("n >= 2")
 
 
-def _with_ranges(docs: DataFrame, found: DataFrame, *more: str) -> DataFrame:
-    """The texts that have ranges, with them in order; ``more`` are fields of a range besides its ends."""
-    fields = ("first", "last", *more)
-    per_doc = found.groupBy("uid", "tag").agg(F.sort_array(F.collect_set(F.struct(*fields))).alias("r"))
-    per_doc = per_doc.select("uid", "tag", F.struct(*(F.col(f"r.{f}").alias(f) for f in fields)).alias("ranges"))
-    return docs.join(per_doc, ["uid", "tag"])
+def _with_ranges(docs: DataFrame, found: DataFrame, flag: Column | None = None) -> DataFrame:
+    """The texts that have ranges, with them in order; ``flag`` is a property of a range besides its ends."""
+    return docs.join(_packed(found, flag), ["uid", "tag"])
 
 
 def _mark_often(found: DataFrame) -> DataFrame:
     """Ranges with ``often``: whether their gram has more than ``FREQUENT`` occurrences in the corpus."""
     frequent = found.where((F.col("salt") == 0) & (F.col("n") > FREQUENT)).select("key").distinct()
-    found = found.join(frequent.withColumn("often", F.lit(True)), "key", "left")
+    # less than one of FREQUENT rows is such a gram, so they fit a broadcast
+    found = found.join(F.broadcast(frequent.withColumn("often", F.lit(True))), "key", "left")
     return found.withColumn("often", F.coalesce("often", F.lit(False)))
 
 
@@ -199,43 +207,54 @@ def _compared(docs: DataFrame, tokens: Tokens, width: int, gram: int, settle, co
         for batch in batches:
             uid, tag = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(2))
             texts = list(byte_rows(batch.column(2)))
-            parts, cells = [], [[] for _ in range(7)]  # per run: document, part, gram, often, windows; per window: start, hash
+            parts, cells, size = [], [[] for _ in range(7)], 0  # per run: document, part, gram, often, windows; per window: start, hash
             for i in np.lexsort((tag, uid)).tolist():
                 ranges = _ranges(batch.column(3), i)
                 for offset, part, hashes, keys, a, b, starts in _dealt(texts[i], tokens, width, gram, ranges):
                     often = ranges[2][np.searchsorted(ranges[0], a + offset)]
-                    found = (np.full(len(keys), i), np.full(len(keys), len(parts)), keys, often, b - a + 1, starts + offset, hashes.runs(starts, width))
+                    found = (np.full(len(keys), i), np.full(len(keys), len(parts)), keys, often, b - a + 1, (starts + offset).astype(np.int32), hashes.runs(starts, width))
                     for cell, values in zip(cells, found, strict=True):
                         cell.append(values)
                     parts.append((offset, part))
-            if not parts:
+                    size += len(starts)
+                    if size >= _PIECE:
+                        yield from piece(uid, tag, parts, cells)
+                        parts, cells, size = [], [[] for _ in range(7)], 0
+            if parts:
+                yield from piece(uid, tag, parts, cells)
+
+    def piece(uid, tag, parts, cells) -> Iterator[pa.RecordBatch]:
+        """Rows of some windows of a batch; ``cells`` are emptied."""
+        row, which_part, keys, often, sizes, start, window = (np.concatenate(x) for x in cells)
+        cells.clear()
+        owner = np.repeat(np.arange(len(row), dtype=np.int32), sizes)
+        doc = row.astype(np.int32)[owner]
+        order = np.argsort(window, kind="stable")
+        new = np.r_[True, np.diff(window[order]) != 0]
+        lead = np.empty(len(order), dtype=np.int32)  # the first window like this one
+        lead[order] = order[np.flatnonzero(new)[np.cumsum(new, dtype=np.int32) - 1]]
+        leads = np.flatnonzero(lead == np.arange(len(window)))
+        if content:  # the first stays; rows that repeat id and text are one document
+            removed = (uid[doc] != uid[doc[lead]]) | (tag[doc] != tag[doc[lead]]) | (start != start[lead])
+        else:
+            removed = np.empty(len(order), dtype=bool)
+            removed[order] = ~(new & np.r_[new[1:], True])
+        out = []
+        for at, send in ((np.flatnonzero(removed), False), (leads, True)):
+            if not len(at):
                 continue
-            row, which_part, keys, often, sizes, start, window = (np.concatenate(x) for x in cells)
-            owner = np.repeat(np.arange(len(row)), sizes)
-            doc = row[owner]
-            _, lead, which, n = np.unique(window, return_index=True, return_inverse=True, return_counts=True)
-            lead = lead[which]
-            leads = np.flatnonzero(lead == np.arange(len(window)))
-            if content:  # the first stays; rows that repeat id and text are one document
-                removed = (uid[doc] != uid[doc[lead]]) | (tag[doc] != tag[doc[lead]]) | (start != start[lead])
+            # what is decided here already needs no minimiser any more: whole runs of a document
+            x, y = _runs_of(owner[at], at, often[owner[at]]) if send else _runs_of(doc[at], start[at])
+            p, q = at[x], at[y]
+            own = owner[p]
+            if not send:
+                sub, bodies = (uid[row[own]] * 31 + start[p]) & 0x7FFFFFFF, pa.nulls(len(p), pa.binary())
             else:
-                removed = n[which] > 1
-            out = []
-            for at, send in ((np.flatnonzero(removed), False), (leads, True)):
-                if not len(at):
-                    continue
-                single = often[owner[at]] if send else np.zeros(len(at), dtype=bool)
-                x, y = _runs_of(owner[at], at, single)
-                p, q = at[x], at[y]
-                own = owner[p]
-                if not send:
-                    sub, bodies = (uid[row[own]] * 31 + start[p]) & 0x7FFFFFFF, pa.nulls(len(p), pa.binary())
-                else:
-                    sub = np.where(single[x], window[p].view(np.int64), 0)
-                    bodies = _bodies(parts, which_part[own], start[p], start[q], width) if content else _slices(window[at], y - x + 1)
-                columns = [keys[own].view(np.int64), sub, uid[row[own]], tag[row[own]], start[p].astype(np.int32), start[q].astype(np.int32)]
-                out.append(pa.RecordBatch.from_arrays([*map(pa.array, columns), bodies], names=NAMES))
-            yield from out
+                sub = np.where(often[own], window[p].view(np.int64), 0)
+                bodies = _bodies(parts, which_part[own], start[p], start[q], width) if content else _slices(window[at], y - x + 1)
+            columns = [keys[own].view(np.int64), sub, uid[row[own]], tag[row[own]], start[p].astype(np.int32), start[q].astype(np.int32)]
+            out.append(pa.RecordBatch.from_arrays([*map(pa.array, columns), bodies], names=NAMES))
+        yield from out
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -257,6 +276,22 @@ def _compared(docs: DataFrame, tokens: Tokens, width: int, gram: int, settle, co
         if held:
             yield removed_runs(pa.Table.from_batches(held).combine_chunks())
 
+    def _alike(at, bodies, uid, tag, first) -> tuple[np.ndarray, np.ndarray]:
+        """One row for all with the same body, the earliest, and the rows that are removed as a whole.
+
+        Equal bodies have equal windows one by one, so only one of them needs to meet the others.
+        """
+        code = bodies.take(pa.array(at)).dictionary_encode().indices.to_numpy()
+        order = np.lexsort((first[at], tag[at], uid[at], code))
+        at, code = at[order], code[order]
+        new = np.r_[True, np.diff(code) != 0]
+        lead = at[np.flatnonzero(new)[np.cumsum(new) - 1]]
+        if content:  # the first stays; rows that repeat id and text are one document
+            gone = (uid[at] != uid[lead]) | (tag[at] != tag[lead]) | (first[at] != first[lead])
+        else:
+            gone = ~(new & np.r_[new[1:], True])
+        return at[new], at[gone]
+
     def removed_runs(table: pa.Table) -> pa.RecordBatch:
         key, sub, uid, tag, first, last = (table.column(k).to_numpy() for k in range(6))
         bodies = table.column(6).combine_chunks()
@@ -264,11 +299,12 @@ def _compared(docs: DataFrame, tokens: Tokens, width: int, gram: int, settle, co
         sent = np.asarray(bodies.is_valid())
         parts = [(uid[~sent], tag[~sent], first[~sent], last[~sent])]
         if sent.any():
-            at = np.flatnonzero(sent)
+            at, whole = _alike(np.flatnonzero(sent), bodies, uid, tag, first)
+            parts.append((uid[whole], tag[whole], first[whole], last[whole]))
             sizes = last[at] - first[at] + 1
             owner = np.repeat(at, sizes)
             start = first[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            values = [b for b, s in zip(byte_rows(bodies), sent.tolist(), strict=True) if s]
+            values = list(byte_rows(bodies.take(pa.array(at))))
             gone = np.flatnonzero(settle(key[owner], uid[owner], tag[owner], start, sizes, values))
             if len(gone):
                 a, b = _runs_of(owner[gone], start[gone])
@@ -294,24 +330,29 @@ def removed_windows(docs: DataFrame, tokens: Tokens, width: int, levels: tuple[i
     path = scratch_path(spark, "texts")
     name = "texts_" + path[-32:]
     writer = base.repartition(buckets, "uid", "tag").write.format("parquet").option("path", path).option("compression", "zstd")
-    writer.bucketBy(buckets, "uid", "tag").saveAsTable(name)
+    with settings(spark, **CLEAN):
+        writer.bucketBy(buckets, "uid", "tag").saveAsTable(name)
     texts = spark.table(name)
-    left = base.select("uid", "tag", "text")
+    left, kept = base.select("uid", "tag", "text"), []
     for gram in levels:
         found = _level(left, tokens, width, gram)
         if gram == levels[-1]:
             found = materialize(found, "candidates")  # read twice
-            left = _with_ranges(texts.select("uid", "tag", "text"), _mark_often(found), "often")
+            left = _with_ranges(texts.select("uid", "tag", "text"), _mark_often(found), F.col("often"))
         else:
+            # written so that a level's shuffles are gone before the next ones
+            found = materialize(found.select("uid", "tag", "first", "last"), "candidates")
             left = _with_ranges(texts.select("uid", "tag", "text"), found)
-    return texts, _compared(left, tokens, width, levels[-1], settle, content)
+        forget(*kept)
+        kept = [found]
+    removed = materialize(_compared(left, tokens, width, levels[-1], settle, content), "removed")
+    forget(*kept)
+    return texts, removed
 
 
 def cover(texts: DataFrame, removed: DataFrame) -> DataFrame:
     """``texts`` with ``ranges`` of removed window starts (null if none)."""
-    per_doc = removed.distinct().groupBy("uid", "tag").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("r"))
-    per_doc = per_doc.select("uid", "tag", F.struct(F.col("r.first").alias("first"), F.col("r.last").alias("last")).alias("ranges"))
-    return texts.join(per_doc, ["uid", "tag"], "left")
+    return texts.join(_packed(removed), ["uid", "tag"], "left")
 
 
 def covered(n: int, ranges, width: int) -> np.ndarray:

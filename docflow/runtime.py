@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,10 +45,13 @@ def scratch_scope(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         _made.reset(token)
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         for path in made:
-            at = hadoop(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -58,15 +62,47 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+@contextmanager
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Session settings (dots as double underscores) for what runs inside."""
+    names = {k.replace("__", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+#: For what is written and read again from there: its shuffle files go with the job instead of some time later.
+CLEAN = {"spark__sql__classic__shuffleDependency__fileCleanup__enabled": "true"}
+_written: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
+def materialize(df: DataFrame, label: str, batch_rows: int | None = None) -> DataFrame:
     """Write an intermediate result once to the shared folder and read it back.
 
     For results used by several branches: later branches read only the columns they need, and a lost
-    executor costs the re-read of a few files, not the work before them.
+    executor costs the re-read of a few files, not the work before them. ``batch_rows`` is for plans whose rows
+    are large: how many of them Python gets at a time.
     """
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
+    batches = {"spark__sql__execution__arrow__maxRecordsPerBatch": str(batch_rows)} if batch_rows else {}
+    with settings(spark, **CLEAN, **batches):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _written[out] = path
+    return out
+
+
+def forget(*frames: DataFrame) -> None:
+    """Delete intermediates that ``materialize`` has returned and nothing will read any more."""
+    for df in frames:
+        if path := _written.pop(df, None):
+            _delete(df.sparkSession, path)
 
 
 def grows(df: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from docflow import runtime
 from docflow.llm import substring_dedup, suffix_dedup, windows
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -93,6 +94,33 @@ def test_long_texts_are_cut_without_loss(docs_of, monkeypatch):
     assert {r.doc_id: (*tuple(r)[1:4], bytes(r.kept)) for r in rows} == dict(enumerate(brute_bytes(texts, 100)))
 
 
+def test_levels_leave_nothing_behind(docs_of, monkeypatch, tmp_path):
+    monkeypatch.setattr(runtime, "shared_dir", lambda spark: str(tmp_path))
+    texts = corpus(5, 40)
+    rows = substring_dedup.remove_repeats(docs_of(texts)).collect()
+    assert {r.doc_id: tuple(r)[1:] for r in rows} == dict(enumerate(brute_words(texts, 35)))
+    assert sorted(p.name.split("-")[0] for p in tmp_path.iterdir()) == ["removed", "texts"]
+
+
+def test_batches_are_compared_in_pieces(docs_of, monkeypatch):
+    monkeypatch.setattr(windows, "_PIECE", 500)
+    texts = corpus(6, 40)
+    rows = suffix_dedup.remove_repeats(docs_of(texts).coalesce(1)).collect()
+    assert {r.doc_id: (*tuple(r)[1:4], bytes(r.kept)) for r in rows} == dict(enumerate(brute_bytes(texts, 100)))
+
+
+def test_equal_runs_meet_the_others_once(docs_of):
+    text = " ".join(f"word{i}" for i in range(50))
+
+    def settle(key, uid, tag, start, sizes, values):
+        assert len({v.tobytes() for v in values}) == len(values), "a run of bytes came twice"
+        return suffix_dedup._later(key, uid, tag, start, sizes, values)
+
+    docs = docs_of([text, *(f"{i} {text}" for i in range(40))])
+    _, removed = windows.removed_windows(docs, suffix_dedup.byte_values, 100, (32,), settle, content=True)
+    assert removed.select("uid").distinct().count() == 40
+
+
 def test_null_and_repeated_ids(docs_of):
     text = " ".join(f"word{i}" for i in range(50))
     rows = substring_dedup.remove_repeats(docs_of([text, text, "x " + text, "other"], [1, 1, None, None])).collect()
