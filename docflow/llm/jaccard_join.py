@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,12 +39,14 @@ from pyspark.sql import functions as F
 from docflow.llm.arrays import byte_rows, fixed_rows, mix, shingle_set
 from docflow.llm.components import components
 from docflow.llm.windows import identity
-from docflow.runtime import materialize
+from docflow.runtime import forget, materialize
 
 GROUPS = 256
 CELLS = 1 << 16
 SHARD = 2048
 FANOUT = 16
+#: Rows with whole sets that Python gets at a time.
+SET_ROWS = 200
 #: Keys of shared shards up to this number are broadcast (at most 16 bytes each); more are joined by a shuffle.
 BROADCAST_KEYS = 2_000_000
 #: Documents (node and identity, 20 bytes) up to this number are broadcast to the texts.
@@ -319,19 +322,23 @@ def _shards(measured: DataFrame) -> DataFrame:
     )
     kinds = kinds.groupBy("n", "x", "lo", "hi").agg(F.min("key").alias("key")).select("key", "n")
     degree = members.groupBy("node").agg(F.count(F.lit(1)).alias("central"))
-    return materialize(members.join(kinds, "key").join(degree, "node"), "shards")
+    shards = materialize(members.join(kinds, "key").join(degree, "node"), "shards")
+    forget(shared, members)
+    return shards
 
 
 def _components(docs: DataFrame) -> DataFrame:
     """``doc_id, uid, tag, node, n_shingles, component`` for every row; null nodes have no component."""
-    measured = materialize(_measure(docs, _levels(cell_counts(docs))), "measured")
-    shards = _shards(measured)
+    measured = materialize(_measure(docs, _levels(cell_counts(docs))), "measured", batch_rows=2000)
+    members = _shards(measured)
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "uid", "tag").alias("p")
     stand_in = measured.where("node is not null").groupBy("node").agg(F.min(F.struct(place, "vector")).alias("p"))
-    stand_in = stand_in.select("node", "p.p.uid", "p.p.tag", "p.vector").join(shards.select("node").distinct(), "node", "left_semi")
+    stand_in = stand_in.select("node", "p.p.uid", "p.p.tag", "p.vector").join(members.select("node").distinct(), "node", "left_semi")
     stand_in = materialize(stand_in, "stand-ins")
-    shards = shards.join(stand_in.select("node", "vector"), "node").withColumnRenamed("node", "id")
-    links = found = sets = None
+    sizes = materialize(measured.drop("first", "vector"), "sizes")
+    forget(measured)
+    shards = members.join(stand_in.select("node", "vector"), "node").withColumnRenamed("node", "id")
+    links, found, sets = [], None, None
     for mode in ("first", "next", "all"):
         if found is None:
             points = shards.withColumn("component", F.col("id"))
@@ -341,14 +348,19 @@ def _components(docs: DataFrame) -> DataFrame:
         if sets is None:
             # The first pass pairs every set that the bound leaves a partner; only these go on.
             paired = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-            sets = materialize(_sets(docs, stand_in.drop("vector").join(paired, "node")), "sets")
+            sets = materialize(_sets(docs, stand_in.drop("vector").join(paired, "node")), "sets", batch_rows=1000)
             shards = materialize(shards.join(paired.withColumnRenamed("node", "id"), "id", "left_semi"), "paired-shards")
-        new = materialize(_verified(pairs, sets), f"links-{mode}")
-        links = new if links is None else links.unionByName(new)
-        found = materialize(components(links), "components")
-    found = found.select(F.col("id").alias("node"), "component")
-    rows = measured.drop("first", "vector").join(found, "node", "left")
-    return rows.withColumn("component", F.coalesce("component", "node"))
+            forget(members, stand_in)
+        else:
+            forget(found)
+        links.append(materialize(_verified(pairs, sets), f"links-{mode}", batch_rows=SET_ROWS))
+        forget(pairs)
+        found = materialize(components(reduce(DataFrame.unionByName, links)), "components")
+    forget(shards, sets, *links)
+    named = found.select(F.col("id").alias("node"), "component")
+    rows = materialize(sizes.join(named, "node", "left").withColumn("component", F.coalesce("component", "node")), "labelled")
+    forget(sizes, found)
+    return rows
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -356,7 +368,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
     ``component_id`` is the smallest id that links reach, the own one included.
     """
-    rows = materialize(_components(docs), "labelled")
+    rows = _components(docs)
     low = rows.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     linked = rows.where("component is not null").join(low, "component")
     alone = rows.where("component is null").withColumn("component_id", F.col("doc_id"))
@@ -369,7 +381,7 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
 
     Texts without words stay. A component without ids keeps one of its rows.
     """
-    rows = materialize(_components(docs), "labelled")
+    rows = _components(docs)
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "uid", "tag")
     best = rows.where("component is not null").groupBy("component").agg(F.min(place).alias("p"))
     winners = best.select("component", F.col("p.uid").alias("uid"), F.col("p.tag").alias("tag"))

@@ -4,10 +4,12 @@ import random
 
 import numpy as np
 import pytest
+from docflow import runtime
 from docflow.llm import jaccard_join
 from docflow.llm.components import components
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 
@@ -127,3 +129,26 @@ def test_components_of_long_paths(spark):
     want = {n: min(nodes[:300]) for n in nodes[:300]} | {n: min(nodes[300:]) for n in nodes[300:]}
     assert len(rows) == 600 and {r.id: r.component for r in rows} == want
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_intermediates_go_when_they_are_read(docs_of, monkeypatch, tmp_path):
+    monkeypatch.setattr(runtime, "shared_dir", lambda spark: str(tmp_path))
+    texts = near_copies(4, 30)
+    rows = jaccard_join.jaccard_components(docs_of(texts)).collect()
+    assert {r.doc_id: tuple(r)[1:] for r in rows} == dict(enumerate(brute(texts)))
+    left = [p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir()]
+    assert sorted(set(left)) == ["labelled", "small-star"], "measured points, shards, sets and pairs are gone"
+
+
+def test_shuffles_go_with_a_written_result(spark, docs_of, monkeypatch):
+    asked, write = [], DataFrameWriter.parquet
+
+    def parquet(self, path, **options):
+        names = ("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.execution.arrow.maxRecordsPerBatch")
+        asked.append((path.rsplit("/", 1)[1].rsplit("-", 1)[0], *(spark.conf.get(n) for n in names)))
+        return write(self, path, **options)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", parquet)
+    jaccard_join.drop_near_copies(docs_of(near_copies(6, 10))).count()
+    assert {clean for _, clean, _ in asked} == {"true"}
+    assert {int(n) for label, _, n in asked if label.startswith("links-")} == {jaccard_join.SET_ROWS}, "whole sets go to Python in few rows"
