@@ -34,7 +34,7 @@ from docflow.llm.arrays import _is, byte_rows, mix, segments, token_bounds, word
 from docflow.llm.jaccard_join import BROADCAST_KEYS, BROADCAST_NODES, _whole_groups, needed
 from docflow.llm.jaccard_join import _verified as verified
 from docflow.llm.windows import identity
-from docflow.runtime import materialize
+from docflow.runtime import forget, materialize
 
 LEAST_WORDS = 1
 #: Hash cells in which words are counted; a task holds a byte for each.
@@ -141,26 +141,31 @@ def _lines(docs: DataFrame, counts: np.ndarray, least_words: int) -> DataFrame:
     return rows.mapInArrow(run, "uid bigint, tag int, line int, node bigint, n int, alone int, first array<bigint>, b0 bigint, b1 bigint")
 
 
-def _shards(lines: DataFrame) -> DataFrame:
-    """Nodes with a common prefix word: ``key, node, n, pos, b0, b1, f, m``; ``f`` is a node's first place.
-
-    ``m`` is the size of a shard of more than ``SHARD`` nodes, null for others.
-    """
+def _nodes(lines: DataFrame) -> DataFrame:
+    """``node, f, n, alone, first, b0, b1`` of the nodes with a shared prefix word; ``f`` is a node's first place."""
     place = F.struct("uid", "tag", "line")
     # each batch that holds a node has sent its least place there, so the least of them is the node's first one
     nodes = lines.where("first is not null").groupBy("node").agg(
         F.min(place).alias("f"), F.any_value(F.struct("n", "alone", "first", "b0", "b1")).alias("r")
     )
-    nodes = materialize(nodes.select("node", "f", "r.*").where("size(first) > 0"), "line-nodes")
+    return materialize(nodes.select("node", "f", "r.*").where("size(first) > 0"), "line-nodes")
+
+
+def _shared(nodes: DataFrame) -> DataFrame:
+    """``key, m``: prefix words of several nodes; ``m`` is their number if it is above ``SHARD``, else null."""
     shared = nodes.select(F.explode("first").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("nodes"))
-    shared = materialize(shared.where("nodes > 1").select("key"), "shared-words")
-    small = shared.count() <= BROADCAST_KEYS
-    keyed = nodes.select("node", "n", "alone", "b0", "b1", "f", F.posexplode("first").alias("pos", "key"))
+    return materialize(shared.where("nodes > 1").select("key", F.when(F.col("nodes") > SHARD, F.col("nodes")).alias("m")), "shared-words")
+
+
+def _shards(nodes: DataFrame, shared: DataFrame, small: bool) -> DataFrame:
+    """Nodes with a common prefix word: ``key, node, n, pos, b0, b1, f, m``.
+
+    They go straight into the shuffle that deals them: written, they would be many times the nodes.
+    """
+    more = [c for c in nodes.columns if c not in ("alone", "first")]
+    keyed = nodes.select(*more, "alone", F.posexplode("first").alias("at", "key"))
     members = keyed.join(F.broadcast(shared) if small else shared, "key")
-    members = members.select("key", "node", "n", (F.col("pos") + F.col("alone")).alias("pos"), "b0", "b1", "f")
-    members = materialize(members, "line-shards")
-    large = members.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > SHARD)
-    return members.join(large, "key", "left")
+    return members.select("key", *more, (F.col("at") + F.col("alone")).alias("pos"), "m")
 
 
 def _pairs(shards: DataFrame, mode: str) -> DataFrame:
@@ -244,23 +249,33 @@ def _sets(docs: DataFrame, wanted: DataFrame, least_words: int) -> DataFrame:
 
 def removed_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """``uid, tag, line`` of every line that an earlier one matches (lines count from 0)."""
-    lines = materialize(_lines(docs, word_counts(docs, least_words), least_words), "lines")
+    measured = materialize(_lines(docs, word_counts(docs, least_words), least_words), "lines")
+    nodes = _nodes(measured)
+    lines = materialize(measured.select("node", "uid", "tag", "line"), "line-places")
+    forget(measured)
+    shared = _shared(nodes)
+    small = shared.count() <= BROADCAST_KEYS
     firsts = lines.groupBy("node").agg(F.min(F.struct("uid", "tag", "line")).alias("f"))
-    shards = _shards(lines)
-    some = materialize(_pairs(shards.withColumn("stays", F.lit(True)), "some"), "line-pairs-some")
+    some = materialize(_pairs(_shards(nodes, shared, small).withColumn("stays", F.lit(True)), "some"), "line-pairs-some")
     paired = some.select(F.col("a").alias("node")).unionByName(some.select(F.col("b").alias("node"))).distinct()
     paired = materialize(paired, "paired-lines")
-    wanted = firsts.join(paired, "node").select("node", "f.uid", "f.tag", "f.line")
-    sets = materialize(_sets(docs, materialize(wanted, "wanted-lines"), least_words), "line-sets")
-    removed = materialize(verified(some, sets).select(F.col("b").alias("node")).distinct(), "matched-some")
-    shards = shards.join(paired, "node", "left_semi").join(removed.withColumn("gone", F.lit(True)), "node", "left")
-    rest = _pairs(shards.withColumn("stays", F.col("gone").isNull()).drop("gone"), "all")
-    rest = verified(materialize(rest, "line-pairs-all"), sets).select(F.col("b").alias("node")).distinct()
-    removed = removed.unionByName(materialize(rest, "matched-all"))
-    firsts = firsts.join(removed.withColumn("gone", F.lit(True)), "node", "left")
+    wanted = materialize(firsts.join(paired, "node").select("node", "f.uid", "f.tag", "f.line"), "wanted-lines")
+    sets = materialize(_sets(docs, wanted, least_words), "line-sets")
+    near = materialize(verified(some, sets).select(F.col("b").alias("node")).distinct(), "matched-some")
+    forget(some, wanted)
+    left = nodes.join(paired, "node", "left_semi").join(near.withColumn("gone", F.lit(True)), "node", "left")
+    left = materialize(left.withColumn("stays", F.col("gone").isNull()).drop("gone"), "paired-nodes")
+    forget(nodes, paired)
+    pairs = materialize(_pairs(_shards(left, shared, small), "all"), "line-pairs-all")
+    forget(left, shared)
+    rest = materialize(verified(pairs, sets).select(F.col("b").alias("node")).distinct(), "matched-all")
+    forget(pairs, sets)
+    firsts = firsts.join(near.unionByName(rest).withColumn("gone", F.lit(True)), "node", "left")
     rows = lines.select("node", "uid", "tag", "line").join(firsts, "node")
     rows = rows.where(F.col("gone").isNotNull() | (F.struct("uid", "tag", "line") != F.col("f")))
-    return rows.select("uid", "tag", "line").distinct()
+    out = materialize(rows.select("uid", "tag", "line").distinct(), "removed-lines")
+    forget(lines, near, rest)
+    return out
 
 
 def remove_matching_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:

@@ -6,6 +6,7 @@ import re
 import duckdb
 import numpy as np
 import pytest
+from docflow import runtime
 from docflow.llm import line_dedup
 from docflow.llm.jaccard_join import needed
 from hypothesis import given, settings
@@ -131,3 +132,14 @@ def test_short_lines_are_judged_on_request(docs_of, odd_texts):
     assert {r.doc_id: r.n_removed for r in rows} == dict(enumerate(want)) and want[:4] == [0, 1, 2, 0]
     with pytest.raises(ValueError):
         line_dedup.remove_matching_lines(docs_of(texts), least_words=0)
+
+
+def test_members_of_shards_are_not_written(docs_of, monkeypatch, tmp_path):
+    monkeypatch.setattr(runtime, "shared_dir", lambda spark: str(tmp_path))
+    made, path_of = [], runtime.scratch_path
+    monkeypatch.setattr(runtime, "scratch_path", lambda spark, label: (made.append(label), path_of(spark, label))[1])
+    texts = corpus(8, 30)
+    rows = line_dedup.remove_matching_lines(docs_of(texts)).collect()
+    assert {r.doc_id: tuple(r)[1:] for r in rows} == dict(enumerate(brute(texts)))
+    assert "line-nodes" in made and "line-shards" not in made
+    assert [p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir()] == ["removed-lines"]
