@@ -244,8 +244,48 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], least: int = 1 << 23) -> It
         yield pa.Table.from_batches(held).combine_chunks()
 
 
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """Parity of the shingles in each of a power of two of hash cells, as bytes: about a bit for each shingle."""
+    cells = max(64, 1 << int(len(shingles) - 1).bit_length())
+    odd = np.bincount((mix(shingles) & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(odd.astype(np.uint8))
+
+
+def least_apart(a: np.ndarray, b: np.ndarray) -> int:
+    """In how many elements two sets differ at least, by their parities; the finer ones are folded."""
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
+def _not_apart(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs whose parities leave Jaccard 0.8 open."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = (batch.column(k).to_numpy() for k in (2, 3))
+            apart = np.array([least_apart(a, b) for a, b in zip(byte_rows(batch.column(4)), byte_rows(batch.column(5)), strict=True)], dtype=np.int64)
+            keep = apart <= n + m - 2 * needed(n, m)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
+
+    left = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("odd").alias("oa"))
+    right = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("odd").alias("ob"))
+    rows = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "oa", "ob")
+    return rows.mapInArrow(run, "a bigint, b bigint")
+
+
+def _named(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``node, set`` of the sets that a pair names. Up to ``BROADCAST_NODES`` names go to the sets."""
+    names = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    if pairs.count() <= BROADCAST_NODES // 2:
+        names = F.broadcast(names)
+    return sets.select("node", "set").join(names, "node", "left_semi")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose sets reach Jaccard 0.8. Sets are joined twice; only those that a pair names move."""
+    """The pairs whose sets reach Jaccard 0.8. Sets are joined twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -289,7 +329,7 @@ def _measure(docs: DataFrame, level: np.ndarray) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``node, set`` of the documents ``uid, tag, node`` that stand for their set.
+    """``node, n, odd, set`` of the documents ``uid, tag, node`` that stand for their set: size, parities, shingles.
 
     Up to ``BROADCAST_NODES`` of them go to the texts; more meet them in a join of both sides.
     """
@@ -297,13 +337,14 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(data) for data in byte_rows(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], type=pa.binary())], names=["node", "set"])
+            columns = [pa.array([len(s) for s in sets], type=pa.int64()), *(pa.array([x.tobytes() for x in c], type=pa.binary()) for c in (map(parities, sets), sets))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["node", "n", "odd", "set"])
 
     if wanted.count() <= BROADCAST_NODES:
         wanted = F.broadcast(wanted)
     # rows that repeat id and text are one document; only texts that are wanted move for that
     rows = docs.select(*identity(), "text").join(wanted, ["uid", "tag"]).dropDuplicates(["uid", "tag"])
-    return rows.select("node", "text").mapInArrow(run, "node bigint, set binary")
+    return rows.select("node", "text").mapInArrow(run, "node bigint, n bigint, odd binary, set binary")
 
 
 def _shards(measured: DataFrame) -> DataFrame:
@@ -353,8 +394,10 @@ def _components(docs: DataFrame) -> DataFrame:
             forget(members, stand_in)
         else:
             forget(found)
-        links.append(materialize(_verified(pairs, sets), f"links-{mode}", batch_rows=SET_ROWS))
+        near = materialize(_not_apart(pairs, sets), f"near-{mode}", batch_rows=2000)
         forget(pairs)
+        links.append(materialize(_verified(near, _named(sets, near)), f"links-{mode}", batch_rows=SET_ROWS))
+        forget(near)
         found = materialize(components(reduce(DataFrame.unionByName, links)), "components")
     forget(shards, sets, *links)
     named = found.select(F.col("id").alias("node"), "component")

@@ -152,3 +152,32 @@ def test_shuffles_go_with_a_written_result(spark, docs_of, monkeypatch):
     jaccard_join.drop_near_copies(docs_of(near_copies(6, 10))).count()
     assert {clean for _, clean, _ in asked} == {"true"}
     assert {int(n) for label, _, n in asked if label.startswith("links-")} == {jaccard_join.SET_ROWS}, "whole sets go to Python in few rows"
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.integers(0, 300), st.integers(0, 300), st.integers(0, 80), st.integers(0, 2**32))
+def test_parities_lose_no_pair(common, only_a, only_b, seed):
+    rng = np.random.default_rng(seed)
+    pool = np.unique(rng.integers(0, 1 << 64, common + only_a + only_b + 1, dtype=np.uint64))
+    rng.shuffle(pool)
+    a, b = np.sort(pool[: common + only_a + 1]), np.sort(np.r_[pool[:common], pool[common + only_a + 1 :]])
+    apart = jaccard_join.least_apart(jaccard_join.parities(a), jaccard_join.parities(b))
+    assert apart <= len(np.setxor1d(a, b)) and apart % 2 == len(np.setxor1d(a, b)) % 2
+    assert apart == jaccard_join.least_apart(jaccard_join.parities(b), jaccard_join.parities(a))
+
+
+def test_sets_of_unrelated_long_texts_do_not_move(spark, docs_of, monkeypatch):
+    """Group counts leave such pairs; before, their whole sets were joined for verification."""
+    rng = random.Random(5)
+    passage = " ".join(f"p{i}" for i in range(2500))
+    texts = [passage + " " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(2500)) for _ in range(12)]
+    texts += [t + " and more" for t in texts[:2]]
+    asked, verified, not_apart = [], jaccard_join._verified, jaccard_join._not_apart
+    monkeypatch.setattr(jaccard_join, "_levels", lambda counts: np.zeros(len(counts), dtype=np.uint8))  # the passage names shards
+    monkeypatch.setattr(jaccard_join, "_not_apart", lambda pairs, sets: (asked.append(["left by groups", pairs.count()]), not_apart(pairs, sets))[1])
+    monkeypatch.setattr(jaccard_join, "_verified", lambda pairs, sets: (asked.append(["verified", pairs.count(), sets.count()]), verified(pairs, sets))[1])
+    rows = jaccard_join.jaccard_components(docs_of(texts)).collect()
+    assert {r.doc_id: tuple(r)[1:] for r in rows} == dict(enumerate(brute(texts)))
+    assert sum(n for what, n, *_ in asked if what == "left by groups") > 10
+    assert sum(n for what, n, *_ in asked if what == "verified") <= 4
+    assert all(s[0] <= 2 * n for what, n, *s in asked if what == "verified")
