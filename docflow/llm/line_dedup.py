@@ -22,7 +22,6 @@ Defined results
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,7 +40,13 @@ LEAST_WORDS = 1
 CELL_BITS = 23
 CELLS = 1 << CELL_BITS
 SHARD = 4096
+#: Bytes of texts whose words are cut, sorted and measured at a time.
+BLOCK = 1 << 19
+#: Shards up to this number of nodes are compared many at a time, so many pairs at once.
+SMALL, AT_ONCE = 64, 1 << 19
 _NEWLINE = _is(10)
+_END = np.array([10], dtype=np.uint8)
+_SALT = np.uint64(0x5851F42D4C957F2D)
 
 
 def line_sets(data: np.ndarray, least_words: int = LEAST_WORDS) -> Iterator[tuple[int, np.ndarray]]:
@@ -65,18 +70,55 @@ def _cell(words: np.ndarray) -> np.ndarray:
     return (words >> np.uint64(64 - CELL_BITS)).astype(np.int64)
 
 
-def word_counts(docs: DataFrame, least_words: int = LEAST_WORDS) -> np.ndarray:
-    """In how many lines the words of each hash cell occur, as levels (``CELLS`` bytes).
+def _pieces(texts: list[np.ndarray]) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Row, number of the first line and bytes of whole lines of the texts."""
+    for row, data in enumerate(texts):
+        number = 0
+        for a, b in segments(data, _NEWLINE):
+            yield row, number, data[a:b]
+            number += int(np.count_nonzero(data[a:b] == 10))
 
-    Level 1 is a single line, so its word can't be shared; above, a level is an eighth of a doubling.
+
+def _blocks(texts: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Texts about ``BLOCK`` bytes at a time: hashes of all words, the line that each is in, row and number of each line."""
+
+    def cut(held) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        data = np.concatenate([x for _, _, part in held for x in (part, _END)])
+        words = word_hashes(data, lower=True)
+        starts = np.concatenate([token_bounds(data[x:y])[0] + x for x, y in segments(data)])
+        ends = np.flatnonzero(data == 10)
+        piece_of = np.repeat(np.arange(len(held)), np.diff(np.searchsorted(ends, np.cumsum([0, *(len(part) + 1 for _, _, part in held)]))))
+        first = np.searchsorted(piece_of, np.arange(len(held)))
+        number = np.arange(len(ends)) - first[piece_of] + np.array([n for _, n, _ in held])[piece_of]
+        return words, np.searchsorted(ends, starts), np.array([row for row, _, _ in held])[piece_of], number
+
+    held, size = [], 0
+    for piece in _pieces(texts):
+        held.append(piece)
+        size += len(piece[2]) + 1
+        if size >= BLOCK:
+            yield cut(held)
+            held, size = [], 0
+    if held:
+        yield cut(held)
+
+
+def word_counts(docs: DataFrame) -> np.ndarray:
+    """How often the words of each hash cell occur in all lines, as levels (``CELLS`` bytes).
+
+    Level 1 is a single time, so its word can't be shared; above, a level is an eighth of a doubling.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CELLS, dtype=np.int32)  # a task's words are far fewer than 2**31
         for batch in batches:
-            sets = [s for data in byte_rows(batch.column(0)) for _, s in line_sets(data, least_words)]
-            if sets:
-                cells, n = np.unique(_cell(np.concatenate(sets)).astype(np.int32), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(n)], names=["cell", "n"])
+            for words, *_ in _blocks(list(byte_rows(batch.column(0)))):
+                cells, n = np.unique(_cell(words).astype(np.int32), return_counts=True)
+                total[cells] += n.astype(np.int32)
+        at = np.flatnonzero(total)
+        for k in range(0, len(at), 1 << 18):
+            cells = at[k : k + (1 << 18)]
+            yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int32)), pa.array(total[cells].astype(np.int64))], names=["cell", "n"])
 
     table = docs.select("text").mapInArrow(run, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
     level = F.when(F.col("n") == 1, 1).otherwise(F.least(F.lit(127), 2 + F.floor(8 * F.log2("n")))).cast("tinyint")
@@ -87,18 +129,11 @@ def word_counts(docs: DataFrame, least_words: int = LEAST_WORDS) -> np.ndarray:
 
 
 def prefix(words: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The rarest words, as many as make two matching lines share one."""
+    """The rarest words of a line, as many as make two matching lines share one; ``measured_lines`` takes many lines."""
     size = len(words) - (4 * len(words) + 4) // 5 + 1
     return words[np.lexsort((mix(words), counts[_cell(words)]))[:size]]
 
 
-def shared_prefix(words: np.ndarray, levels: np.ndarray) -> tuple[int, np.ndarray]:
-    """The prefix without its leading words that no other line has, and how many those are."""
-    found = prefix(words, levels)
-    alone = int(np.count_nonzero(levels[_cell(found)] == 1))
-    return alone, found[alone:]
-
-
 def bitmap(words: np.ndarray) -> np.ndarray:
     """Parity of the words in each of 128 hash cells, as two numbers: sets differ in at least as many words as bits."""
     cells = np.bincount((mix(words) & np.uint64(127)).astype(np.int64), minlength=128) & 1
@@ -109,7 +144,35 @@ def differing_bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count((a ^ b).view(np.uint64)).astype(np.int64)  # of a signed number it counts the absolute value
 
 
-def _lines(docs: DataFrame, counts: np.ndarray, least_words: int) -> DataFrame:
+def measured_lines(words: np.ndarray, line: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of all lines with words: line, node, size, prefix words that no other line has, how many more, these, bitmap.
+
+    A node is 64 bits of a hash of the distinct words, in whatever order they come.
+    """
+    at, spread = np.cumsum(np.r_[False, np.diff(line) != 0]), mix(words)
+    # line, level and 37 bits of the hash in one number, so that one sort does; equal numbers of two words are rare
+    key = at.astype(np.uint64) << np.uint64(44) | levels[_cell(words)].astype(np.uint64) << np.uint64(37) | spread >> np.uint64(27)
+    order = np.argsort(key)
+    tied = np.diff(key[order]) == 0
+    if (tied & (np.diff(words[order]) != 0)).any():
+        order = np.lexsort((spread, key))
+    new = np.r_[True, (np.diff(key[order]) != 0) | (np.diff(words[order]) != 0)]
+    order = order[new]
+    words, spread, at = words[order], spread[order], at[order]
+    first = np.flatnonzero(np.r_[True, np.diff(at) != 0])
+    n = np.diff(np.r_[first, len(at)])
+    size = n - (4 * n + 4) // 5 + 1
+    alone = np.minimum(np.add.reduceat(levels[_cell(words)] == 1, first, dtype=np.int64), size)
+    place = np.arange(len(at)) - np.repeat(first, n)
+    shared = words[(place >= np.repeat(alone, n)) & (place < np.repeat(size, n))]
+    node = mix(np.add.reduceat(mix(words ^ _SALT), first) + n.astype(np.uint64))
+    cell = spread & np.uint64(127)
+    bit = np.uint64(1) << (cell & np.uint64(63))
+    bits = [np.bitwise_xor.reduceat(np.where(half, bit, np.uint64(0)), first).view(np.int64) for half in (cell < 64, cell >= 64)]
+    return line[np.flatnonzero(np.r_[True, np.diff(line) != 0])], node.view(np.int64), n, alone, size - alone, shared.view(np.int64), *bits
+
+
+def _lines(docs: DataFrame, levels: np.ndarray, least_words: int) -> DataFrame:
     """``uid, tag, line, node, n, alone, first, b0, b1``: a row per line.
 
     Shared prefix words, how many come before them and the bitmap stand at the least place of equal lines in a batch.
@@ -117,24 +180,26 @@ def _lines(docs: DataFrame, counts: np.ndarray, least_words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, line, node, size, alone, first, bits, seen = [], [], [], [], [], [], [], set()
-            texts = list(byte_rows(batch.column(2)))
+            texts, found = list(byte_rows(batch.column(2))), []
             # rows come in any order, and the first of equal lines must be the one of the least place
-            for i in np.lexsort([batch.column(k).to_numpy() for k in (1, 0)]).tolist():
-                for number, words in line_sets(texts[i], least_words):
-                    key = int.from_bytes(hashlib.blake2b(words.tobytes(), digest_size=8).digest(), "little", signed=True)
-                    row.append(i)
-                    line.append(number)
-                    node.append(key)
-                    size.append(len(words))
-                    before, found = (None, None) if key in seen else shared_prefix(words, counts)
-                    alone.append(before)
-                    first.append(None if key in seen else found.view(np.int64))
-                    bits.append((None, None) if key in seen else bitmap(words).tolist())
-                    seen.add(key)
-            at = pa.array(row, type=pa.int64())
-            columns = [batch.column(0).take(at), batch.column(1).take(at), pa.array(line, type=pa.int32()), pa.array(node, type=pa.int64()), pa.array(size, type=pa.int32()), pa.array(alone, type=pa.int32()), pa.array(first, type=pa.list_(pa.int64()))]
-            columns += [pa.array([b[k] for b in bits], type=pa.int64()) for k in range(2)]
+            rows = np.lexsort([batch.column(k).to_numpy() for k in (1, 0)])
+            for words, line, row, number in _blocks([texts[i] for i in rows.tolist()]):
+                if len(words):
+                    at, *rest = measured_lines(words, line, levels)
+                    found.append((rows[row[at]], number[at], *rest))
+            if not found:
+                continue
+            row, line, node, n, alone, many, shared, *bits = (np.concatenate(c) for c in zip(*found, strict=True))
+            enough = n >= least_words
+            again = np.ones(len(node), dtype=bool)
+            again[np.unique(node, return_index=True)[1]] = False
+            sent = np.where(again, 0, many)
+            shared = shared[np.repeat(~again & enough, many)]
+            offsets = pa.array(np.r_[0, np.cumsum(sent[enough])].astype(np.int32))
+            again, at = again[enough], pa.array(row[enough])
+            first = pa.ListArray.from_arrays(offsets, pa.array(shared), mask=pa.array(again))
+            columns = [batch.column(0).take(at), batch.column(1).take(at), pa.array(line[enough].astype(np.int32)), pa.array(node[enough]), pa.array(n[enough].astype(np.int32))]
+            columns += [pa.array(alone[enough].astype(np.int32), mask=again), first, *(pa.array(b[enough], mask=again) for b in bits)]
             yield pa.RecordBatch.from_arrays(columns, names=["uid", "tag", "line", "node", "n", "alone", "first", "b0", "b1"])
 
     rows = docs.select(*identity(), "text")
@@ -175,6 +240,8 @@ def _pairs(shards: DataFrame, mode: str) -> DataFrame:
     either side, so every node that fits any other one is named. Mode ``all`` gives all that fit a node that stays.
     """
 
+    few, at_once = SMALL, AT_ONCE
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_groups(batches):
             key, x, y, left, node, n, pos, b0, b1, uid, tag, line, stays = (table.column(k).to_numpy() for k in range(13))
@@ -188,9 +255,31 @@ def _pairs(shards: DataFrame, mode: str) -> DataFrame:
                 return enough & (5 * np.minimum(n[p], n[q]) >= 4 * np.maximum(n[p], n[q])) & ((x[p] == y[p]) | (left[p] != left[q]))
 
             cut = np.flatnonzero((np.diff(key) != 0) | (np.diff(x) != 0) | (np.diff(y) != 0)) + 1
+            start, end = np.r_[0, cut], np.r_[cut, len(key)]
+            group = np.repeat(np.arange(len(start)), end - start)
+            placed = np.lexsort((line, tag, uid, group))
             found = []
-            for a, b in zip(np.r_[0, cut].tolist(), np.r_[cut, len(key)].tolist(), strict=True):
-                order = a + np.lexsort((line[a:b], tag[a:b], uid[a:b]))
+            # small shards: every node that stays with all earlier ones, many nodes at a time
+            late = np.flatnonzero(((end - start) <= few)[group] & stays[placed])
+            many = late - start[group[late]]
+            late, many = late[many > 0], many[many > 0]
+            parts = np.r_[0, np.flatnonzero(np.diff((np.cumsum(many) - many) // at_once)) + 1, len(late)]
+            for k, m in zip(parts[:-1].tolist(), parts[1:].tolist(), strict=True):
+                count = many[k:m]
+                q = np.repeat(late[k:m], count)
+                p = np.arange(len(q)) - np.repeat(np.cumsum(count) - count, count) + start[group[q]]
+                ok = fits(placed[p], placed[q])
+                p, q = p[ok], q[ok]
+                if mode == "some" and len(p):
+                    kept = p == start[group[p]]
+                    kept |= np.r_[True, np.diff(q) != 0]
+                    kept[np.unique(p, return_index=True)[1]] = True
+                    p, q = p[kept], q[kept]
+                if len(p):
+                    found.append(np.stack([node[placed[p]], node[placed[q]]], axis=1))
+            large = (end - start) > few
+            for a, b in zip(start[large].tolist(), end[large].tolist(), strict=True):
+                order = placed[a:b]
                 later = np.flatnonzero(stays[order])
                 later = later[later > 0]
                 named = np.zeros(b - a, dtype=bool)
@@ -208,7 +297,9 @@ def _pairs(shards: DataFrame, mode: str) -> DataFrame:
                     if len(p):
                         found.append(np.stack([node[order[early[p]]], node[order[late[q]]]], axis=1))
             if found:
-                pairs = np.unique(np.concatenate(found), axis=0)
+                pairs = np.concatenate(found)
+                pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+                pairs = pairs[np.r_[True, (np.diff(pairs, axis=0) != 0).any(axis=1)]]
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     # A shard of m nodes has ceil(m / SHARD) blocks; each pair of blocks is one group of rows.
@@ -249,7 +340,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, least_words: int) -> DataFrame:
 
 def removed_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """``uid, tag, line`` of every line that an earlier one matches (lines count from 0)."""
-    measured = materialize(_lines(docs, word_counts(docs, least_words), least_words), "lines")
+    measured = materialize(_lines(docs, word_counts(docs), least_words), "lines")
     nodes = _nodes(measured)
     lines = materialize(measured.select("node", "uid", "tag", "line"), "line-places")
     forget(measured)

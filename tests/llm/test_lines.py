@@ -143,3 +143,34 @@ def test_members_of_shards_are_not_written(docs_of, monkeypatch, tmp_path):
     assert {r.doc_id: tuple(r)[1:] for r in rows} == dict(enumerate(brute(texts)))
     assert "line-nodes" in made and "line-shards" not in made
     assert [p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir()] == ["removed-lines"]
+
+
+def test_many_lines_are_measured_as_each_by_itself(odd_texts):
+    texts = [*corpus(5, 40), *odd_texts, "\n\nb a b\n", "x\n" * 1000, "a b c " * 200]
+    data = [np.frombuffer((t or "").encode(), dtype=np.uint8) for t in texts]
+    levels = np.random.default_rng(3).integers(1, 5, line_dedup.CELLS).astype(np.uint8)
+    want = {(row, number): s for row, d in enumerate(data) for number, s in line_dedup.line_sets(d)}
+    got, node_of, bits_of = {}, {}, {}
+    for words, line, row, number in line_dedup._blocks(data):
+        at, node, n, alone, many, shared, b0, b1 = line_dedup.measured_lines(words, line, levels)
+        for k, found in enumerate(np.split(shared, np.cumsum(many)[:-1])):
+            s = want[int(row[at[k]]), int(number[at[k]])]
+            got[int(row[at[k]]), int(number[at[k]])] = s
+            prefix = line_dedup.prefix(s, levels)
+            assert (n[k], alone[k]) == (len(s), np.count_nonzero(levels[line_dedup._cell(prefix)] == 1))
+            assert found.tolist() == prefix[alone[k] :].view(np.int64).tolist()
+            assert node_of.setdefault(s.tobytes(), int(node[k])) == int(node[k])
+            bits_of[int(node[k])] = (s, np.array([b0[k], b1[k]]))
+    assert got.keys() == want.keys() and len(bits_of) == len(node_of) > 100
+    for (s, x), (t, y) in zip(list(bits_of.values())[1:], bits_of.values(), strict=False):
+        plain = line_dedup.differing_bits(line_dedup.bitmap(s), line_dedup.bitmap(t)).sum()
+        assert line_dedup.differing_bits(x, y).sum() == plain
+
+
+@pytest.mark.parametrize("small, at_once", [(64, 7), (3, 1 << 19)])
+def test_small_and_large_shards_give_the_same(docs_of, monkeypatch, small, at_once):
+    monkeypatch.setattr(line_dedup, "SMALL", small)
+    monkeypatch.setattr(line_dedup, "AT_ONCE", at_once)
+    texts = corpus(12, 50)
+    rows = line_dedup.remove_matching_lines(docs_of(texts).repartition(3)).collect()
+    assert {r.doc_id: tuple(r)[1:] for r in rows} == dict(enumerate(brute(texts)))
